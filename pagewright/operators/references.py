@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.keys import guid, month
 from pagewright.operators.skew import salted_join
-from pagewright.session import table
+from pagewright.session import reliable, table
 
 
 def presence(parents: DataFrame, keys: list[str], came: str, gone: str) -> DataFrame:
@@ -60,7 +60,7 @@ def textbook_references(spark, sf_dir: str) -> DataFrame:
 
     both = refs("publisher_oge", "kayit_zamani", F.col("sayfano")).unionByName(
         refs("kitapunite", "guncelleme_zamani", F.lit(None).cast("int")))
-    books = orphan_rows(both, presence(kitap, ["kid"], "kayit_zamani", "silinme_zamani"), ["kid"], "at")
+    books = reliable(orphan_rows(reliable(both), presence(kitap, ["kid"], "kayit_zamani", "silinme_zamani"), ["kid"], "at"))
     by_book = books.select("ref_table", "ref_id", F.lit("kitapid").alias("ref_field"), "at", "orphan").distinct()
     folders = kitap.where("kid is not null and folder is not null").select("kid", "folder").distinct()
     sheets = table(spark, sf_dir, "sheets").where("printed_page is not null").select(
