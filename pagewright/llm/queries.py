@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import splits
+from pagewright.llm import mixing, splits, tokenizer
 
 _CODE = "nullif(nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), ''), '-')"
 _GUID = "nullif(lower(regexp_replace({}, '^[\\s{{}}]+|[\\s{{}}]+$', '', 'g')), '')"
@@ -11,6 +11,10 @@ QUERIES = {
     "p4_found": splits.p4_found,
     "p4_splits": splits.p4_splits,
     "p4_shares": splits.p4_shares,
+    "p6_ids": tokenizer.p6_ids,
+    "p6_sizes": tokenizer.p6_sizes,
+    "p7_mix": mixing.p7_mix,
+    "p7_shares": mixing.p7_shares,
 }
 
 ORACLES = {

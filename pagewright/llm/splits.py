@@ -35,24 +35,24 @@ def components(edges: DataFrame) -> DataFrame:
     left = reliable(tidy(edges))
     vertices = left.select(F.col("u").alias("vertex")).union(left.select("v")).distinct()
     maps, turn = [], 0
-    while not left.isEmpty():
+    while n := left.count():
         ways = left.union(left.select("v", "u")).where(~_heads("u", turn) & _heads("v", turn))
         collapsed = reliable(ways.groupBy("u").agg(F.min("v").alias("parent")))
-        maps.append(collapsed)
+        maps.append((collapsed, n))
 
-        def moved(df: DataFrame, end: str, collapsed=collapsed) -> DataFrame:
+        def moved(df: DataFrame, end: str, collapsed=collapsed, n=n) -> DataFrame:
             to = collapsed.withColumnsRenamed({"u": end, "parent": "_to"})
-            return salted_join(df, to, [end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+            return salted_join(df, to, [end], "left", rows=n).withColumn(end, F.coalesce("_to", end)).drop("_to")
 
         left = reliable(tidy(moved(moved(left, "u").select("u", "v"), "v").select("u", "v")))
         turn += 1
     labels = None
-    for k, collapsed in enumerate(reversed(maps)):
+    for k, (collapsed, n) in enumerate(reversed(maps)):
         if labels is None:
             labels = collapsed.select(F.col("u").alias("vertex"), F.col("parent").alias("label"))
             continue
         later = labels.select(F.col("vertex").alias("parent"), "label")
-        now = salted_join(collapsed, later, ["parent"], "left").select(F.col("u").alias("vertex"), F.coalesce("label", "parent").alias("label"))
+        now = salted_join(collapsed, later, ["parent"], "left", rows=2 * n).select(F.col("u").alias("vertex"), F.coalesce("label", "parent").alias("label"))
         labels = labels.union(now)
         if k % 3 == 2:
             labels = reliable(labels)
