@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import mixing, splits, tokenizer
+from pagewright.llm import mixing, splits, tokenizer, truncation
 
 _CODE = "nullif(nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), ''), '-')"
 _GUID = "nullif(lower(regexp_replace({}, '^[\\s{{}}]+|[\\s{{}}]+$', '', 'g')), '')"
@@ -15,6 +15,8 @@ QUERIES = {
     "p6_sizes": tokenizer.p6_sizes,
     "p7_mix": mixing.p7_mix,
     "p7_shares": mixing.p7_shares,
+    "p8_found": truncation.p8_found,
+    "p8_rates": truncation.p8_rates,
 }
 
 ORACLES = {

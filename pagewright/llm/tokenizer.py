@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.session import table
+from pagewright.session import spread, table
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -173,7 +173,7 @@ def encoded(df: DataFrame, text: str = "text", out: str = "ids", counts_only: bo
             made = pa.array([len(x) for x in ids], pa.int32()) if counts_only else pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*[f.name for f in rest], out])
 
-    return df.select(*[f.name for f in rest], text).mapInArrow(run, T.StructType([*rest, T.StructField(out, kind)]))
+    return spread(df.select(*[f.name for f in rest], text)).mapInArrow(run, T.StructType([*rest, T.StructField(out, kind)]))
 
 
 def p6_ids(spark, sf_dir: str) -> DataFrame:
