@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import mixing, splits, tokenizer, truncation
+from pagewright.llm import confusables, mixing, splits, tokenizer, truncation
 
 _CODE = "nullif(nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), ''), '-')"
 _GUID = "nullif(lower(regexp_replace({}, '^[\\s{{}}]+|[\\s{{}}]+$', '', 'g')), '')"
@@ -11,6 +11,8 @@ QUERIES = {
     "p4_found": splits.p4_found,
     "p4_splits": splits.p4_splits,
     "p4_shares": splits.p4_shares,
+    "p5_found": confusables.p5_found,
+    "p5_forms": confusables.p5_forms,
     "p6_ids": tokenizer.p6_ids,
     "p6_sizes": tokenizer.p6_sizes,
     "p7_mix": mixing.p7_mix,
