@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pagewright.llm import confusables, mixing, splits, tokenizer, truncation
+from pagewright.llm import confusables, entity, mixing, splits, tokenizer, truncation
 
 _CODE = "nullif(nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), ''), '-')"
 _GUID = "nullif(lower(regexp_replace({}, '^[\\s{{}}]+|[\\s{{}}]+$', '', 'g')), '')"
 
 QUERIES = {
+    "p1_found": entity.p1_found,
+    "p1_matches": entity.p1_matches,
     "p4_found": splits.p4_found,
     "p4_splits": splits.p4_splits,
     "p4_shares": splits.p4_shares,
