@@ -89,7 +89,7 @@ def is_prose(text: Column) -> Column:
 
 def template_of(title: Column) -> Column:
     """The kind of book that a title names."""
-    return F.when(title.rlike(r"(?iu)ingilizce|english"), "elt").when(title.rlike(r"(?iu)soru|test|alıştırma"), "questions").otherwise("subject")
+    return F.when(fold(title).rlike("ingilizce|english"), "elt").when(fold(title).rlike("soru|test|alistirma"), "questions").otherwise("subject")
 
 
 def band_of(rate: Column) -> Column:

@@ -116,8 +116,11 @@ def suppress(boxes: DataFrame, keys: list[str], score: str, ordinal: str, thresh
 def match_detections(pred: DataFrame, truth: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """``pred`` (keys, ord, score, x0..y1) with ``hit``: by score, each takes the free truth of greatest IoU from ``threshold`` on."""
     def match(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(p):
+            return pd.DataFrame(columns=names)
         p = p.sort_values(["score", "ord"], ascending=[False, True], kind="stable")
-        gt, free = t.sort_values("ord")[["x0", "y0", "x1", "y1"]].to_numpy(float), np.ones(len(t), bool)
+        t = t.sort_values("ord") if len(t) else pd.DataFrame(columns=["x0", "y0", "x1", "y1"])
+        gt, free = t[["x0", "y0", "x1", "y1"]].to_numpy(float), np.ones(len(t), bool)
         hits = []
         for box in p[["x0", "y0", "x1", "y1"]].to_numpy(float):
             v = np.where(free, _ious(gt, box), -1.0) if len(gt) else np.array([-1.0])
@@ -128,5 +131,6 @@ def match_detections(pred: DataFrame, truth: DataFrame, keys: list[str], thresho
             hits.append(ok)
         return p.assign(hit=hits)
 
+    names = [*pred.columns, "hit"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pred.schema.fields) + ", hit boolean"
     return pred.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(match, fields)

@@ -1,16 +1,9 @@
-"""Registered queries of the page-layout and label-quality operators, each with its SQL."""
+"""Registered queries of the page-layout and label-quality operators, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pagewright.plans import aggregates, joins, selections, sequences
 
-from pagewright.session import table
-
-
-def tally_rollup(spark, d):
-    return (table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("sum_qty"), F.sum(F.when(F.col("l_discount") > 0.05, 1).otherwise(0)).alias("n_discounted")))
-
-
-QUERIES = {"tally_rollup": tally_rollup}
-ORACLES = {"tally_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS sum_qty, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS n_discounted FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"}
+MODULES = (aggregates, joins, sequences, selections)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
