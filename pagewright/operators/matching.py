@@ -119,8 +119,8 @@ def match_detections(pred: DataFrame, truth: DataFrame, keys: list[str], thresho
         if not len(p):
             return pd.DataFrame(columns=names)
         p = p.sort_values(["score", "ord"], ascending=[False, True], kind="stable")
-        t = t.sort_values("ord") if len(t) else pd.DataFrame(columns=["x0", "y0", "x1", "y1"])
-        gt, free = t[["x0", "y0", "x1", "y1"]].to_numpy(float), np.ones(len(t), bool)
+        t = t.sort_values("t_ord") if len(t) else pd.DataFrame(columns=["t_x0", "t_y0", "t_x1", "t_y1"])
+        gt, free = t[["t_x0", "t_y0", "t_x1", "t_y1"]].to_numpy(float), np.ones(len(t), bool)
         hits = []
         for box in p[["x0", "y0", "x1", "y1"]].to_numpy(float):
             v = np.where(free, _ious(gt, box), -1.0) if len(gt) else np.array([-1.0])
@@ -131,6 +131,8 @@ def match_detections(pred: DataFrame, truth: DataFrame, keys: list[str], thresho
             hits.append(ok)
         return p.assign(hit=hits)
 
+    # new names, as both sides may stem from one table
+    truth = truth.select(*[F.col(k).alias(f"t_{k}") for k in keys], *[F.col(c).alias(f"t_{c}") for c in ("ord", "x0", "y0", "x1", "y1")])
     names = [*pred.columns, "hit"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pred.schema.fields) + ", hit boolean"
-    return pred.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(match, fields)
+    return pred.groupBy(*keys).cogroup(truth.groupBy(*[f"t_{k}" for k in keys])).applyInPandas(match, fields)

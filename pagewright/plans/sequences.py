@@ -1,3 +1,151 @@
-"""Stub."""
+"""Lines, paragraphs, runs, numbering, searching."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from pagewright.functions import text as tx
+from pagewright.operators import sequence, views
+from pagewright.session import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_LINES = """WITH RECURSIVE s AS (SELECT book_id, page, span_id, text, bbox, -bbox.y1 AS down, row_number() OVER (PARTITION BY book_id, page ORDER BY -bbox.y1, span_id) AS k FROM spans WHERE bbox IS NOT NULL),
+st AS (SELECT book_id, page, k, down AS first, 1 AS line FROM s WHERE k = 1
+  UNION ALL SELECT s.book_id, s.page, s.k, CASE WHEN s.down - st.first > 2.5 THEN s.down ELSE st.first END, CASE WHEN s.down - st.first > 2.5 THEN st.line + 1 ELSE st.line END FROM st JOIN s ON s.book_id = st.book_id AND s.page = st.page AND s.k = st.k + 1)"""
+
+
+@query(f"""{_LINES} SELECT book_id, page, line, count(*) AS n_spans, round(min(bbox.x0), 3) AS x0, round(max(bbox.x1), 3) AS x1 FROM st JOIN s USING (book_id, page, k) GROUP BY 1, 2, 3""")
+def anchor_lines(spark, d) -> DataFrame:
+    """Lines of a sheet by the first span's top."""
+    lines = sequence.text_lines(table(spark, d, "spans").where("bbox is not null"))
+    return lines.select("book_id", "page", "line", "n_spans", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
+
+
+@query("""WITH o AS (SELECT *, lag(ts) OVER w AS pt, lag(event_type) OVER w AS pe FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(CASE WHEN pt IS NULL OR epoch(ts) - epoch(pt) > 3600 OR (event_type = 'signup' AND pe <> 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS p FROM o)
+SELECT user_id, p::BIGINT AS paragraph, count(*) AS n, min(event_id) AS first FROM b GROUP BY 1, 2""")
+def paragraph_sessionise(spark, d) -> DataFrame:
+    """Paragraphs by lag rules: a wide gap or a change of kind opens one."""
+    e = table(spark, d, "events")
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    opens = F.lag("ts").over(w).isNull() | (secs - F.lag(secs).over(w) > 3600) | ((F.col("event_type") == "signup") & (F.lag("event_type").over(w) != "signup"))
+    marked = e.withColumn("_opens", F.coalesce(opens, F.lit(True)))
+    s = sequence.sessions(marked, ["user_id"], ["ts", "event_id"], F.col("_opens"), "paragraph")
+    return s.groupBy("user_id", F.col("paragraph").cast("long").alias("paragraph")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+
+
+@query(f"""WITH {views.SQL}, r AS (SELECT book_id, page, rect.y0 AS lo, rect.y1 AS hi, max(rect.y1) OVER (PARTITION BY book_id, page ORDER BY rect.y0, rect.y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM act)
+SELECT book_id, page, round(reach, 4) AS gap_from, round(lo, 4) AS gap_to FROM r WHERE lo > reach""")
+def interval_valleys(spark, d) -> DataFrame:
+    """Clear horizontal bands between the regions of a sheet."""
+    a = views.activities(spark, d).select("book_id", "page", F.col("rect.y0").alias("lo"), F.col("rect.y1").alias("hi"))
+    return sequence.valleys(a, ["book_id", "page"], "lo", "hi").select("book_id", "page", F.round("gap_from", 4).alias("gap_from"), F.round("gap_to", 4).alias("gap_to"))
+
+
+@query(f"""WITH i AS (SELECT DISTINCT activity_key, number FROM item WHERE number IS NOT NULL), g AS (SELECT activity_key, count(*) AS n, max(number) AS top, min(number) AS low FROM i GROUP BY 1)
+SELECT n = top AND low = 1 AS from_one, count(*) AS n_regions, sum(n)::BIGINT AS n_items FROM g GROUP BY 1""")
+def label_run_check(spark, d) -> DataFrame:
+    """Regions whose items count from one without a hole."""
+    i = table(spark, d, "item").where("number is not null").select("activity_key", F.col("number").cast("long").alias("number")).distinct()
+    g = i.groupBy("activity_key").agg(F.collect_set("number").alias("ns"))  # a region's items are few
+    return g.groupBy(sequence.counts_from_one(F.col("ns")).alias("from_one")).agg(F.count(F.lit(1)).alias("n_regions"), F.sum(F.size("ns")).alias("n_items"))
+
+
+@query(f"""WITH {views.SQL}, v AS (SELECT book_id, page, CASE WHEN regexp_matches(label, '^[0-9]+$') THEN TRY_CAST(label AS INTEGER) END AS v FROM act), r AS (SELECT book_id, page, v, lag(v) OVER (PARTITION BY book_id, page ORDER BY v) AS p FROM (SELECT DISTINCT book_id, page, v FROM v WHERE v IS NOT NULL))
+SELECT book_id, bool_or(coalesce(v - p BETWEEN 1 AND 1, false)) AS has_run, count(*) AS n_labels FROM r GROUP BY 1""")
+def confidence_runs(spark, d) -> DataFrame:
+    """Books where two labels of a sheet follow each other."""
+    v = views.activities(spark, d).select("book_id", "page", F.expr("case when label rlike '^[0-9]+$' then try_cast(label as int) end").alias("v")).where("v is not null").distinct()
+    step = F.col("v") - F.lag("v").over(W.partitionBy("book_id", "page").orderBy("v"))
+    return v.withColumn("s", step).groupBy("book_id").agg(F.bool_or(F.coalesce(F.col("s") == 1, F.lit(False))).alias("has_run"), F.count(F.lit(1)).alias("n_labels"))
+
+
+@query()
+def dp_longest_run(spark, d) -> DataFrame:
+    """Best rising run of letter labels per column of a sheet, by the dynamic programme."""
+    a = views.activities(spark, d).where("label is not null").select(
+        "book_id", "page", "col_no", (-F.col("rect.y1")).alias("down"), tx.letter_value(F.regexp_replace("label", r"[\s.)(]", "")).alias("v"))
+    return sequence.longest_run(a, ["book_id", "page", "col_no"], "down", "v")
+
+
+@query("""WITH m AS (SELECT book_id, page, span_id, bbox.y1 AS y, bbox.x0 AS x FROM spans WHERE contains(lower(translate(text, 'İIıŞşĞğÇçÖöÜüÂâÎîÛû', 'iiissggccoouuaaiiuu')), 'olcu')),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, y DESC, x, span_id) - 1 AS number, count(*) OVER (PARTITION BY book_id) AS total FROM m)
+SELECT book_id, page, span_id, number, (number + 1) % total AS next_number, (number - 1 + total) % total AS prev_number FROM n""")
+def search_match_numbering(spark, d) -> DataFrame:
+    """Lines that hold a folded needle, numbered through the book from the top of each page, with wrapping neighbours."""
+    m = table(spark, d, "spans").where(F.contains(tx.fold(F.col("text")), F.lit("olcu"))).select("book_id", "page", "span_id", F.col("bbox.y1").alias("y"), F.col("bbox.x0").alias("x"))
+    total = m.groupBy("book_id").agg(F.count(F.lit(1)).alias("total"))
+    number = (F.row_number().over(W.partitionBy("book_id").orderBy("page", F.desc("y"), "x", "span_id")) - 1).cast("long")
+    n = m.withColumn("number", number).join(total, "book_id")
+    return n.select("book_id", "page", "span_id", "number", ((F.col("number") + 1) % F.col("total")).alias("next_number"), ((F.col("number") - 1 + F.col("total")) % F.col("total")).alias("prev_number"))
+
+
+@query("""SELECT source, count(*) AS n FROM documents WHERE contains(lower(translate(text, 'İIıŞşĞğÇçÖöÜüÂâÎîÛû', 'iiissggccoouuaaiiuu')), 'sozluk') OR contains(lower(translate(text, 'İIıŞşĞğÇçÖöÜüÂâÎîÛû', 'iiissggccoouuaaiiuu')), 'gunluk') GROUP BY 1""")
+def search_fold(spark, d) -> DataFrame:
+    t = table(spark, d, "documents")
+    f = tx.fold(F.col("text"))
+    return t.where(F.contains(f, F.lit("sozluk")) | F.contains(f, F.lit("gunluk"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {views.SQL}, k AS (SELECT round(rect.x0 / 3) AS a, round(rect.y1 / 3) AS b, page % 2 AS odd, book_id, count(DISTINCT page) AS pages FROM act GROUP BY 1, 2, 3, 4), t AS (SELECT book_id, count(DISTINCT page) AS n FROM act GROUP BY 1)
+SELECT k.book_id, a::BIGINT AS a, b::BIGINT AS b, odd::BIGINT AS odd, pages FROM k JOIN t USING (book_id) WHERE pages >= greatest(2, floor(0.03 * n))""")
+def furniture_repeats(spark, d) -> DataFrame:
+    """Places where a book's regions stand on many sheets of one parity: distinct sheets per folded place."""
+    a = views.activities(spark, d)
+    k = a.groupBy("book_id", F.round(F.col("rect.x0") / 3).cast("long").alias("a"), F.round(F.col("rect.y1") / 3).cast("long").alias("b"), (F.col("page") % 2).cast("long").alias("odd")).agg(F.countDistinct("page").alias("pages"))
+    t = a.groupBy("book_id").agg(F.countDistinct("page").alias("n"))
+    return k.join(t, "book_id").where(F.col("pages") >= F.greatest(F.lit(2), F.floor(0.03 * F.col("n")))).select("book_id", "a", "b", "odd", "pages")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber AS k, max(1 + l_quantity::BIGINT % 4) AS level FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, k::BIGINT AS k, level, (SELECT max(p.k) FROM l p WHERE p.l_orderkey = l.l_orderkey AND p.k < l.k AND p.level < l.level)::BIGINT AS parent FROM l""")
+def toc_parents(spark, d) -> DataFrame:
+    """Parent of each entry of a contents list: the latest one before of a smaller level."""
+    t = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("k")).agg(F.max(1 + F.col("l_quantity").cast("long") % 4).alias("level"))
+    return sequence.toc_parents(t, "l_orderkey", "k", "level", 4)
+
+
+@query("""WITH u AS (SELECT user_id, event_id, ts, 100 + CAST(json_extract(props, '$.k') AS BIGINT) * 10 AS size FROM events),
+r AS (SELECT *, sum(size) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS held FROM u) SELECT user_id, event_id, size, held::BIGINT AS held FROM r WHERE held <= 5000 OR held = size""")
+def budget_evict_oldest(spark, d) -> DataFrame:
+    """What stays when the oldest go until the rest fits; the newest is never evicted."""
+    u = table(spark, d, "events").select("user_id", "event_id", "ts", (100 + F.get_json_object("props", "$.k").cast("long") * 10).alias("size"))
+    held = F.sum("size").over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(W.unboundedPreceding, 0))
+    return u.withColumn("held", held).where((F.col("held") <= 5000) | (F.col("held") == F.col("size"))).select("user_id", "event_id", "size", "held")
+
+
+@query("""WITH RECURSIVE u AS (SELECT user_id, event_id, 100 + CAST(json_extract(props, '$.k') AS BIGINT) * 10 AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS used, false AS won, 0::BIGINT AS event_id FROM u UNION ALL
+  SELECT s.user_id, u.k, CASE WHEN s.used + u.size <= 5000 THEN s.used + u.size ELSE s.used END, s.used + u.size <= 5000, u.event_id FROM s JOIN u ON u.user_id = s.user_id AND u.k = s.k + 1)
+SELECT user_id, event_id FROM s WHERE won""")
+def budget_skip_fold(spark, d) -> DataFrame:
+    """Newest first under a budget, skipping what does not fit."""
+    u = table(spark, d, "events").select("user_id", "event_id", "ts", (100 + F.get_json_object("props", "$.k").cast("long") * 10).alias("size"))
+    # A kept set has at most budget / least size members; what comes after in time order is folded, not sorted in Python.
+    items = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "size")), asc=False), lambda x: F.struct(x["event_id"].alias("id"), x["size"].alias("size")))
+    return u.groupBy("user_id").agg(sequence.skip_fold(items, 5000).alias("kept")).select("user_id", F.explode("kept").alias("event_id"))
+
+
+@query("""WITH t AS (SELECT id, regexp_extract(title, '^[0-9]+/([a-zç]|[0-9]{1,2})', 1) AS l FROM (SELECT DISTINCT id, title FROM publisher_oge WHERE regexp_matches(title, '^[0-9]+/([a-zç]|[0-9]{1,2})( ed|-ed2| .ed)?$')))
+SELECT l AS label, count(*) AS n FROM t GROUP BY 1""")
+def entry_labels(spark, d) -> DataFrame:
+    """Labels parsed from titles of the plain page/label habit."""
+    t = table(spark, d, "publisher_oge").where(F.col("title").rlike("^[0-9]+/([a-zç]|[0-9]{1,2})( ed|-ed2| .ed)?$")).select("id", "title", "sayfano").distinct()
+    page = F.regexp_extract("title", "^([0-9]+)", 1).cast("int")
+    return t.select("id", tx.entry_label(F.col("title"), page).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
