@@ -19,45 +19,42 @@ from pagewright.session import reliable, table
 LARGE = 0.01
 
 
-def _heads(v: str, turn: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(turn), F.col(v)), F.lit(2)) == 1
+def _heads(v: str) -> Column:
+    return F.pmod(F.xxhash64("turn", v), F.lit(2)) == 1
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, label) of every vertex of ``edges`` (u, v): equal labels exactly within a component.
 
     Edges with a null end and loops join nothing. A star of any size costs one row an edge; hot vertices are salted
-    in the relabelling joins and pre-aggregated in the choice of a neighbour.
+    in the relabelling joins and pre-aggregated in the choice of a neighbour. The round's number is a column, so that
+    all rounds share one plan and its compiled code. Each vertex collapses once, so the maps of all rounds are one
+    forest; it is unwound by doubling, in as many joins as its depth has binary digits.
     """
     def tidy(df: DataFrame) -> DataFrame:
-        return df.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return df.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "turn").distinct()
 
-    left = reliable(tidy(edges))
-    vertices = left.select(F.col("u").alias("vertex")).union(left.select("v")).distinct()
-    maps, turn = [], 0
+    first = left = reliable(tidy(edges.select("u", "v", F.lit(0).alias("turn"))))
+    forest, turns = None, 0
     while n := left.count():
-        ways = left.union(left.select("v", "u")).where(~_heads("u", turn) & _heads("v", turn))
+        ways = left.union(left.select("v", "u", "turn")).where(~_heads("u") & _heads("v"))
         collapsed = reliable(ways.groupBy("u").agg(F.min("v").alias("parent")))
-        maps.append((collapsed, n))
-
-        def moved(df: DataFrame, end: str, collapsed=collapsed, n=n) -> DataFrame:
+        forest = collapsed if forest is None else forest.union(collapsed)
+        turns += 1
+        for end in ("u", "v"):
             to = collapsed.withColumnsRenamed({"u": end, "parent": "_to"})
-            return salted_join(df, to, [end], "left", rows=n).withColumn(end, F.coalesce("_to", end)).drop("_to")
-
-        left = reliable(tidy(moved(moved(left, "u").select("u", "v"), "v").select("u", "v")))
-        turn += 1
-    labels = None
-    for k, (collapsed, n) in enumerate(reversed(maps)):
-        if labels is None:
-            labels = collapsed.select(F.col("u").alias("vertex"), F.col("parent").alias("label"))
-            continue
-        later = labels.select(F.col("vertex").alias("parent"), "label")
-        now = salted_join(collapsed, later, ["parent"], "left", rows=2 * n).select(F.col("u").alias("vertex"), F.coalesce("label", "parent").alias("label"))
-        labels = labels.union(now)
-        if k % 3 == 2:
-            labels = reliable(labels)
-    if labels is None:
+            left = salted_join(left, to, [end], "left", rows=n).select(*[F.coalesce("_to", c).alias(c) if c == end else F.col(c) for c in ("u", "v", "turn")])
+        left = reliable(tidy(left.withColumn("turn", F.col("turn") + 1)))
+    vertices = first.select(F.col("u").alias("vertex")).union(first.select("v")).distinct()
+    if forest is None:
         return vertices.withColumn("label", F.col("vertex"))
+    forest = reliable(forest)
+    n, depth = forest.count(), 1
+    while depth < turns:
+        up = forest.select(F.col("u").alias("parent"), F.col("parent").alias("_up"))
+        forest = reliable(salted_join(forest, up, ["parent"], "left", rows=n).select("u", F.coalesce("_up", "parent").alias("parent")))
+        depth *= 2
+    labels = forest.select(F.col("u").alias("vertex"), F.col("parent").alias("label"))
     return vertices.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
 
 
