@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         forest = collapsed if forest is None else forest.union(collapsed)
         turns += 1
         for end in ("u", "v"):
-            to = collapsed.withColumnsRenamed({"u": end, "parent": "_to"})
+            # many rounds: a broadcast each would pile up on the driver
+            to = collapsed.withColumnsRenamed({"u": end, "parent": "_to"}).hint("merge")
             left = salted_join(left, to, [end], "left", rows=n).select(*[F.coalesce("_to", c).alias(c) if c == end else F.col(c) for c in ("u", "v", "turn")])
         left = reliable(tidy(left.withColumn("turn", F.col("turn") + 1)))
     vertices = first.select(F.col("u").alias("vertex")).union(first.select("v")).distinct()
@@ -51,7 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
     forest = reliable(forest)
     n, depth = forest.count(), 1
     while depth < turns:
-        up = forest.select(F.col("u").alias("parent"), F.col("parent").alias("_up"))
+        up = forest.select(F.col("u").alias("parent"), F.col("parent").alias("_up")).hint("merge")
         forest = reliable(salted_join(forest, up, ["parent"], "left", rows=n).select("u", F.coalesce("_up", "parent").alias("parent")))
         depth *= 2
     labels = forest.select(F.col("u").alias("vertex"), F.col("parent").alias("label"))
