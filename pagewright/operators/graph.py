@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.session import reliable
+from pagewright.session import release, reliable, written
 
 
 def min_label(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -15,12 +15,12 @@ def min_label(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     label changes. Vertices without edges keep themselves.
     """
     both = reliable(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select("v", "u")).distinct())
-    labels = reliable(vertices.select(F.col(vertices.columns[0]).alias("vertex")).distinct().withColumn("label", F.col("vertex")))
+    labels = written(vertices.select(F.col(vertices.columns[0]).alias("vertex")).distinct().withColumn("label", F.col("vertex")))
     while True:
-        around = both.join(labels.withColumnRenamed("vertex", "u"), "u").groupBy("v").agg(F.min("label").alias("near")).withColumnRenamed("v", "vertex")
+        around = both.join(labels.select(F.col("vertex").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near")).withColumnRenamed("v", "vertex")
         seen = labels.join(around, "vertex", "left").select("vertex", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("vertex").alias("label"), F.col("label").alias("far"))
-        labels = reliable(seen.join(jump, "label", "left").select("vertex", "was", F.least("label", "far").alias("label")))
+        before, labels = labels, written(seen.join(jump, "label", "left").select("vertex", "was", F.least("label", "far").alias("label")))
+        release(before)
         if labels.where("was <> label").isEmpty():
             return labels.drop("was")
-        labels = labels.drop("was")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.session import reliable
+from pagewright.session import written
 
 
 def reach(x: Column, left: Column, right: Column) -> Column:
@@ -43,12 +43,12 @@ def greedy_by_rounds(pairs: DataFrame, keys: list[str], left: str, right: str, o
 
     Equal to the sequential greedy as the order is total; each round is two windows over small groups and two anti-joins.
     """
-    rest, taken = reliable(pairs), None
+    rest, taken = written(pairs), None
     lw, rw = W.partitionBy(*keys, left).orderBy(*order), W.partitionBy(*keys, right).orderBy(*order)
     while not rest.isEmpty():
-        best = reliable(rest.withColumn("_l", F.row_number().over(lw)).withColumn("_r", F.row_number().over(rw)).where("_l = 1 and _r = 1").drop("_l", "_r"))
+        best = written(rest.withColumn("_l", F.row_number().over(lw)).withColumn("_r", F.row_number().over(rw)).where("_l = 1 and _r = 1").drop("_l", "_r"))
         taken = best if taken is None else taken.unionByName(best)
-        rest = reliable(rest.join(best.select(*keys, left), [*keys, left], "left_anti").join(best.select(*keys, right), [*keys, right], "left_anti"))
+        rest = written(rest.join(best.select(*keys, left), [*keys, left], "left_anti").join(best.select(*keys, right), [*keys, right], "left_anti"))
     return taken if taken is not None else pairs.limit(0)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,19 +13,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (single-machine
-    tests) a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; only where that is unset, a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-"))
+    return sc.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder; partitions and their order stay as they are."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder.
+
+    For loops: a checkpointed frame keeps the constraints the optimizer inferred, which grow from round to round; a
+    table that is read again has none.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames from ``written`` that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
