@@ -7,13 +7,15 @@ rounds' maps are then unwound to labels. Components are split by cumulative weig
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.keys import guid
 from pagewright.operators.prefix import running_sum
 from pagewright.operators.skew import salted_join
-from pagewright.session import reliable, table
+from pagewright.session import release, reliable, table, written
 
 #: A component of at least this share of all weight is placed by itself; there are at most 1 / LARGE of them.
 LARGE = 0.01
@@ -34,26 +36,30 @@ def components(edges: DataFrame) -> DataFrame:
     def tidy(df: DataFrame) -> DataFrame:
         return df.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "turn").distinct()
 
-    first = left = reliable(tidy(edges.select("u", "v", F.lit(0).alias("turn"))))
-    forest, turns = None, 0
+    first = left = written(tidy(edges.select("u", "v", F.lit(0).alias("turn"))))
+    maps = []
     while n := left.count():
-        ways = left.union(left.select("v", "u", "turn")).where(~_heads("u") & _heads("v"))
-        collapsed = reliable(ways.groupBy("u").agg(F.min("v").alias("parent")))
-        forest = collapsed if forest is None else forest.union(collapsed)
-        turns += 1
+        ways = left.select("u", "v", "turn").union(left.select("v", "u", "turn")).where(~_heads("u") & _heads("v"))
+        collapsed = written(ways.groupBy("u").agg(F.min("v").alias("parent")))
+        maps.append(collapsed)
+        moved = left
         for end in ("u", "v"):
             # many rounds: a broadcast each would pile up on the driver
             to = collapsed.withColumnsRenamed({"u": end, "parent": "_to"}).hint("merge")
-            left = salted_join(left, to, [end], "left", rows=n).select(*[F.coalesce("_to", c).alias(c) if c == end else F.col(c) for c in ("u", "v", "turn")])
-        left = reliable(tidy(left.withColumn("turn", F.col("turn") + 1)))
+            moved = salted_join(moved, to, [end], "left", rows=n).select(*[F.coalesce("_to", c).alias(c) if c == end else F.col(c) for c in ("u", "v", "turn")])
+        before, left = left, written(tidy(moved.withColumn("turn", F.col("turn") + 1)))
+        if before is not first:
+            release(before)
     vertices = first.select(F.col("u").alias("vertex")).union(first.select("v")).distinct()
-    if forest is None:
+    if not maps:
         return vertices.withColumn("label", F.col("vertex"))
-    forest = reliable(forest)
+    forest = written(reduce(DataFrame.union, maps))
+    release(*maps)
     n, depth = forest.count(), 1
-    while depth < turns:
+    while depth < len(maps):
         up = forest.select(F.col("u").alias("parent"), F.col("parent").alias("_up")).hint("merge")
-        forest = reliable(salted_join(forest, up, ["parent"], "left", rows=n).select("u", F.coalesce("_up", "parent").alias("parent")))
+        before, forest = forest, written(salted_join(forest, up, ["parent"], "left", rows=n).select("u", F.coalesce("_up", "parent").alias("parent")))
+        release(before)
         depth *= 2
     labels = forest.select(F.col("u").alias("vertex"), F.col("parent").alias("label"))
     return vertices.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
