@@ -21,17 +21,17 @@ def auc(rows: DataFrame, keys: list[str], score: str, positive: str) -> DataFram
 
 def average_precision(pred: DataFrame, truths: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
     """Interpolated average precision of (keys, score, ord, hit) against (keys, truths); null where there is no truth."""
-    order = W.partitionBy(*keys).orderBy(F.desc("score"), "ord").rowsBetween(W.unboundedPreceding, 0)
-    run = pred.withColumn("tp", F.sum(F.col("hit").cast("long")).over(order)).withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "ord")))
-    tail = W.partitionBy(*keys).orderBy("k").rowsBetween(0, W.unboundedFollowing)
-    env = run.withColumn("envelope", F.max(F.col("tp") / F.col("k")).over(tail)).join(truths.where("truths > 0"), keys)
-    # A row is the best envelope of every point up to its recall; the greatest envelope per last point is enough.
-    last = F.floor(F.col("tp") * (points - 1) / F.col("truths")).cast("int")
-    best = env.groupBy(*keys, last.alias("last")).agg(F.max("envelope").alias("v"))
-    prior = F.max("last").over(W.partitionBy(*keys).orderBy("last").rowsBetween(W.unboundedPreceding, -1))
-    upper = F.max("v").over(W.partitionBy(*keys).orderBy("last").rowsBetween(0, W.unboundedFollowing))
-    spans = best.withColumn("take", F.col("last") - F.coalesce(prior, F.lit(-1))).withColumn("v", upper)
-    summed = spans.groupBy(*keys).agg((F.sum(F.col("take") * F.col("v")) / points).alias("_ap"))
+    by_score = W.partitionBy(*keys).orderBy(F.desc("score"), "ord")
+    run = pred.withColumn("_tp", F.sum(F.col("hit").cast("long")).over(by_score.rowsBetween(W.unboundedPreceding, 0))).withColumn("_rank", F.row_number().over(by_score))
+    tail = W.partitionBy(*keys).orderBy("_rank").rowsBetween(0, W.unboundedFollowing)
+    env = run.withColumn("_env", F.max(F.col("_tp") / F.col("_rank")).over(tail)).join(truths.where("truths > 0"), keys)
+    # A row holds for every point up to its recall; the greatest envelope per last point is enough.
+    last = F.floor(F.col("_tp") * (points - 1) / F.col("truths")).cast("int")
+    best = env.groupBy(*keys, last.alias("_last")).agg(F.max("_env").alias("_v"))
+    prior = F.max("_last").over(W.partitionBy(*keys).orderBy("_last").rowsBetween(W.unboundedPreceding, -1))
+    upper = F.max("_v").over(W.partitionBy(*keys).orderBy("_last").rowsBetween(0, W.unboundedFollowing))
+    spans = best.withColumn("_take", F.col("_last") - F.coalesce(prior, F.lit(-1))).withColumn("_v", upper)
+    summed = spans.groupBy(*keys).agg((F.sum(F.col("_take") * F.col("_v")) / points).alias("_ap"))
     return truths.join(summed, keys, "left").select(*keys, F.when(F.col("truths") > 0, F.coalesce("_ap", F.lit(0.0))).alias("ap"))
 
 
