@@ -149,3 +149,12 @@ def entry_labels(spark, d) -> DataFrame:
     t = table(spark, d, "publisher_oge").where(F.col("title").rlike("^[0-9]+/([a-zç]|[0-9]{1,2})( ed|-ed2| .ed)?$")).select("id", "title", "sayfano").distinct()
     page = F.regexp_extract("title", "^([0-9]+)", 1).cast("int")
     return t.select("id", tx.entry_label(F.col("title"), page).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def xy_cut_leaves(spark, d) -> DataFrame:
+    """Leaves of the recursive cut of each sheet's lines."""
+    from pagewright.operators.layout import xy_cut
+
+    b = table(spark, d, "spans").where("bbox is not null").select("book_id", "page", F.col("span_id").alias("ord"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+    return xy_cut(b, ["book_id", "page"]).groupBy("book_id", "page", "leaf").agg(F.count(F.lit(1)).alias("n_lines"), F.min("x0").alias("x0"), F.max("y1").alias("y1"))
