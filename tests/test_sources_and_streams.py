@@ -7,7 +7,7 @@ from pagewright.streaming import requests
 
 def test_catalogue_and_manifest(spark, tmp_path):
     u = "03eb95bb-3a93-4f99-a2df-36d02f9c40d9"
-    (tmp_path / "c.txt").write_text(f"Kitap A: https://x/Etkilesimlikitap/{u}/pdf.pdf\n\nkaputt\nKitap B: https://x/y/{u.upper()}/pdf.pdf\n")
+    (tmp_path / "c.txt").write_text(f"Kitap A: https://x/z/{u}/pdf.pdf\n\nkaputt\nKitap B: https://x/y/{u.upper()}/pdf.pdf\n")
     assert [(r["index"], r.title) for r in readers.catalogue(spark, str(tmp_path / "c.txt")).collect()] == [(1, "Kitap A"), (3, "Kitap B")]
     (tmp_path / f"{u}.json").write_text(json.dumps({"id": "k", "kitapogeList": [{"id": "o1", "ogeturu": 1, "posx": 3.5, "baslik": "42/a"}, {"id": "o2", "sayfano": 7}]}))
     rows = readers.manifest_entries(spark, str(tmp_path / f"{u}.json")).orderBy("ord").collect()
