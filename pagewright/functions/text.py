@@ -51,6 +51,23 @@ def marker_label(c: Column) -> Column:
             .when(letter != "", made("letter", letter_value(letter), lower_tr(letter))))
 
 
+def tidy_label(c: Column) -> Column:
+    """A region's label as entry labels are written: lower case, without blanks, stops, colons and brackets around it."""
+    return F.regexp_replace(lower_tr(c), r"^[\s.:()]+|[\s.:()]+$", "")
+
+
+def label_value(c: Column) -> Column:
+    """(kind, value) of a region's label, bare or written as a marker; null where it is none."""
+    bare = tidy_label(c)
+    marker = marker_label(c)
+
+    def made(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("double").alias("value"))
+
+    return (F.when(bare.rlike(r"^0*[1-9][0-9]{0,2}$"), made("digit", bare)).when(letter_value(bare).isNotNull(), made("letter", letter_value(bare)))
+            .when(marker.isNotNull() & (marker["value"] >= 1), F.struct(marker["kind"].alias("kind"), marker["value"].alias("value"))))
+
+
 def entry_label(title: Column, page: Column) -> Column:
     """The exercise label that a publisher's title carries, null where it carries none.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as geo
+from pagewright.functions import text as tx
 from pagewright.operators import graph, matching, views
 from pagewright.session import reliable, table
 
@@ -23,15 +24,15 @@ def query(sql: str | None = None):
     return add
 
 
-def _placed(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Entries and regions of printed pages, in percent of the sheet."""
+def _placed(spark, d, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Entries (interactive ones, or with ``every`` all, flagged ``strict``) and regions of printed pages, in percent of the sheet."""
     s = views.sheets(spark, d).where("printed_page is not null")
     a = views.activities(spark, d).where("kind = 'activity'").join(s, ["book_id", "page"])
     left, top, right, bottom = geo.percent_view(F.col("rect"), F.col("width"), F.col("height"))
-    regions = a.select("book_id", F.col("printed_page").alias("printed"), F.col("activity_key").alias("region_ord"), F.col("label").alias("r_label"), left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"), F.lit(False).alias("bound"))
-    entries = views.entries(spark, d).where(views.interactive()).select(
-        "book_id", F.col("sayfano").alias("printed"), F.col("id").alias("entry_ord"), F.regexp_extract("title", "^[0-9]+/([a-zç])", 1).alias("e_label"), "x", "y")
-    return entries, regions
+    regions = a.select("book_id", F.col("printed_page").alias("printed"), F.col("activity_key").alias("region_ord"), tx.tidy_label(F.col("label")).alias("r_label"), left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"), F.lit(False).alias("bound"))
+    entries = views.entries(spark, d).select(
+        "book_id", F.col("sayfano").alias("printed"), F.col("id").alias("entry_ord"), tx.entry_label(F.col("title"), F.col("sayfano")).alias("e_label"), "x", "y", F.coalesce(views.interactive(), F.lit(False)).alias("strict"))
+    return (entries if every else entries.where("strict").drop("strict")), regions
 
 
 _PLACED = f"""{views.SQL},
