@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
-from pagewright.operators import metrics, tally, views
-from pagewright.session import table
+from pagewright.operators import matching, metrics, tally, views
+from pagewright.plans import joins
+from pagewright.session import reliable, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -93,6 +94,16 @@ def marker_calibration(spark, d) -> DataFrame:
     return sizes.join(fonts, "book_id").select("book_id", F.col("v.size").alias("marker_size"), "fonts")
 
 
+def _faulty(spark, d) -> DataFrame:
+    """(region_ord, faulty) of regions that break a rule: taller than .7 of the sheet, under 6 points wide or high, or sharing over one square point with another."""
+    a = views.activities(spark, d).select("book_id", "page", F.col("activity_key").alias("region_ord"), "rect")
+    r = F.col("rect")
+    odd = a.join(views.sheets(spark, d), ["book_id", "page"]).where((geo.height(r) > 0.7 * F.col("height")) | (geo.width(r) < 6) | (geo.height(r) < 6)).select("region_ord")
+    o = a.select("book_id", "page", F.col("region_ord").alias("other"), r.alias("q"))
+    shared = a.join(o, ["book_id", "page"]).where((F.col("region_ord") != F.col("other")) & (geo.overlap(r, F.col("q")) > 1)).select("region_ord")
+    return odd.unionByName(shared).distinct().withColumn("faulty", F.lit(True))
+
+
 @query(f"""WITH {views.SQL}, pages AS (SELECT DISTINCT a.book_id, sh.printed_page FROM act a JOIN sh USING (book_id, page) WHERE a.kind = 'activity'),
 printed AS (SELECT DISTINCT book_id, printed_page FROM sh WHERE printed_page IS NOT NULL),
 b AS (SELECT en.id, CASE WHEN pr.book_id IS NULL THEN 'unresolved-page' WHEN p.book_id IS NULL THEN 'page-blank' WHEN x = 0 AND y = 0 THEN 'anchor-excluded' WHEN y IS NULL THEN 'no-position' ELSE 'contested' END AS bucket
@@ -100,13 +111,26 @@ b AS (SELECT en.id, CASE WHEN pr.book_id IS NULL THEN 'unresolved-page' WHEN p.b
 SELECT n.bucket, count(b.id) AS n FROM (SELECT unnest(['ok', 'rule-violation', 'page-blank', 'anchor-excluded', 'anchor-nogrow', 'contested', 'no-position', 'confidence-gated', 'label-mismatch', 'drift', 'wrong-side', 'page-not-read', 'unresolved-page']) AS bucket) n
 LEFT JOIN b USING (bucket) GROUP BY 1""")
 def bucket_histogram(spark, d) -> DataFrame:
-    """Entries by the first cause that keeps them from being reached, all 13 causes with their zeros."""
+    """Entries by the first cause that keeps them from being reached, all 13 causes with their zeros.
+
+    Linked entries are ok, or rule-violation where their region breaks a rule; of the rest, one with a candidate region is contested,
+    one without has the first of the gates' reasons. Only interactive entries are linked. The tables hold no anchors, page slices or
+    book confidence, so anchor-nogrow, page-not-read and confidence-gated stay 0, and no panels, so a cut breaks no rule here.
+    """
     sheets = views.sheets(spark, d)
     with_regions = views.activities(spark, d).where("kind = 'activity'").join(sheets, ["book_id", "page"]).select("book_id", F.col("printed_page").alias("sayfano")).distinct().withColumn("has", F.lit(True))
     printed = sheets.where("printed_page is not null").select("book_id", F.col("printed_page").alias("sayfano")).distinct().withColumn("read", F.lit(True))
+    keys = ["book_id", "printed"]
+    pairs = reliable(matching.gated_pairs(*joins._placed(spark, d, every=True), keys).select(*keys, "entry_ord", "region_ord", "cost", "reason", "strict"))
+    links = matching.greedy_by_sheet(pairs.where("strict and reason is null").drop("reason", "strict"), keys, "entry_ord", "region_ord", ["cost", "entry_ord", "region_ord"])
+    linked = links.join(_faulty(spark, d), "region_ord", "left").select("book_id", F.col("printed").alias("sayfano"), F.col("entry_ord").alias("id"), F.when(F.col("faulty"), "rule-violation").otherwise("ok").alias("linked"))
+    gates = ("contested", *[b for b in tally.BUCKETS if b in ("no-position", "confidence-gated", "label-mismatch", "drift", "wrong-side")])
+    rank = F.array_position(F.lit(list(gates)), F.coalesce("reason", F.lit("contested")))
+    stopped = pairs.groupBy("book_id", F.col("printed").alias("sayfano"), F.col("entry_ord").alias("id")).agg(F.min_by(F.coalesce("reason", F.lit("contested")), rank).alias("gate"))
     e = views.entries(spark, d).join(printed, ["book_id", "sayfano"], "left").join(with_regions, ["book_id", "sayfano"], "left")
-    bucket = (F.when(F.col("read").isNull(), "unresolved-page").when(F.col("has").isNull(), "page-blank").when((F.col("x") == 0) & (F.col("y") == 0), "anchor-excluded")
-              .when(F.col("y").isNull(), "no-position").otherwise("contested"))
+    e = e.join(linked, ["book_id", "sayfano", "id"], "left").join(stopped, ["book_id", "sayfano", "id"], "left")
+    bucket = (F.when(F.col("linked").isNotNull(), F.col("linked")).when(F.col("read").isNull(), "unresolved-page").when(F.col("has").isNull(), "page-blank")
+              .when((F.col("x") == 0) & (F.col("y") == 0), "anchor-excluded").otherwise(F.col("gate")))
     return tally.zero_filled(e.select(bucket.alias("bucket")), "bucket", tally.BUCKETS)
 
 
