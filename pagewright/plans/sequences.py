@@ -70,10 +70,11 @@ def label_run_check(spark, d) -> DataFrame:
 @query(f"""WITH {views.SQL}, v AS (SELECT book_id, page, CASE WHEN regexp_matches(label, '^[0-9]+$') THEN TRY_CAST(label AS INTEGER) END AS v FROM act), r AS (SELECT book_id, page, v, lag(v) OVER (PARTITION BY book_id, page ORDER BY v) AS p FROM (SELECT DISTINCT book_id, page, v FROM v WHERE v IS NOT NULL))
 SELECT book_id, bool_or(coalesce(v - p BETWEEN 1 AND 1, false)) AS has_run, count(*) AS n_labels FROM r GROUP BY 1""")
 def confidence_runs(spark, d) -> DataFrame:
-    """Books where two labels of a sheet follow each other."""
-    v = views.activities(spark, d).select("book_id", "page", F.expr("case when label rlike '^[0-9]+$' then try_cast(label as int) end").alias("v")).where("v is not null").distinct()
-    step = F.col("v") - F.lag("v").over(W.partitionBy("book_id", "page").orderBy("v"))
-    return v.withColumn("s", step).groupBy("book_id").agg(F.bool_or(F.coalesce(F.col("s") == 1, F.lit(False))).alias("has_run"), F.count(F.lit(1)).alias("n_labels"))
+    """Every book that has regions, with whether two labels of one kind follow each other on a sheet, by at most one step (c and ç are half a step)."""
+    v = views.activities(spark, d).select("book_id", "page", tx.label_value(F.col("label")).alias("l")).select("book_id", "page", "l.kind", "l.value").distinct()
+    step = F.col("value") - F.lag("value").over(W.partitionBy("book_id", "page", "kind").orderBy("value"))
+    follows = (F.col("s") > 0) & (F.col("s") <= 1)
+    return v.withColumn("s", step).groupBy("book_id").agg(F.bool_or(F.coalesce(follows, F.lit(False))).alias("has_run"), F.count("value").alias("n_labels"))
 
 
 @query()
