@@ -75,6 +75,36 @@ def longest_run(rows: DataFrame, keys: list[str], order: str, value: str, gap: f
     return rows.groupBy(*keys).applyInPandas(best, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, score double")
 
 
+def longest_label_run(rows: DataFrame, keys: list[str], order: str, kind: str, value: str, gap: float = 0.01) -> DataFrame:
+    """(keys, n, score, n_kept): the programme of ``longest_run`` in each kind, where a label of value 1 may restart after any other.
+
+    ``n`` and ``score`` are the better kind's (of equal scores, the first kind by name), ``n_kept`` the labels of all kinds' runs. Letters
+    whose score stays under 2 are no run unless it ends at value 1. A group is one column of a sheet.
+    """
+    def run(name: str, v: list[float]) -> tuple[float, int]:
+        score, size = [1.0] * len(v), [1] * len(v)
+        for i, x in enumerate(v):
+            for j in range(i):
+                if v[j] < x or x == 1.0:
+                    s = score[j] + 1 - (gap * max(x - v[j] - 1, 0.0) if v[j] < x else 0.0)
+                    if s > score[i]:
+                        score[i], size[i] = s, size[j] + 1
+        k = max(range(len(v)), key=score.__getitem__)
+        return (0.0, 0) if score[k] < 2 and name == "letter" and v[k] != 1.0 else (score[k], size[k])
+
+    def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        runs: dict[str, list[float]] = {}
+        for _, name, v in sorted(zip(pdf[order], pdf[kind], pdf[value], strict=True), key=lambda x: x[0]):
+            if name is not None:
+                runs.setdefault(name, []).append(v)
+        found = [run(name, v) for name, v in sorted(runs.items())] or [(0.0, 0)]
+        score, n = max(found, key=lambda x: x[0])
+        return pd.DataFrame([(*key, n, score, sum(x[1] for x in found))], columns=[*keys, "n", "score", "n_kept"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.groupBy(*keys).applyInPandas(best, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, score double, n_kept long")
+
+
 def counts_from_one(values: Column) -> Column:
     """Whether the distinct values of an array are 1..n; an empty array is none."""
     s = F.array_sort(F.array_distinct(F.array_compact(values)))

@@ -79,10 +79,12 @@ def confidence_runs(spark, d) -> DataFrame:
 
 @query()
 def dp_longest_run(spark, d) -> DataFrame:
-    """Best rising run of letter labels per column of a sheet, by the dynamic programme."""
+    """Best run of labels per column of a sheet, by the dynamic programme in each kind; ``n_kept`` counts the runs of all kinds."""
     a = views.activities(spark, d).where("label is not null").select(
-        "book_id", "page", "col_no", (-F.col("rect.y1")).alias("down"), tx.letter_value(F.regexp_replace("label", r"[\s.)(]", "")).alias("v"))
-    return sequence.longest_run(a, ["book_id", "page", "col_no"], "down", "v")
+        "book_id", "page", "col_no", F.struct((-F.col("rect.y1")).alias("y"), F.col("rect.x0").alias("x"), "activity_key").alias("at"), tx.label_value(F.col("label")).alias("l"))
+    w = W.partitionBy("book_id", "page", "col_no").orderBy("at")
+    ranked = a.select("book_id", "page", "col_no", F.row_number().over(w).alias("down"), F.col("l.kind").alias("kind"), F.col("l.value").alias("v"))
+    return sequence.longest_label_run(ranked, ["book_id", "page", "col_no"], "down", "kind", "v")
 
 
 @query("""WITH m AS (SELECT book_id, page, span_id, bbox.y1 AS y, bbox.x0 AS x FROM spans WHERE contains(lower(translate(text, 'İIıŞşĞğÇçÖöÜüÂâÎîÛû', 'iiissggccoouuaaiiuu')), 'olcu')),
