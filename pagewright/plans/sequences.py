@@ -148,10 +148,9 @@ def budget_skip_fold(spark, d) -> DataFrame:
 @query("""WITH t AS (SELECT id, regexp_extract(title, '^[0-9]+/([a-zç]|[0-9]{1,2})', 1) AS l FROM (SELECT DISTINCT id, title FROM publisher_oge WHERE regexp_matches(title, '^[0-9]+/([a-zç]|[0-9]{1,2})( ed|-ed2| .ed)?$')))
 SELECT l AS label, count(*) AS n FROM t GROUP BY 1""")
 def entry_labels(spark, d) -> DataFrame:
-    """Labels parsed from titles of the plain page/label habit."""
-    t = table(spark, d, "publisher_oge").where(F.col("title").rlike("^[0-9]+/([a-zç]|[0-9]{1,2})( ed|-ed2| .ed)?$")).select("id", "title", "sayfano").distinct()
-    page = F.regexp_extract("title", "^([0-9]+)", 1).cast("int")
-    return t.select("id", tx.entry_label(F.col("title"), page).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """Labels parsed from all titles, by the entry's page; the null label counts the titles without one."""
+    t = table(spark, d, "publisher_oge").select("id", "title", "sayfano").distinct()
+    return t.select("id", tx.entry_label(F.col("title"), F.col("sayfano")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
