@@ -115,8 +115,8 @@ def _blocks(kind: str, *parts: Column) -> Column:
 def candidates(e: DataFrame, r: DataFrame) -> DataFrame:
     """(e, r, evidence) of pairs that agree on a page and on label, name or place, or that nothing else tells apart.
 
-    Blocks are equi-joined on (book, page, attribute). Where a key has more than CROWD regions, the place must agree
-    too. Labels that differ exclude a pair.
+    Blocks are equi-joined on (book, page, attribute). Where a key has more than CROWD regions, a second attribute must
+    agree too: the place, or of label and name the other. Labels that differ exclude a pair.
     """
     own = e.withColumn("p", F.explode(F.array_distinct(F.filter(F.array(
         F.struct(F.col("page").alias("at"), F.lit(0).alias("near")), F.struct(F.col("title_page").alias("at"), F.lit(0).alias("near")),
@@ -137,10 +137,15 @@ def candidates(e: DataFrame, r: DataFrame) -> DataFrame:
     crowds = reliable(rk.groupBy("book", "at", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD))
     ek = own.withColumn("block", F.explode(F.array_compact(keys_e)))
     if not crowds.isEmpty():
-        rk = rk.join(crowds, ["book", "at", "block"], "left").withColumn("block", F.when(F.col("n").isNull(), F.col("block")).otherwise(_blocks("crowd", F.col("block"), tbin))).drop("n")
+        def both(name: str) -> Column:
+            said = F.col("label").isNotNull() & F.col(name).isNotNull() & (F.col("block").startswith("label\x01") | F.col("block").startswith("name\x01"))
+            return F.when(said, _blocks("both", F.col("label"), F.col(name)))
+
+        held = F.when(F.col("n").isNull(), F.array("block")).otherwise(F.array_compact(F.array(_blocks("crowd", F.col("block"), tbin), both("head"))))
+        rk = rk.join(crowds, ["book", "at", "block"], "left").withColumn("block", F.explode(held)).drop("n").distinct()
         wide = ek.join(crowds, ["book", "at", "block"], "left")
-        steps = F.when(F.col("n").isNull(), F.array("block")).otherwise(F.array(*[_blocks("crowd", F.col("block"), ybin + k) for k in (-1, 0, 1)]))
-        ek = wide.withColumn("block", F.explode(steps)).drop("n")
+        steps = F.when(F.col("n").isNull(), F.array("block")).otherwise(F.array_compact(F.array(*[_blocks("crowd", F.col("block"), ybin + k) for k in (-1, 0, 1)], both("name"))))
+        ek = wide.withColumn("block", F.explode(steps)).drop("n").distinct()
     names = e.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select(F.col("name").alias("head"), F.lit(True).alias("is_name"))
     rk = salted_join(rk, names, ["head"], "left")
     heads = r.where("head is not null").groupBy("head").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select(F.col("head").alias("name"), F.lit(True).alias("is_head"))
