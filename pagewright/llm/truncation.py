@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.skew import salted_join
 from pagewright.session import reliable, spread, table
 
 #: Longest context in characters.
@@ -278,26 +279,31 @@ def scored(docs: DataFrame) -> DataFrame:
     return found.mapInPandas(run, "doc_id long, lang string, source string, tail string, kind string, log_odds double")
 
 
-def thresholds(rows: DataFrame) -> dict[str | None, float]:
-    """Per language, the least crowded point between cut and whole texts within LOW..HIGH; its histogram has 17 bins.
+def thresholds(rows: DataFrame) -> tuple[float, DataFrame]:
+    """The least crowded point between cut and whole texts within LOW..HIGH over all rows, and (lang, own) of each language with its own.
 
-    Languages with few texts (below 200) share the threshold of all.
+    A histogram has 17 bins. Languages with few texts (below 200) share the threshold of all.
     """
     step = 0.25
-    binned = rows.where(F.col("log_odds").between(LOW, HIGH)).groupBy("lang", F.floor((F.col("log_odds") - LOW) / step).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
     bins = int((HIGH - LOW) / step) + 1
-    found = {None: np.zeros(bins)}
-    for r in binned.where(F.col("lang").isin([x for x in sizes if x is not None]) | F.col("lang").isNull()).collect():
-        found.setdefault(r.lang, np.zeros(bins))[r.bin] += r.n
-    every = sum(found.values())
+    at = F.when(F.col("log_odds").between(LOW, HIGH), F.floor((F.col("log_odds") - LOW) / step).cast("int"))
+    binned = reliable(rows.groupBy("lang", at.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    every = np.zeros(bins)
+    for r in binned.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        every[r.bin] = r.n
 
     def valley(h: np.ndarray) -> float:
         smooth = np.convolve(h, [1, 2, 1], "same")
         low = np.nonzero(smooth[1:-1] == smooth[1:-1].min())[0] + 1
         return LOW + step * (float(np.median(low)) + 0.5)
 
-    return {x: valley(found.get(x, every)) if sizes[x] >= 200 and x is not None else valley(every) for x in sizes}
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, inside = np.zeros(bins), pdf.dropna(subset=["bin"])
+        h[inside["bin"].astype(int)] = inside["n"]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "own": [valley(h if len(inside) else every)]})
+
+    large = binned.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("_all")).where("_all >= 200").select("lang")
+    return valley(every), binned.join(large, "lang").groupBy("lang").applyInPandas(own, "lang string, own double")
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -306,10 +312,9 @@ def judged(docs: DataFrame) -> DataFrame:
     Equal texts get equal verdicts; a language or source may be null. An empty table gives no row.
     """
     rows = reliable(scored(docs))
-    limit = F.lit(None).cast("double")
-    for lang, x in thresholds(rows).items():
-        limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(x)).otherwise(limit)
-    return rows.withColumn("truncated", F.coalesce(F.col("log_odds") < limit, F.lit(False)))
+    common, own = thresholds(rows)
+    limit = F.coalesce("own", F.lit(common))
+    return salted_join(rows, own, ["lang"], "left").withColumn("truncated", F.coalesce(F.col("log_odds") < limit, F.lit(False))).drop("own")
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
