@@ -7,6 +7,8 @@ its pairs be true. Messages are exchanged by joins until no marginal moves; the
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,14 +168,15 @@ def candidates(e: DataFrame, r: DataFrame) -> DataFrame:
     return pairs.select("e", "r", evidence.alias("evidence")).groupBy("e", "r").agg(F.max("evidence").alias("evidence"))
 
 
-def marginals(pairs: DataFrame, tolerance: float = 1e-3, most: int = 40) -> DataFrame:
+def marginals(pairs: DataFrame, tolerance: float = 1e-3, most: int | None = None) -> DataFrame:
     """(e, r, confidence) of (e, r, evidence): marginals when each e and each r is in at most one true pair.
 
     A factor tells each of its pairs how likely it leaves it alone, given what the other side's factors said; an
-    iteration is one aggregation and one join for each side. It ends when no marginal moves by more than ``tolerance``.
+    iteration is one aggregation and one join for each side. It ends when no marginal moves by more than ``tolerance``;
+    with ``most``, a run that takes more iterations fails.
     """
     now = written(pairs.select("e", "r", F.exp("evidence").alias("rho"), F.lit(1.0).alias("beta"), F.lit(0.0).alias("confidence")))
-    for _ in range(most):
+    for done in itertools.count(1):
         by_e = now.groupBy("e").agg(F.sum(F.col("rho") * F.col("beta")).alias("s"))
         half = now.select("e", "r", "rho", "beta", "confidence").join(by_e, "e").withColumn("alpha", 1 / (1 + F.greatest(F.col("s") - F.col("rho") * F.col("beta"), F.lit(0.0)))).drop("s")
         by_r = half.groupBy("r").agg(F.sum(F.col("rho") * F.col("alpha")).alias("s"))
@@ -184,6 +187,8 @@ def marginals(pairs: DataFrame, tolerance: float = 1e-3, most: int = 40) -> Data
         moved = now.agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0]
         if (moved or 0.0) <= tolerance:
             break
+        if done == most:
+            raise RuntimeError(f"marginals still move by {moved} after {most} iterations")
     return now.select("e", "r", "confidence")
 
 
