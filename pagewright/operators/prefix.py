@@ -11,18 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.session import reliable, shuffle_partitions
+from pagewright.session import reliable
 
 
 def running_sum(df: DataFrame, order: list[str], weight: str, name: str = "running") -> DataFrame:
     """``df`` with ``name``: the sum of ``weight`` (null as 0) over all rows up to and with this one in ``order``.
 
-    The rows are range-partitioned and sorted; only one sum a partition goes to the driver. ``order`` must be
+    The rows are range-partitioned (small data in few partitions) and sorted; only one sum a partition goes to the driver. ``order`` must be
     unique for a defined result. An empty table stays empty.
     """
-    n = shuffle_partitions(df.sparkSession)
     rows = reliable(df.withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
-                    .repartitionByRange(n, *order).sortWithinPartitions(*order))
+                    .repartitionByRange(*order).sortWithinPartitions(*order))
     sums = {r.pid: r.s for r in rows.groupBy(F.spark_partition_id().alias("pid")).agg(F.sum("_w").alias("s")).collect()}
     before = dict(zip(sorted(sums), np.r_[0.0, np.cumsum([sums[p] for p in sorted(sums)])], strict=False))
 
