@@ -5,7 +5,7 @@ ends there and how often the text goes on. A whole text ends where lines end; a
 corpus goes on. Contexts are told apart by what opens their line (a bullet, a number, nothing). They are the suffixes
 that close at least a given share of all lines, so their number is bounded; they are counted at every position of
 every document, and a text is judged by the longest known suffix of its last line, without the positions that a still
-longer known suffix explains. The log-odds are thresholded per language.
+longer known suffix explains. The log-odds are thresholded per language, where cut and whole texts part.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ DEPTH = 28
 SHARE, LEAST = 4e-5, 3
 #: Occurrences that the estimate of the next shorter context weighs.
 PRIOR = 6.0
-#: Log-odds of a cut: the threshold is sought between these.
-LOW, HIGH = -6.5, -2.5
+#: Texts that the threshold of all weighs beside a language's own.
+COMMON = 200
+#: Histogram of log-odds: outer ones count at its ends. From EVEN on a text ends as likely as not, so it is none that was cut.
+LOW, HIGH, STEP, EVEN = -12.0, 4.0, 0.25, -1.0
 _CHUNK = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STOPS = ".!?…"
@@ -91,14 +93,6 @@ def line_class(line: str) -> int:
     return 2 + sum(ord(x) * 31 ** i for i, x in enumerate(shape)) % 1_000_003
 
 
-def suffix_keys(line: str) -> list[int]:
-    """Keys of the suffixes of a line of 1 to DEPTH characters, the line break before it included."""
-    a = _mixed(codes("\n" + line)[-DEPTH:])[::-1]
-    with np.errstate(over="ignore"):
-        start = _mixed(np.array([line_class(line)], dtype=np.uint64))
-        return (start + np.cumsum(a * _POWER[1: len(a) + 1], dtype=np.uint64)).astype(np.int64).tolist()
-
-
 def line_ends(text: str) -> Iterator[str]:
     """The lines of a stripped text, and again those that close with stops, without them."""
     for line in text.split("\n"):
@@ -110,39 +104,58 @@ def line_ends(text: str) -> Iterator[str]:
                 yield bare
 
 
-def count_positions(texts: list[tuple[str, str]], levels: list[np.ndarray], offsets: list[int], totals: np.ndarray) -> None:
+class Contexts:
+    """The known contexts by their keys: a table of slots, and the few keys whose slot another one has."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = np.int64((1 << max(10, int(8 * len(keys)).bit_length())) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, dtype=np.int32)
+        at = keys & self.mask
+        self.slots[at] = np.arange(len(keys), dtype=np.int32)
+        rest = np.nonzero(self.slots[at] != np.arange(len(keys)))[0]
+        self.others = rest[np.argsort(keys[rest])]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it is unknown."""
+        i = self.slots[h & self.mask]
+        wrong = np.nonzero(i >= 0)[0]
+        wrong = wrong[self.keys[i[wrong]] != h[wrong]]
+        i[wrong] = -1
+        if len(self.others) and len(wrong):
+            own = self.keys[self.others]
+            j = np.minimum(np.searchsorted(own, h[wrong]), len(own) - 1)
+            i[wrong] = np.where(own[j] == h[wrong], self.others[j], -1)
+        return i
+
+
+def count_positions(texts: list[tuple[str, str]], known: Contexts, totals: np.ndarray) -> None:
     """Add to ``totals`` (contexts x [all, line ends, stops]) the occurrences in whole texts (tail-stripped, kind)."""
-    parts, classes, sizes = [], [], []
+    parts, classes = [], []
     for s, kind in texts:
-        for line in s.split("\n"):
-            parts.append("\n" + line)
-            classes.append(line_class(line))
-            sizes.append(len(line) + 1)
-        parts.append("\ue000" if not kind else "\ue001")
-        classes.append(0)
-        sizes.append(1)
+        parts += ["\n", s, "\ue001" if kind else "\ue000"]
+        classes += [line_class(line) for line in s.split("\n")]
     c = codes("".join(parts))
-    start = np.repeat(_mixed(np.array(classes, dtype=np.uint64)), sizes)
     end, silent, brk = np.uint64(0xE000), np.uint64(0xE001), np.uint64(10)
+    line = np.cumsum(c == brk) - 1
     nxt = np.r_[c[1:], silent]
     ends = (nxt == brk) | (nxt == end)
-    stops = ends | np.isin(nxt, np.array([ord(x) for x in _STOPS], dtype=np.uint64))
+    stops = ends.copy()
+    for x in _STOPS:
+        stops |= nxt == ord(x)
     # where a marked text stops says nothing
     at = np.nonzero((c != end) & (c != silent) & (nxt != silent))[0]
-    m, h = _mixed(c), start[at]
-    for k, keys in enumerate(levels, 1):
-        if not len(keys) or not len(at):
-            return
+    m, h, n = _mixed(c), _mixed(np.array(classes, dtype=np.uint64))[line[at]], len(known.keys)
+    for k in range(1, DEPTH + 1):
         with np.errstate(over="ignore"):
             h = h + m[at - (k - 1)] * _POWER[k]
-        own = h.view(np.int64)
-        i = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        keep = keys[i] == own
+        i = known.find(h.view(np.int64))
+        keep = np.nonzero(i >= 0)[0]
         at, h, i = at[keep], h[keep], i[keep]
-        n, lo = len(keys), offsets[k - 1]
-        totals[lo:lo + n, 0] += np.bincount(i, minlength=n)
-        totals[lo:lo + n, 1] += np.bincount(i[ends[at]], minlength=n)
-        totals[lo:lo + n, 2] += np.bincount(i[stops[at]], minlength=n)
+        if not len(at):
+            return
+        for col, hit in enumerate((None, ends[at], stops[at])):
+            totals[:, col] += np.bincount(i if hit is None else i[hit], minlength=n)
         more = c[at - (k - 1)] != brk  # a context ends with the break before its line
         at, h = at[more], h[more]
 
@@ -150,66 +163,67 @@ def count_positions(texts: list[tuple[str, str]], levels: list[np.ndarray], offs
 class EndModel:
     """Counts of contexts and of what a longer known context leaves of them."""
 
-    def __init__(self, keys: list[int], parents: list[int], counts: np.ndarray):
-        self.index = {k: i for i, k in enumerate(keys)}
-        rest = counts.copy()
-        for i, p in enumerate(parents):
-            if p >= 0:
-                rest[p] -= counts[i]
-        self.counts, self.rest = counts, rest
-        top = [i for i, p in enumerate(parents) if p < 0]
-        n = counts[top].sum(axis=0) if top else np.ones(3)
+    def __init__(self, keys: np.ndarray, parents: np.ndarray, counts: np.ndarray):
+        self.known, self.counts, self.rest = Contexts(keys), counts, counts.copy()
+        inner = parents >= 0
+        np.subtract.at(self.rest, parents[inner], counts[inner])
+        n = counts[~inner].sum(axis=0) if len(keys) else np.ones(3)
         self.base = (n + 1) / (n[0] + 10)
 
-    def score(self, keys: list[int], kind: str, last: str) -> float:
-        """Log-odds that a text may end here: each longer context corrects the estimate of the shorter ones."""
-        col = 2 if kind == "dots" else 1
-        own = 0 if kind else 1  # an unmarked text's own end is among the counts
-        path = []
-        for k in keys:
-            i = self.index.get(k)
-            if i is None:
+    def score(self, lines: list[str], kinds: list[str]) -> np.ndarray:
+        """Log-odds that texts with these last lines may end there: each longer context corrects the estimate of the shorter ones."""
+        ends = [("\n" + x)[-DEPTH:] for x in lines]
+        m, size = _mixed(codes("".join(ends))), np.array([len(x) for x in ends])
+        last = np.cumsum(size) - 1
+        h = _mixed(np.array([line_class(x) for x in lines], dtype=np.uint64))
+        col = np.where(np.array(kinds) == "dots", 2, 1)
+        own = np.where(np.array(kinds) == "", 1, 0)  # an unmarked text's own end is among the counts
+        path, rows = np.full((len(lines), DEPTH), -1, dtype=np.int64), np.arange(len(lines))
+        for k in range(1, DEPTH + 1):
+            rows = rows[size[rows] >= k]
+            if not len(rows) or not len(self.known.keys):
                 break
-            path.append(i)
-        if not path:  # no line ends like this: a letter says more than a rare sign
-            return -8.0 if last.isalnum() else 0.0
-        p = self.base[col]
-        for depth, i in enumerate(path):
-            source = self.rest if depth == len(path) - 1 and len(path) < len(keys) else self.counts
-            n, e = max(0, source[i, 0] - own), max(0, source[i, col] - own)
-            p = (e + PRIOR * p) / (n + PRIOR)
-        p = min(p, 1 - 1e-6)
-        return float(np.log(p / (1 - p)))
-
-
-def ends(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, tail, kind, keys) of every document with visible text: its last line and that line's contexts."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cut = [tail_of(s) for s in pdf["text"]]
-            last = [s.rsplit("\n", 1)[-1] for s, _ in cut]
-            out = pdf.drop(columns="text").assign(tail=[x[-DEPTH:] for x in last], kind=[k for _, k in cut], keys=[suffix_keys(x) for x in last])
-            yield out[[bool(s) for s, _ in cut]]
-
-    return docs.select("doc_id", "lang", "source", "text").where("text is not null").mapInPandas(
-        run, "doc_id long, lang string, source string, tail string, kind string, keys array<long>")
+            with np.errstate(over="ignore"):
+                h[rows] += m[last[rows] - (k - 1)] * _POWER[k]
+            i = self.known.find(h[rows].view(np.int64))
+            path[rows, k - 1] = i
+            rows = rows[i >= 0]
+        depth, p = (path >= 0).sum(axis=1), self.base[col]
+        for k in range(int(depth.max(initial=0))):
+            r = np.nonzero(depth > k)[0]
+            i, j = path[r, k], col[r]
+            left = (depth[r] == k + 1) & (depth[r] < size[r])
+            n = np.maximum(0, np.where(left, self.rest[i, 0], self.counts[i, 0]) - own[r])
+            e = np.maximum(0, np.where(left, self.rest[i, j], self.counts[i, j]) - own[r])
+            p[r] = (e + PRIOR * p[r]) / (n + PRIOR)
+        p = np.minimum(p, 1 - 1e-6)
+        # no line ends like this: a letter says more than a rare sign
+        unknown = np.array([-8.0 if x[-1:].isalnum() else 0.0 for x in lines])
+        return np.where(depth > 0, np.log(p / (1 - p)), unknown)
 
 
 def _batch_contexts(lines: list[str]) -> Iterator[pd.DataFrame]:
-    """Distinct contexts of some lines' ends with their numbers, level by level."""
-    c = codes("".join("\n" + x for x in lines))
+    """Distinct contexts of some lines' ends with their numbers, level by level; lines whose context is already alone are not compared any more."""
+    ends = [("\n" + x)[-DEPTH:] for x in lines]
+    c = codes("".join(ends))
     m = _mixed(c)
-    at = np.cumsum([len(x) + 1 for x in lines]) - 1
+    at = np.cumsum([len(x) for x in ends]) - 1
     h = _mixed(np.array([line_class(x) for x in lines], dtype=np.uint64))
+    many = np.ones(len(lines), dtype=bool)
     yield pd.DataFrame({"level": [-1], "key": [0], "parent": [0], "n": [len(lines)]})
     for k in range(1, DEPTH + 1):
         before = h
         with np.errstate(over="ignore"):
             h = h + m[at - (k - 1)] * _POWER[k]
-        keys, first, n = np.unique(h.view(np.int64), return_index=True, return_counts=True)
-        yield pd.DataFrame({"level": k - 1, "key": keys, "parent": before.view(np.int64)[first], "n": n})
+        shared, single = np.nonzero(many)[0], np.nonzero(~many)[0]
+        order = shared[np.argsort(h[shared])]
+        starts = np.nonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])[0] if len(order) else np.empty(0, int)
+        n = np.diff(np.r_[starts, len(order)])
+        rows = np.r_[order[starts], single]
+        yield pd.DataFrame({"level": k - 1, "key": h[rows].view(np.int64), "parent": before[rows].view(np.int64), "n": np.r_[n, np.ones(len(single), int)]})
+        many[order[starts[n == 1]]] = False
         more = c[at - (k - 1)] != 10
-        at, h = at[more], h[more]
+        at, h, many = at[more], h[more], many[more]
         if not len(at):
             return
 
@@ -226,23 +240,20 @@ def contexts(docs: DataFrame) -> DataFrame:
         F.min("parent").alias("parent"), F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame) -> EndModel:
-    """The model of ``docs``: two aggregations over all texts, of which at most DEPTH / SHARE rows reach the driver."""
+def train(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> EndModel:
+    """The model of ``docs``: two aggregations over all texts, of which at most DEPTH / ``share`` rows reach the driver."""
     every = reliable(contexts(docs))
     total = every.where("level = -1").agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, int(SHARE * total))
-    first = every.where((F.col("level") >= 0) & (F.col("n") >= least)).collect()
-    first.sort(key=lambda r: (r.level, r.key))
-    keys = [r.key for r in first]
-    at = {k: i for i, k in enumerate(keys)}
-    parents = [at.get(r.parent, -1) if r.level else -1 for r in first]
-    levels = [np.array([r.key for r in first if r.level == k], dtype=np.int64) for k in range(DEPTH)]
-    offsets = np.r_[0, np.cumsum([len(x) for x in levels])].tolist()
-    model = docs.sparkSession.sparkContext.broadcast((levels, offsets))
+    first = every.where((F.col("level") >= 0) & (F.col("n") >= max(least, int(share * total)))).select("level", "key", "parent").toPandas().sort_values(["level", "key"])
+    keys, level = first["key"].to_numpy(np.int64), first["level"].to_numpy()
+    known, counts = Contexts(keys), np.zeros((len(keys), 3), dtype=np.int64)
+    if not len(keys):
+        return EndModel(keys, np.empty(0, np.int64), counts)
+    parents = np.where(level > 0, known.find(first["parent"].to_numpy(np.int64)), -1)
+    model = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels, offsets = model.value
-        totals = np.zeros((offsets[-1], 3), dtype=np.int64)
+        totals = np.zeros((len(model.value.keys), 3), dtype=np.int64)
         for pdf in batches:
             hand, size = [], 0
             for text in pdf["text"]:
@@ -251,59 +262,76 @@ def train(docs: DataFrame) -> EndModel:
                     hand.append(s)
                     size += len(s[0])
                 if size > _CHUNK:
-                    count_positions(hand, levels, offsets, totals)
+                    count_positions(hand, model.value, totals)
                     hand, size = [], 0
             if hand:
-                count_positions(hand, levels, offsets, totals)
+                count_positions(hand, model.value, totals)
         used = np.nonzero(totals[:, 0])[0]
         yield pd.DataFrame({"i": used, "n": totals[used, 0], "e": totals[used, 1], "s": totals[used, 2]})
 
-    counts = np.zeros((len(keys), 3), dtype=np.int64)
-    if keys:
-        summed = docs.select("text").where("text is not null").mapInPandas(run, "i long, n long, e long, s long").groupBy("i").agg(F.sum("n"), F.sum("e"), F.sum("s"))
-        for r in summed.collect():
-            counts[r[0]] = r[1:]
+    summed = docs.select("text").where("text is not null").mapInPandas(run, "i long, n long, e long, s long").groupBy("i").agg(
+        F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("s").alias("s")).toPandas()
+    counts[summed["i"]] = summed[["n", "e", "s"]]
     return EndModel(keys, parents, counts)
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, kind, log_odds) of every document with visible text."""
+def scored(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(doc_id, lang, source, tail, kind, log_odds) of every document with visible text; the whole text is read, its last line judged."""
     docs = spread(docs.select("doc_id", "lang", "source", "text"))
-    found = reliable(ends(docs))
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, share, least))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.drop(columns="keys").assign(log_odds=[model.value.score(list(k), kind, tail[-1]) for k, kind, tail in zip(pdf["keys"], pdf["kind"], pdf["tail"], strict=True)])
+            cut = [tail_of(s) for s in pdf["text"]]
+            pdf, cut = pdf[[bool(s) for s, _ in cut]].drop(columns="text"), [x for x in cut if x[0]]
+            if cut:
+                lines, kinds = [s.rsplit("\n", 1)[-1] for s, _ in cut], [k for _, k in cut]
+                yield pdf.assign(tail=[x[-DEPTH:] for x in lines], kind=kinds, log_odds=model.value.score(lines, kinds))
+
+    return docs.where("text is not null").mapInPandas(run, "doc_id long, lang string, source string, tail string, kind string, log_odds double")
 
-    return found.mapInPandas(run, "doc_id long, lang string, source string, tail string, kind string, log_odds double")
+
+def valley(h: np.ndarray) -> float:
+    """The least crowded point between the two kinds of texts of a histogram.
+
+    The kinds are parted where the variance between them is greatest; the point lies between their means, in the middle
+    of the emptiest stretch. Without texts below ``EVEN`` it is the middle of what lies below.
+    """
+    at = LOW + STEP * (np.arange(len(h)) + 0.5)
+    n, mass = np.cumsum(h), np.cumsum(h * at)
+    below = np.nonzero((at < EVEN) & (n > 0) & (n < n[-1]))[0]
+    low, high = LOW, EVEN
+    if len(below):
+        own, other = mass[below] / n[below], (mass[-1] - mass[below]) / (n[-1] - n[below])
+        k = int(np.argmax(n[below] * (n[-1] - n[below]) * (own - other) ** 2))
+        low, high = own[k], min(EVEN, other[k])
+    smooth = np.convolve(h, [1, 2, 3, 4, 3, 2, 1], "same")  # a stretch of a few bins, not a chance hole
+    inside = np.nonzero((at > low) & (at < high))[0]
+    if not len(inside):
+        return float((low + high) / 2)
+    return float(np.median(at[inside[smooth[inside] == smooth[inside].min()]]))
 
 
 def thresholds(rows: DataFrame) -> tuple[float, DataFrame]:
-    """The least crowded point between cut and whole texts within LOW..HIGH over all rows, and (lang, own) of each language with its own.
+    """The point of ``valley`` over all rows, and (lang, own) of each language.
 
-    A histogram has 17 bins. Languages with few texts (below 200) share the threshold of all.
+    A histogram has 64 bins. A language's own point counts by its texts, the point of all as ``COMMON`` texts, so a growing
+    language moves smoothly from the one to the other.
     """
-    step = 0.25
-    bins = int((HIGH - LOW) / step) + 1
-    at = F.when(F.col("log_odds").between(LOW, HIGH), F.floor((F.col("log_odds") - LOW) / step).cast("int"))
+    bins = int((HIGH - LOW) / STEP)
+    at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("log_odds") - LOW) / STEP))).cast("int")
     binned = reliable(rows.groupBy("lang", at.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
     every = np.zeros(bins)
-    for r in binned.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for r in binned.groupBy("bin").agg(F.sum("n").alias("n")).collect():
         every[r.bin] = r.n
-
-    def valley(h: np.ndarray) -> float:
-        smooth = np.convolve(h, [1, 2, 1], "same")
-        low = np.nonzero(smooth[1:-1] == smooth[1:-1].min())[0] + 1
-        return LOW + step * (float(np.median(low)) + 0.5)
+    common = valley(every) if every.any() else (LOW + EVEN) / 2
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, inside = np.zeros(bins), pdf.dropna(subset=["bin"])
-        h[inside["bin"].astype(int)] = inside["n"]
-        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "own": [valley(h if len(inside) else every)]})
+        h = np.zeros(bins)
+        h[pdf["bin"]] = pdf["n"]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "own": [(h.sum() * valley(h) + COMMON * common) / (h.sum() + COMMON)]})
 
-    large = binned.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("_all")).where("_all >= 200").select("lang")
-    return valley(every), binned.join(large, "lang").groupBy("lang").applyInPandas(own, "lang string, own double")
+    return common, binned.where("lang is not null").groupBy("lang").applyInPandas(own, "lang string, own double")
 
 
 def judged(docs: DataFrame) -> DataFrame:
