@@ -3,14 +3,16 @@
 A source that must hold r times its tokens gives every document floor(r) times, and once more with the
 probability r - floor(r). Which documents come once more is drawn by the cube method: within blocks of bounded size
 the probabilities move along the null space of the constraints (tokens, documents), so both totals stay
-exact, until at most two documents of a block are undecided; those form the next round's blocks, and the
-few that remain of a source are landed at the least imbalance that keeps their probabilities.
+exact, until at most two documents of a block are undecided; those, and a few of the block's smallest, form the next round's blocks. A
+source's last block lands: the largest document is decided first, and all others move a little so that both totals stay, until
+one small document is left.
 """
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.tokenizer import encoded
 from pagewright.session import reliable, table
 
-#: Documents in a block of the flight phase.
-BLOCK = 2000
+#: Documents in a block, and the smallest of them that the flight leaves for the last block.
+BLOCK, KEPT = 2000, 4
 _NEAR = 1e-9
 
 
@@ -53,33 +55,40 @@ def flight(sizes: list[float], probs: list[float], rng: random.Random) -> list[f
 
 
 def landing(sizes: list[float], probs: list[float], rng: random.Random) -> list[float]:
-    """Decide the at most two that are left, keeping their probabilities, at the least expected imbalance."""
-    p = list(probs)
-    left = [i for i in range(len(p)) if _NEAR < p[i] < 1 - _NEAR]
-    if len(left) == 1:
-        p[left[0]] = float(rng.random() < p[left[0]])
-    elif len(left) == 2:
-        i, j = left
-        low, high = max(0.0, p[i] + p[j] - 1), min(p[i], p[j])
-        want = sizes[i] * p[i] + sizes[j] * p[j]
-
-        def cost(both: float) -> float:
-            ways = ((both, sizes[i] + sizes[j]), (p[i] - both, sizes[i]), (p[j] - both, sizes[j]), (1 - p[i] - p[j] + both, 0.0))
-            return sum(q * abs(got - want) for q, got in ways)
+    """Decide what is left, keeping each probability in the mean: the largest moves, the others keep the totals.
 
-        both = min((low, high), key=cost)
-        x, pi, pj = rng.random(), p[i], p[j]
-        p[i], p[j] = (1.0, 1.0) if x < both else (1.0, 0.0) if x < pi else (0.0, 1.0) if x < pi + pj - both else (0.0, 0.0)
-    return [float(round(v)) if v < _NEAR or v > 1 - _NEAR else v for v in p]
+    The others' way is the shortest that keeps the tokens and the number of documents, or the tokens alone where both
+    cannot be kept. At most one document, mostly the smallest, is drawn without balance.
+    """
+    p, s = np.array(probs, dtype=float), np.array(sizes, dtype=float)
+    while True:
+        p[p < _NEAR], p[p > 1 - _NEAR] = 0.0, 1.0
+        left = np.nonzero((p > 0) & (p < 1))[0]
+        if not len(left):
+            return p.tolist()
+        first, rest = left[np.argmax(s[left])], left[left != left[np.argmax(s[left])]]
+        way = np.zeros(len(p))
+        way[first] = 1.0
+        for keep in (np.array([s[rest], np.ones(len(rest))]), np.array([s[rest]])):
+            if len(rest) >= len(keep):
+                moved = np.linalg.lstsq(keep, -np.array([s[first], 1.0])[: len(keep)], rcond=None)[0]
+                if np.allclose(keep @ moved, -np.array([s[first], 1.0])[: len(keep)], rtol=1e-6):
+                    way[rest] = moved
+                    break
+        at = np.nonzero(way)[0]
+        steps = [np.min(np.where(sign * way[at] > 0, 1 - p[at], p[at]) / np.abs(way[at])) for sign in (1.0, -1.0)]
+        p[at] += (steps[0] if rng.random() * sum(steps) < steps[1] else -steps[1]) * way[at]
 
 
 def _flyer(seed: int, turn: int):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ignore_index=True)
+        pdf = pdf.sort_values(["size", "doc_id"], ascending=False, ignore_index=True)
         rng = random.Random(f"{seed} {turn} {pdf['source'].iloc[0]} {pdf['block'].iloc[0]}")
-        probs = flight(pdf["size"].tolist(), pdf["prob"].tolist(), rng)
+        sizes, probs, fly = pdf["size"].tolist(), pdf["prob"].tolist(), max(0, len(pdf) - KEPT)
         if pdf["blocks"].iloc[0] == 1:
-            probs = landing(pdf["size"].tolist(), probs, rng)
+            probs = landing(sizes, probs, rng)
+        else:
+            probs = flight(sizes[:fly], probs[:fly], rng) + probs[fly:]
         return pdf.assign(prob=probs)[["doc_id", "source", "size", "prob"]]
 
     return fly
@@ -89,13 +98,14 @@ def cube_sample(docs: DataFrame, seed: int = 1) -> DataFrame:
     """(doc_id, source, size, extra): ``extra`` is 1 for drawn and 0 for other rows of (doc_id, source, size, prob).
 
     Balanced on documents and sizes within each source; a source of any size is spread over blocks of about
-    ``BLOCK`` rows, two of which at most go on to the next round. doc_id must be unique.
+    ``BLOCK`` rows, six of which at most go on to the next round. doc_id must be unique. Sources are those of a list of
+    targets, so the blocks' numbers are broadcast, one row a source.
     """
     done, left, turn = None, docs.select("doc_id", "source", F.col("size").cast("double").alias("size"), F.col("prob").cast("double").alias("prob")), 0
     schema = "doc_id long, source string, size double, prob double"
     while True:
         blocks = left.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-        rows = left.join(blocks, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed + turn), F.col("doc_id")), F.col("blocks")))
+        rows = left.join(F.broadcast(blocks), "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed + turn), F.col("doc_id")), F.col("blocks")))
 
         flown = reliable(rows.groupBy("source", "block").applyInPandas(_flyer(seed, turn), schema))
         inside = (F.col("prob") > 0) & (F.col("prob") < 1)
@@ -158,11 +168,21 @@ def p7_mix(spark, sf_dir: str) -> DataFrame:
     return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def shares(drawn: DataFrame, docs: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """Of every target source its target share, its share scaled to the sources that can give, the actual one, and how far the tokens miss.
+
+    ``token_error`` is drawn minus wanted tokens in parts of the wanted ones, null where none are wanted.
+    """
+    wish = {r.source: (r.target_share, r.max_repeats) for r in targets.where("source is not null").collect()}
+    own = docs.where(F.col("source").isin(list(wish)) & (F.col("n_tokens") > 0)).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect() if wish else []
+    rates = plan({r.source: (r.n, r.t) for r in own}, wish, total)
+    wanted = docs.sparkSession.createDataFrame([(s, x["scaled"], x["wanted"]) for s, x in rates.items()], "source string, scaled_share double, wanted_tokens double")
+    got = drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("repeats").alias("n_draws"), F.max("repeats").alias("most_repeats"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"))
+    rows = reliable(targets.join(wanted, "source", "left").join(got, "source", "left").fillna(0, ["n_docs", "n_draws", "most_repeats", "n_tokens"]))
+    every = rows.agg(F.sum("n_tokens")).first()[0] or 1
+    return rows.withColumns({"actual_share": F.col("n_tokens") / F.lit(every), "token_error": F.col("n_tokens") / F.nullif(F.col("wanted_tokens"), F.lit(0.0)) - 1})
+
+
 def p7_shares(spark, sf_dir: str) -> DataFrame:
-    """Target and actual shares of every target source, with what was drawn."""
-    drawn = p7_mix(spark, sf_dir).groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("repeats").alias("n_draws"), F.max("repeats").alias("most_repeats"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"))
-    rows = table(spark, sf_dir, "mix_targets").join(drawn, "source", "left").fillna(0, ["n_docs", "n_draws", "most_repeats", "n_tokens"])
-    rows = reliable(rows)
-    total = rows.agg(F.sum("n_tokens")).first()[0] or 1
-    return rows.withColumn("actual_share", F.col("n_tokens") / F.lit(total))
+    docs, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return shares(mix(docs, targets), docs, targets)

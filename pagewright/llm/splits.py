@@ -17,9 +17,6 @@ from pagewright.operators.prefix import running_sum
 from pagewright.operators.skew import salted_join
 from pagewright.session import release, reliable, table, written
 
-#: A component of at least this share of all weight is placed by itself; there are at most 1 / LARGE of them.
-LARGE = 0.01
-
 
 def _heads(v: str) -> Column:
     return F.pmod(F.xxhash64("turn", v), F.lit(2)) == 1
@@ -90,37 +87,36 @@ def record_groups(records: DataFrame, key: str, codes: dict[str, str]) -> DataFr
 def assign_splits(weights: DataFrame, targets: list[tuple[str, float]]) -> DataFrame:
     """(group, weight, split) for (group, weight): each group whole, the splits' weights near their shares.
 
-    Groups of at least ``LARGE`` of all weight (at most 1 / LARGE of them) go, greatest first, where most is missing;
-    the others are laid end to end in hash order and cut at what is then missing of each share. Thus no split is off by
-    more than the largest group or, without large ones, ``LARGE`` of all weight. Shares are scaled to sum to 1.
+    Groups are laid end to end by size class (powers of two, largest first) and in hash order within one; each class is cut
+    at its cumulative weight in proportion to what the larger ones left missing of each share, so small classes make up for
+    the whole groups at larger cuts. A group of weight up to 0 costs nothing and goes by its place. No split is off by more than the
+    largest group. Shares are scaled to sum to 1. A class's sums are the only thing that reaches the driver: three numbers a
+    split, of at most 63 classes.
     """
-    shares = [(s, max(0.0, float(x or 0))) for s, x in sorted(targets)]
-    whole = sum(x for _, x in shares) or 1.0
-    total = weights.agg(F.sum("weight")).first()[0] or 0
-    missing = {s: x / whole * total for s, x in shares}
-    cut = LARGE * total
-    large = [(r["group"], r.weight) for r in weights.where(F.col("weight") >= cut).orderBy(F.desc("weight"), "group").limit(int(1 / LARGE) + 1).collect()]
-    place = {}
-    for group, w in large:
-        best = max(missing, key=lambda s: (missing[s], s))
-        place[group], missing[best] = best, missing[best] - w
-    small = weights.where(F.col("weight") < cut).withColumn("_h", F.xxhash64("group"))
-    laid = running_sum(small, ["_h", "group"], "weight")
-    left = total - sum(w for _, w in large)
-    over = sum(max(0.0, m) for m in missing.values()) or 1.0
-    upto, split = 0.0, None
-    middle = F.col("running") - F.col("weight") / 2
-    wanted = [(s, max(0.0, m)) for s, m in missing.items() if m > 0] or [(shares[0][0] if shares else None, 1.0)]
-    for s, m in wanted[:-1]:
-        upto += m / over * left
-        split = F.when(middle <= upto, s) if split is None else split.when(middle <= upto, s)
-    split = F.lit(wanted[-1][0]) if split is None else split.otherwise(wanted[-1][0])
-    out = laid.select("group", "weight", split.alias("split"))
-    if large:
-        spark = weights.sparkSession
-        kept = spark.createDataFrame([(g, w, place[g]) for g, w in large], "group string, weight bigint, split string")
-        out = out.unionByName(kept)
-    return out
+    shares = {s: max(0.0, float(x or 0)) for s, x in sorted(targets)}
+    whole = sum(shares.values())
+    if not whole:
+        return weights.withColumn("split", F.lit(None).cast("string"))
+    size = F.when(F.col("weight") >= 1, F.floor(F.log2("weight"))).otherwise(-1)
+    laid = running_sum(weights.withColumns({"_size": size.cast("int"), "_h": F.xxhash64("group")}), ["_size", "_h", "group"], "weight")
+    laid = reliable(laid.withColumn("_middle", F.col("running") - F.col("weight") / 2))
+    classes = {r["_size"]: (float(r.w), float(r.upto)) for r in laid.groupBy("_size").agg(F.sum("weight").alias("w"), F.max("running").alias("upto")).collect()}
+    total = sum(w for w, _ in classes.values())
+    missing = {s: x / whole * total for s, x in shares.items()}
+    split = F.lit(None).cast("string")
+    for k in sorted(classes, reverse=True):
+        w, upto = classes[k]
+        wanted = {s: m for s, m in missing.items() if m > 0} or {max(missing, key=missing.get): 1.0}
+        own, at, last = None, upto - w, list(wanted)[-1]
+        for s, m in wanted.items():
+            at += m / sum(wanted.values()) * w
+            if s != last:
+                own = F.when(F.col("_middle") <= at, s) if own is None else own.when(F.col("_middle") <= at, s)
+        own = F.lit(last) if own is None else own.otherwise(last)
+        for r in laid.where(F.col("_size") == k).groupBy(own.alias("split")).agg(F.sum("weight").alias("w")).collect():
+            missing[r.split] -= float(r.w or 0)
+        split = F.when(F.col("_size") == k, own).otherwise(split)
+    return laid.select("group", "weight", split.alias("split"))
 
 
 def book_groups(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -136,14 +132,14 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     named = rows.where("book_id is not null and split is not null").select(F.col("book_id").alias("record"), "split").distinct()
     parted = (groups.join(named, "record").select("group", "split").distinct()
               .groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group"))
-    return groups.join(parted, "group", "left_semi").select(F.col("record").alias("book_id"))
+    return salted_join(groups, parted, ["group"], "left_semi").select(F.col("record").alias("book_id"))
 
 
 def p4_splits(spark, sf_dir: str) -> DataFrame:
     _, groups = book_groups(spark, sf_dir)
-    targets = [(r.split, r.share) for r in table(spark, sf_dir, "split_targets").limit(1000).collect()]  # one row a split
+    targets = [(r.split, r.share) for r in table(spark, sf_dir, "split_targets").collect()]  # one row a split, by its nature
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("weight"))
-    return groups.join(assign_splits(sizes, targets), "group").select(F.col("record").alias("book_id"), F.col("group").alias("group_id"), F.col("weight").alias("group_books"), "split")
+    return salted_join(groups, assign_splits(sizes, targets), ["group"]).select(F.col("record").alias("book_id"), F.col("group").alias("group_id"), F.col("weight").alias("group_books"), "split")
 
 
 def p4_shares(spark, sf_dir: str) -> DataFrame:

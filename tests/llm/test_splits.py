@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pagewright.llm import splits as sp
 
 
@@ -35,3 +37,22 @@ def test_groups_and_shares(spark):
     out = sp.assign_splits(sizes, [("train", 0.7), ("test", 0.3)]).collect()
     assert len(out) == len(set(g.values()))
     assert abs(sum(r.weight for r in out if r.split == "train") / 300 - 0.7) < 0.03
+
+
+@pytest.mark.parametrize("weights", [[850] + [1] * 150, [300, 200, 90, 80, 40] + [3] * 60 + [1] * 110, [7] * 100, [1]])
+def test_shares_hold_with_groups_of_any_size(spark, weights):
+    df = spark.createDataFrame([(f"g{i}", w) for i, w in enumerate(weights)], "group string, weight long")
+    targets = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
+    got = {r.group: r for r in sp.assign_splits(df, targets).collect()}
+    assert len(got) == len(weights)
+    held = {s: sum(r.weight for r in got.values() if r.split == s) for s, _ in targets}
+    fit = max(weights[0] / sum(weights) - 0.8, 0) + 0.05 if len(weights) > 1 else 1
+    assert all(abs(held[s] / sum(weights) - x) <= fit for s, x in targets)
+
+
+def test_more_splits_than_a_thousand_and_none(spark):
+    df = spark.createDataFrame([(f"g{i}", 1) for i in range(1500)], "group string, weight long")
+    out = sp.assign_splits(df, [(f"s{i}", 1 / 1500) for i in range(1500)])
+    assert out.select("split").distinct().count() > 1400
+    assert sp.assign_splits(df, []).where("split is null").count() == 1500
+    assert sp.assign_splits(df.limit(0), targets=[("a", 1.0)]).count() == 0
