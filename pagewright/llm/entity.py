@@ -18,20 +18,18 @@ from pagewright.llm.confusables import consistent_text
 from pagewright.operators.skew import salted_join
 from pagewright.session import release, reliable, table, written
 
-#: Log-likelihood ratios of what two records show, per attribute.
+#: What two records can show, per attribute, and its log-likelihood ratio (see the README for estimated ones, which find fewer).
 WEIGHTS = {
-    "base": 0.5,
-    "page_title_only": -0.5, "page_number_only": -3.0, "page_next": -6.0,
-    "label_same": 3.0,
-    "name_same": 3.5, "name_other": -5.0,
-    "place_close": 5.0, "place_far": -2.5,
-    "says_nothing": -4.0,
+    "base": {"all": 0.5},
+    "page": {"same": 0.0, "title_only": -0.5, "number_only": -3.0, "next": -6.0},
+    "label": {"same": 3.0, "unknown": 0.0},
+    "name": {"same": 3.5, "other": -5.0, "unknown": 0.0},
+    "place": {"close": 5.0, "far": -2.5, "unknown": 0.0},
+    "says": {"nothing": -4.0, "something": 0.0},
 }
 #: An icon stands left of its region's left edge and near its top, in percent of the sheet.
 LEFT, DOWN = (-1.0, 6.0), (-3.0, 4.0)
 BIN = 8.0
-#: In a page's crowd of more regions than this one agreeing attribute tells nothing (under 1 / CROWD each): two must agree.
-CROWD = 64
 _L = "([a-zçğıöşü]|[0-9]{1,3})"
 # The habits in which titles name page, label and name (groups in that order, 0 where absent).
 HABITS = (
@@ -73,21 +71,21 @@ def parsed(f: Column) -> Column:
 
 
 def entries(spark, sf_dir: str) -> DataFrame:
-    """One row an entry: (e, oge_id, book, page, title_page, label, name, x, y); positions in percent, null where unknown.
+    """One row an entry: (e: its id, book, page, title_page, label, name, x, y); positions in percent, null where unknown.
 
     An entry whose book is unknown has no counterpart and is left out; positions below 1 are parts of one.
     """
     raw = table(spark, sf_dir, "publisher_oge").where("id is not null and kitapid is not null").select(
-        guid("id").alias("e"), F.col("id").alias("oge_id"), guid("kitapid").alias("kid"), "sayfano", "title", "posx", "posy")
-    once = raw.groupBy("e").agg(F.max(F.struct("kid", "sayfano", "title", "posx", "posy", "oge_id")).alias("r")).select("e", "r.*")
+        guid("id").alias("_i"), F.col("id").alias("oge_id"), guid("kitapid").alias("kid"), "sayfano", "title", "posx", "posy")
+    once = raw.groupBy("_i").agg(F.max(F.struct("kid", "sayfano", "title", "posx", "posy", "oge_id")).alias("r")).select("r.*")
     books = table(spark, sf_dir, "kitap").select(guid("id").alias("kid"), guid("klasoradi").alias("book")).where("kid is not null and book is not null").distinct()
-    own = salted_join(consistent_text(once, "title", "title"), books, ["kid"])
+    own = consistent_text(salted_join(once, books, ["kid"]), "title", "title")
     px, py = F.nanvl("posx", F.lit(None).cast("double")), F.nanvl("posy", F.lit(None).cast("double"))
     part = (px < 1) & (py < 1)
     known = px.isNotNull() & py.isNotNull() & ~((px == 0) & (py == 0))
-    own = own.withColumn("t", parsed(fold("title")))
+    own = own.withColumn("f", fold("title")).withColumn("t", parsed(F.col("f")))  # folded once, not in each habit
     return own.select(
-        "e", "oge_id", "book", F.when(F.col("sayfano") != 0, F.col("sayfano")).alias("page"), F.col("t.page").alias("title_page"), F.col("t.label").alias("label"), F.col("t.name").alias("name"),
+        F.col("oge_id").alias("e"), "book", F.when(F.col("sayfano") != 0, F.col("sayfano")).alias("page"), F.col("t.page").alias("title_page"), F.col("t.label").alias("label"), F.col("t.name").alias("name"),
         F.when(known, F.when(part, px * 100).otherwise(px)).alias("x"), F.when(known, F.when(part, py * 100).otherwise(py)).alias("y"))
 
 
@@ -114,19 +112,38 @@ def _blocks(kind: str, *parts: Column) -> Column:
     return F.concat_ws("\x01", F.lit(kind), *[p.cast("string") for p in parts])
 
 
+def classes(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that only their ``key`` tells apart as one row: ``key`` is their least, n their number.
+
+    Such rows send and get the same messages, so pairs are formed between classes; copies are never paired one by one. Two
+    copies have a half of one match each at most, so a pair over a half always is one of single records.
+    """
+    said = [c for c in rows.columns if c != key]
+    return rows.groupBy(*said).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n"))
+
+
+def _shared(rows: DataFrame, name: str, as_name: str, flag: str) -> DataFrame:
+    """Texts of ``name`` that stand on more than one row, as (as_name, flag true)."""
+    uses = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("n").alias("uses")).where("uses > 1")
+    return uses.select(F.col(name).alias(as_name), F.lit(True).alias(flag))
+
+
 def candidates(e: DataFrame, r: DataFrame) -> DataFrame:
-    """(e, r, evidence) of pairs that agree on a page and on label, name or place, or that nothing else tells apart.
+    """(e, r, n_e, n_r, pattern...) of pairs of classes that agree on a page and on label, name or place, or that nothing else tells apart.
 
-    Blocks are equi-joined on (book, page, attribute). Where a key has more than CROWD regions, a second attribute must
-    agree too: the place, or of label and name the other. Labels that differ exclude a pair.
+    Blocks are equi-joined on (book, page, attribute), hot ones salted. Labels that differ exclude a pair. The pattern is what
+    the two records show per attribute (the values of ``WEIGHTS``), from the page that speaks most for the pair.
     """
-    own = e.withColumn("p", F.explode(F.array_distinct(F.filter(F.array(
+    names, heads = _shared(e, "name", "head", "is_name"), _shared(r, "head", "name", "is_head")
+    e = salted_join(e, heads, ["name"], "left", rows=e.count())
+    r = salted_join(r.where("page is not null"), names, ["head"], "left", rows=r.count())
+    at = F.explode(F.array_distinct(F.filter(F.array(
         F.struct(F.col("page").alias("at"), F.lit(0).alias("near")), F.struct(F.col("title_page").alias("at"), F.lit(0).alias("near")),
         F.when(F.col("title_page").isNull(), F.struct((F.col("page") - 1).alias("at"), F.lit(1).alias("near"))),
         F.when(F.col("title_page").isNull(), F.struct((F.col("page") + 1).alias("at"), F.lit(1).alias("near")))),
-        lambda s: s["at"].isNotNull())))).select("*", F.col("p.at").alias("at"), F.col("p.near").alias("near")).drop("p")
+        lambda s: s["at"].isNotNull())))
+    own = e.withColumn("p", at).select("*", "p.at", "p.near").drop("p")
     ybin, tbin = F.floor(F.col("y") / BIN), F.floor(F.col("top") / BIN)
-    r = r.where("page is not null")
     keys_r = F.array(
         F.when(F.col("label").isNotNull(), _blocks("label", F.col("label"))), F.when(F.col("head").isNotNull(), _blocks("name", F.col("head"))),
         F.when(F.col("top").isNotNull(), _blocks("place", tbin)), _blocks("rest"))
@@ -135,75 +152,75 @@ def candidates(e: DataFrame, r: DataFrame) -> DataFrame:
         F.when(narrow & F.col("label").isNotNull(), _blocks("label", F.col("label"))), F.when(F.col("name").isNotNull(), _blocks("name", F.col("name"))),
         *[F.when(narrow & F.col("y").isNotNull(), _blocks("place", ybin + k)) for k in (-1, 0, 1)],
         F.when(narrow & F.col("y").isNull(), _blocks("rest")))
-    rk = r.withColumn("block", F.explode(F.array_compact(keys_r))).withColumnRenamed("page", "at")
-    crowds = reliable(rk.groupBy("book", "at", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD))
     ek = own.withColumn("block", F.explode(F.array_compact(keys_e)))
-    if not crowds.isEmpty():
-        def both(name: str) -> Column:
-            said = F.col("label").isNotNull() & F.col(name).isNotNull() & (F.col("block").startswith("label\x01") | F.col("block").startswith("name\x01"))
-            return F.when(said, _blocks("both", F.col("label"), F.col(name)))
-
-        held = F.when(F.col("n").isNull(), F.array("block")).otherwise(F.array_compact(F.array(_blocks("crowd", F.col("block"), tbin), both("head"))))
-        rk = rk.join(crowds, ["book", "at", "block"], "left").withColumn("block", F.explode(held)).drop("n").distinct()
-        wide = ek.join(crowds, ["book", "at", "block"], "left")
-        steps = F.when(F.col("n").isNull(), F.array("block")).otherwise(F.array_compact(F.array(*[_blocks("crowd", F.col("block"), ybin + k) for k in (-1, 0, 1)], both("name"))))
-        ek = wide.withColumn("block", F.explode(steps)).drop("n").distinct()
-    names = e.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select(F.col("name").alias("head"), F.lit(True).alias("is_name"))
-    rk = salted_join(rk, names, ["head"], "left")
-    heads = r.where("head is not null").groupBy("head").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select(F.col("head").alias("name"), F.lit(True).alias("is_head"))
-    ek = salted_join(ek, heads, ["name"], "left")
-    side = rk.select("book", "at", "block", "r", F.col("label").alias("r_label"), "head", "is_name", "left", "top")
-    pairs = salted_join(ek, side, ["book", "at", "block"])
+    side = r.select("book", F.col("page").alias("at"), F.explode(F.array_compact(keys_r)).alias("block"), "r", F.col("n").alias("n_r"), F.col("label").alias("r_label"), "head", "is_name", "left", "top")
+    pairs = salted_join(written(ek), side, ["book", "at", "block"])
     pairs = pairs.where(F.col("label").isNull() | F.col("r_label").isNull() | (F.col("label") == F.col("r_label")))
     dx, dy = F.col("left") - F.col("x"), F.col("y") - F.col("top")
-    w = {k: F.lit(v) for k, v in WEIGHTS.items()}
-    zero = F.lit(0.0)
     told = F.col("title_page").isNotNull()
-    page = (F.when(F.col("near") == 1, w["page_next"]).when(~told | (F.col("title_page") == F.col("page")), zero)
-            .when(F.col("at") == F.col("title_page"), w["page_title_only"]).otherwise(w["page_number_only"]))
-    evidence = (w["base"] + page + F.when(F.col("label") == F.col("r_label"), w["label_same"]).otherwise(zero)
-                + F.when(F.col("name") == F.col("head"), w["name_same"]).when(F.col("name").isNotNull() & F.col("is_name"), w["name_other"]).otherwise(zero)
-                + F.when(F.col("label").isNull() & F.col("is_head").isNull(), w["says_nothing"]).otherwise(zero)
-                + F.when(F.col("x").isNull() | F.col("left").isNull() | F.col("top").isNull(), zero).when(dx.between(*LEFT) & dy.between(*DOWN), w["place_close"]).otherwise(w["place_far"]))
-    return pairs.select("e", "r", evidence.alias("evidence")).groupBy("e", "r").agg(F.max("evidence").alias("evidence"))
+    page = (F.when(F.col("near") == 1, "next").when(~told | (F.col("title_page") == F.col("page")), "same")
+            .when(F.col("at") == F.col("title_page"), "title_only").otherwise("number_only"))
+    order = F.array_position(F.lit(["same", "title_only", "number_only", "next"]), page)
+    shown = {
+        "label": F.when(F.col("label") == F.col("r_label"), "same").otherwise("unknown"),
+        "name": F.when(F.col("name") == F.col("head"), "same").when(F.col("name").isNotNull() & F.col("is_name"), "other").otherwise("unknown"),
+        "says": F.when(F.col("label").isNull() & F.col("is_head").isNull(), "nothing").otherwise("something"),
+        "place": F.when(F.col("x").isNull() | F.col("left").isNull() | F.col("top").isNull(), "unknown").when(dx.between(*LEFT) & dy.between(*DOWN), "close").otherwise("far"),
+    }
+    seen = pairs.select("e", "r", F.col("n").alias("n_e"), "n_r", order.alias("order"), page.alias("page"), *[c.alias(k) for k, c in shown.items()])
+    best = seen.groupBy("e", "r").agg(F.min_by(F.struct("page", *shown), "order").alias("p"), F.max("n_e").alias("n_e"), F.max("n_r").alias("n_r"))
+    return best.select("e", "r", "n_e", "n_r", "p.*")
+
+
+def weighed(pairs: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS) -> DataFrame:
+    """``pairs`` with ``evidence``: the sum of the weights of what each attribute shows."""
+    out = F.lit(weights["base"]["all"])
+    for k, by in weights.items():
+        if k != "base":
+            out = out + F.element_at(F.create_map(*[F.lit(x) for kv in by.items() for x in kv]), F.col(k))
+    return pairs.withColumn("evidence", out)
 
 
 def marginals(pairs: DataFrame, tolerance: float = 1e-3, most: int | None = None) -> DataFrame:
-    """(e, r, confidence) of (e, r, evidence): marginals when each e and each r is in at most one true pair.
+    """(e, r, n_e, n_r, confidence) of (e, r, evidence): marginals when each e and each r is in at most one true pair.
 
-    A factor tells each of its pairs how likely it leaves it alone, given what the other side's factors said; an
-    iteration is one aggregation and one join for each side. It ends when no marginal moves by more than ``tolerance``;
+    A row stands for the pairs of ``n_e`` like entries with ``n_r`` like regions (1 where absent). A factor tells each of its pairs how
+    likely it leaves it alone, given what the other side's factors said; an iteration is one aggregation and one join for
+    each side, on rows that lie by that side. It ends when no marginal moves by more than ``tolerance``;
     with ``most``, a run that takes more iterations fails.
     """
-    now = written(pairs.select("e", "r", F.exp("evidence").alias("rho"), F.lit(1.0).alias("beta"), F.lit(0.0).alias("confidence")))
+    n_e, n_r = (F.col(c) if c in pairs.columns else F.lit(1) for c in ("n_e", "n_r"))
+    now = written(pairs.select("e", "r", n_e.cast("double").alias("n_e"), n_r.cast("double").alias("n_r"), F.exp("evidence").alias("rho"), F.lit(1.0).alias("beta"), F.lit(0.0).alias("confidence")))
     for done in itertools.count(1):
-        by_e = now.groupBy("e").agg(F.sum(F.col("rho") * F.col("beta")).alias("s"))
-        half = now.select("e", "r", "rho", "beta", "confidence").join(by_e, "e").withColumn("alpha", 1 / (1 + F.greatest(F.col("s") - F.col("rho") * F.col("beta"), F.lit(0.0)))).drop("s")
-        by_r = half.groupBy("r").agg(F.sum(F.col("rho") * F.col("alpha")).alias("s"))
+        lie = now.repartition("e")
+        by_e = lie.groupBy("e").agg(F.sum(F.col("n_r") * F.col("rho") * F.col("beta")).alias("s"))
+        half = lie.join(by_e, "e").withColumn("alpha", 1 / (1 + F.greatest(F.col("s") - F.col("rho") * F.col("beta"), F.lit(0.0)))).drop("s").repartition("r")
+        by_r = half.groupBy("r").agg(F.sum(F.col("n_e") * F.col("rho") * F.col("alpha")).alias("s"))
         full = half.join(by_r, "r").withColumn("beta", 1 / (1 + F.greatest(F.col("s") - F.col("rho") * F.col("alpha"), F.lit(0.0)))).drop("s")
         odds = F.col("rho") * F.col("alpha") * F.col("beta")
-        before, now = now, written(full.select("e", "r", "rho", "beta", (odds / (1 + odds)).alias("confidence"), F.col("confidence").alias("was")))
+        before, now = now, written(full.select("e", "r", "n_e", "n_r", "rho", "beta", (odds / (1 + odds)).alias("confidence"), F.col("confidence").alias("was")))
         release(before)
         moved = now.agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0]
         if (moved or 0.0) <= tolerance:
             break
         if done == most:
             raise RuntimeError(f"marginals still move by {moved} after {most} iterations")
-    return now.select("e", "r", "confidence")
+    return now.select("e", "r", F.col("n_e").cast("long").alias("n_e"), F.col("n_r").cast("long").alias("n_r"), "confidence")
 
 
 def one_to_one(rows: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs over ``least`` that are the best of both their sides; ties go to the smaller names."""
     best = F.row_number().over(W.partitionBy("e").orderBy(F.desc("confidence"), "r"))
     mate = F.row_number().over(W.partitionBy("r").orderBy(F.desc("confidence"), "e"))
-    return rows.where(F.col("confidence") > least).withColumn("i", best).where("i = 1").withColumn("j", mate).where("j = 1").drop("i", "j")
+    single = rows.where("n_e = 1 and n_r = 1") if "n_e" in rows.columns else rows
+    return single.where(F.col("confidence") > least).withColumn("i", best).where("i = 1").withColumn("j", mate).where("j = 1").drop("i", "j")
 
 
 def p1_matches(spark, sf_dir: str) -> DataFrame:
     """(oge_id, activity_key, confidence): one row a matched pair."""
-    e, r = reliable(entries(spark, sf_dir)), reliable(regions(spark, sf_dir))
-    found = one_to_one(marginals(candidates(e, r)))
-    return found.join(e.select("e", "oge_id"), "e").select("oge_id", F.col("r").alias("activity_key"), "confidence")
+    e, r = reliable(classes(entries(spark, sf_dir), "e")), reliable(classes(regions(spark, sf_dir), "r"))
+    found = one_to_one(marginals(weighed(candidates(e, r))))
+    return found.select(F.col("e").alias("oge_id"), F.col("r").alias("activity_key"), "confidence")
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
