@@ -53,12 +53,12 @@ def marker_label(c: Column) -> Column:
 
 def tidy_label(c: Column) -> Column:
     """A region's label as entry labels are written: lower case, without blanks, stops, colons and brackets around it."""
-    return F.regexp_replace(lower_tr(c), r"^[\s.:()]+|[\s.:()]+$", "")
+    return F.regexp_replace(F.lower(c), r"^[\s.:()]+|[\s.:()]+$", "")
 
 
 def label_value(c: Column) -> Column:
     """(kind, value) of a region's label, bare or written as a marker; null where it is none."""
-    bare = tidy_label(c)
+    bare = F.regexp_replace(lower_tr(c), r"^[\s.:()]+|[\s.:()]+$", "")
     marker = marker_label(c)
 
     def made(kind: str, value: Column) -> Column:
@@ -68,31 +68,68 @@ def label_value(c: Column) -> Column:
             .when(marker.isNotNull() & (marker["value"] >= 1), F.struct(marker["kind"].alias("kind"), marker["value"].alias("value"))))
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def entry_label(title: Column, page: Column) -> Column:
     """The exercise label that a publisher's title carries, null where it carries none.
 
-    The edition marks at the end go first, then the printed page (or the one before) with its separator; what is left is a
-    label if it is 'N.soru', a single letter, at most two digits, or digits glued to one letter.
+    In turn go the entry's own printed page at the head, the page before it, any number with a separator, and the edition
+    marks ('ed' with or without a number, repeated) at the end. What is left is a label if it is 'N. soru', a single letter,
+    at most two digits, or digits glued to a letter. A number before a hyphen is taken for a page ('12/3-ed2' has no label). Without a page (null, 0 or less) no page goes.
     """
-    t = F.trim(lower_tr(title))
-    t = F.regexp_replace(t, r"(?:[ .\-]*ed\d?)+$", "")
-    t = F.trim(t)
-    digits = F.regexp_extract(t, r"^(\d+)", 1)
-    lead = (digits == page.cast("string")) | (digits == (page - 1).cast("string"))
-    rest = F.when(lead, F.regexp_replace(t, r"^\d+\s*[/\\_.\-]*\s*", "")).otherwise(F.regexp_replace(t, r"^\d+\s*[/\\_\-]\s*", ""))
-    question = F.regexp_extract(rest, r"^(\d{1,3})\. ?soru$", 1)
-    single = F.regexp_extract(rest, r"^([a-zçğıöşü]|\d{1,2})[.)]?$", 1)
-    glued = F.regexp_extract(rest, r"^\d+([a-zçğıöşü])$", 1)
-    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (question, single, glued)])
+    def paged(t: Column, n: Column, marks: str) -> Column:
+        own = F.when(page > 0, F.concat(F.lit("^0*"), n.cast("string"), F.lit(rf"\s*[{marks}]?\s*"))).otherwise(F.lit("^"))
+        return _strip(F.regexp_replace(t, own, F.lit("")))
+
+    t = paged(paged(_strip(F.lower(title)), page, r"\-/\\.:"), page - 1, r"\-/\\.:_")
+    t = _strip(F.regexp_replace(t, r"^\d{1,4}\s*[\-/:]\s*", ""))
+    t = F.regexp_replace(t, r"(^|[^\p{L}\p{N}_])ed\s*\d*(?:[\s._\-]*[\s.\-]ed\s*\d*)*[\s._\-]*$", "$1")
+    t = F.regexp_replace(t, r"[\s._\-]+$", "")
+    t = F.regexp_replace(t, r"^(?:(\d{1,2})\s*\.?\s*soru[\s\S]*|([a-zçğıöşü]|\d{1,2})|\d{1,4}\s*[/\-.:]?\s*([a-zçğıöşü]))$", "$1$2$3")
+    return F.nullif(F.regexp_extract(t, r"^([a-zçğıöşü]|\d{1,2})$", 1), F.lit(""))
+
+
+# English verbs that open an instruction, and what exercises are titled.
+ENGLISH_VERBS = ("read", "write", "match", "complete", "fill", "choose", "answer", "listen", "look", "circle", "underline", "tick", "number", "put", "order", "rewrite", "discuss", "talk", "work",
+                 "ask", "tell", "find", "label", "draw", "colour", "color", "say", "repeat", "practise", "practice", "decide", "guess", "compare", "describe", "explain", "make", "use", "watch",
+                 "study", "check", "correct", "replace", "translate", "sort", "classify")
+TITLES = (r"etkinlik", "uygulama", "alıştırma", "alistirma", "çalışma\\s+kağıdı", "konuya\\s+başlarken", "hazırlık\\s+çalışmaları", "hazırlanalım", "sıra\\s+sizde", "sıra\\s+sende",
+          "kendimizi\\s+değerlendirelim", "ölçme\\s+ve\\s+değerlendirme", "değerlendirme\\s+soruları", "neler\\s+öğrendik", "ne\\s+öğrendik", "araştıralım", "düşünelim", "tartışalım", "yanıtlayalım",
+          "cevaplayalım", "uygulayalım", "inceleyelim", "bunları\\s+yapalım", "birlikte\\s+yapalım", "\\d{0,2}\\s*\\.?\\s*soru", "problem", "proje\\s+ödevi", "performans\\s+görevi", "activity", "exercise",
+          "task", "practice", "warm[\\s-]?up", "let'?s\\s+\\w+", "your\\s+turn", "check\\s+yourself", "self[\\s-]?assessment", "study\\s+skills")
+#: A question has this many characters at least; one with a mark amid it this many at most; a title this many, unless set larger.
+LEAST, MOST, TITLE = 12, 140, 48
+_INLINE = r"(?U)^\(?\s*([a-zçğıöşü]|\d{1,2})\s*[.)\]]\s+(?=\S)"
+
+
+def inline_label(c: Column) -> Column:
+    """The label that opens a paragraph's own text, such as 'a) ' or '3. '; null where there is none."""
+    return F.nullif(F.regexp_extract(F.trim(c), _INLINE, 1), F.lit(""))
 
 
 def reads_as_question(c: Column) -> Column:
-    """Whether a paragraph asks for something: a question mark at its end, a Turkish imperative or an English verb at its head."""
+    """Whether a paragraph asks its reader to do something; null is no question.
+
+    It must be long enough, open on a word or number, not in lower case unless labelled, and not introduce a range of questions.
+    Then it closes with a question mark, has one in a short text, a Turkish imperative or exhortation that closes a
+    sentence (none before it an s, which other persons carry), or opens on an English verb.
+    """
+    t = F.trim(c)
+    opens = t.rlike(r"^[(\[\"'«‘“]?\s*[0-9A-Za-zÇĞİÖŞÜÂÎÛçğıöşüâîû]") & ~(t.rlike("^[a-zçğıöşü]") & ~t.rlike(_INLINE)) & ~t.rlike(r"(?iu)^\s*\d+\s*[-–—]\s*\d+\.\s*sorular")
+    asks = t.endswith("?") | (F.contains(t, F.lit("?")) & (F.length(t) <= MOST))
+    formal = t.rlike(r"(?iuU)\w{2,}(?<!s)(?:ınız|iniz|unuz|ünüz)\s*(?:[.!?:;]|$)")
+    exhorts = t.rlike(r"(?iuU)\w{3,}(?:alım|elim)\s*(?:[.!?:]|$)")
+    short = t.rlike(r"(?iuU)\w{2,}(?:ayın|eyin|yın|yin|yun|yün)\s*[.!?]")
+    english = t.rlike(rf"(?iuU)^\s*(?:now\s+)?(?:{'|'.join(ENGLISH_VERBS)})\b")
+    return F.coalesce((F.length(t) >= LEAST) & opens & (asks | formal | exhorts | short | english), F.lit(False))
+
+
+def reads_as_title(c: Column, size: Column, body: Column) -> Column:
+    """Whether a paragraph is the title of an exercise: it opens on one and is short, or set 1.12 times the body's size."""
     t = F.trim(c)
-    ends = t.rlike(r"\?[\"”’)]*$")
-    turkish = t.rlike(r"(?iu)(?:ınız|iniz|unuz|ünüz)[.!:]?[\"”’)]*$")
-    english = t.rlike(r"(?iu)^(?:look|read|write|listen|match|complete|choose|find|discuss|describe|compare|rewrite|answer|tick|fill)\b")
-    return F.coalesce(ends | turkish | english, F.lit(False))
+    return F.coalesce(t.rlike(rf"(?iuU)^\s*(?:{'|'.join(TITLES)})\b") & ((F.length(t) <= TITLE) | (size >= 1.12 * body)), F.lit(False))
 
 
 def is_bold(flags: Column, font: Column) -> Column:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as geo
+from pagewright.operators.grouped import fields, grouped
 
 
 def panels(drawings: DataFrame, prose: DataFrame, markers: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -22,16 +22,18 @@ def panels(drawings: DataFrame, prose: DataFrame, markers: DataFrame, sheets: Da
     marks = big.join(markers.select(*keys, F.col("bbox").alias("m")), keys).where(geo.encloses(r, F.col("m"), -2.0)).groupBy(*keys, "ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ok = big.join(held.drop("rows"), [*keys, "ord"], "left_semi").join(marks.drop("n"), [*keys, "ord"], "left_anti")
 
-    def outermost(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = np.array([[x["x0"], x["y0"], x["x1"], x["y1"]] for x in pdf["rect"]], float)
-        order = np.lexsort((pdf["ord"].to_numpy(), -((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]))))
+    names = ok.columns
+
+    def outermost(g: dict[str, np.ndarray]) -> dict[str, list]:
+        b = np.array([[x["x0"], x["y0"], x["x1"], x["y1"]] for x in g["rect"]], float)
+        order = np.lexsort((g["ord"], -((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]))))
         kept: list[int] = []
         for i in order:
             if not any(b[i, 0] >= b[k, 0] - 2 and b[i, 1] >= b[k, 1] - 2 and b[i, 2] <= b[k, 2] + 2 and b[i, 3] <= b[k, 3] + 2 for k in kept):
                 kept.append(int(i))
-        return pdf.iloc[kept]
+        return {c: g[c][kept].tolist() for c in names}
 
-    return ok.groupBy(*keys).applyInPandas(outermost, ok.schema)
+    return grouped(ok, keys, ["ord"], outermost, fields(ok))
 
 
 def _cut(b: np.ndarray, idx: np.ndarray, least: float, depth: int, out: list[np.ndarray]) -> None:
@@ -55,17 +57,18 @@ def _cut(b: np.ndarray, idx: np.ndarray, least: float, depth: int, out: list[np.
 
 def xy_cut(atoms: DataFrame, keys: list[str], least: float = 12.0) -> DataFrame:
     """``atoms`` (keys, ord, x0, y0, x1, y1) with ``leaf``: recursive cuts at the widest clear valley of at least ``least`` points, top and left first."""
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", ignore_index=True)
+    names = atoms.columns
+
+    def mark(g: dict[str, np.ndarray]) -> dict[str, list]:
         out: list[np.ndarray] = []
-        _cut(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), np.arange(len(pdf)), least, 0, out)
-        leaf = np.empty(len(pdf), int)
+        b = np.stack([g[c].astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1)
+        _cut(b, np.arange(len(b)), least, 0, out)
+        leaf = np.empty(len(b), int)
         for n, idx in enumerate(out):
             leaf[idx] = n
-        return pdf.assign(leaf=leaf)
+        return {c: g[c].tolist() for c in names} | {"leaf": leaf.tolist()}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in atoms.schema.fields) + ", leaf int"
-    return atoms.groupBy(*keys).applyInPandas(mark, fields)
+    return grouped(atoms, keys, ["ord"], mark, fields(atoms, "leaf int"))
 
 
 def columns(lines: DataFrame, keys: list[str], fuse: float = 54.0) -> DataFrame:
@@ -76,3 +79,17 @@ def columns(lines: DataFrame, keys: list[str], fuse: float = 54.0) -> DataFrame:
     total = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     c = marked.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("k"), F.min("x0").alias("left")).join(total, keys)
     return c.where((F.col("k") >= 3) | (F.col("k") >= 0.1 * F.col("n"))).select(*keys, F.col("cluster").alias("column"), "left")
+
+
+def furniture(content: DataFrame, pages: DataFrame, fold: float = 3.0, least: int = 4, share: float = 0.03) -> DataFrame:
+    """``content`` (book_id, page, rect, ...) that is furniture, with ``pages``, the sheets on which its box recurs.
+
+    A box is the same if its edges, folded to ``fold`` points (halves to the even), and the sheet's hand are. It must stand on ``least``
+    sheets and on ``share`` of the book's page_count, rounded down. Boxes are counted before they are joined back.
+    """
+    r = F.col("rect")
+    keys = {"_odd": F.col("page") % 2} | {f"_{c}": F.bround(r[c] / fold).cast("long") for c in ("x0", "y0", "x1", "y1")}
+    own = content.withColumns(keys)
+    often = own.select("book_id", "page", *keys).distinct().groupBy("book_id", *keys).agg(F.count(F.lit(1)).alias("pages")).join(pages, "book_id", "left")
+    often = often.where(F.col("pages") >= F.greatest(F.lit(least), F.floor(share * F.coalesce("page_count", F.lit(0))))).drop("page_count")
+    return own.join(often, ["book_id", *keys]).drop(*keys)

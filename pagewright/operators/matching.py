@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.session import written
+from pagewright.operators.grouped import fields, grouped, repeated
+from pagewright.session import release, written
 
 
 def reach(x: Column, left: Column, right: Column) -> Column:
@@ -38,6 +41,20 @@ def gated_pairs(entries: DataFrame, regions: DataFrame, keys: list[str], confide
     return p.withColumns({"drift": drift, "reach": side, "reason": reason, "cost": drift + 0.5 * side})
 
 
+# Why an entry did not link; of several reasons the first here counts.
+REASONS = ("no-position", "confidence-gated", "label-mismatch", "drift", "wrong-side")
+
+
+def explained(pairs: DataFrame, keys: list[str], entry: str = "entry_ord") -> DataFrame:
+    """(keys, entry, candidates, reasons, gate) of gated pairs: how many candidates an entry has, all reasons met, and the one that counts.
+
+    ``gate`` is contested where there is a candidate, else the first of REASONS; keys without regions give no row.
+    """
+    rank = F.array_position(F.lit(list(REASONS)), F.col("reason"))
+    out = pairs.groupBy(*keys, entry).agg(F.count_if(F.col("reason").isNull()).alias("candidates"), F.sort_array(F.collect_set("reason")).alias("reasons"), F.min_by("reason", rank).alias("_first"))
+    return out.select(*keys, entry, "candidates", "reasons", F.when(F.col("candidates") > 0, "contested").otherwise(F.col("_first")).alias("gate"))
+
+
 def greedy_by_rounds(pairs: DataFrame, keys: list[str], left: str, right: str, order: list) -> DataFrame:
     """Greedy one-to-one claims in ``order``, natively: each round keeps the pairs that come first on both their sides.
 
@@ -48,23 +65,28 @@ def greedy_by_rounds(pairs: DataFrame, keys: list[str], left: str, right: str, o
     while not rest.isEmpty():
         best = written(rest.withColumn("_l", F.row_number().over(lw)).withColumn("_r", F.row_number().over(rw)).where("_l = 1 and _r = 1").drop("_l", "_r"))
         taken = best if taken is None else taken.unionByName(best)
-        rest = written(rest.join(best.select(*keys, left), [*keys, left], "left_anti").join(best.select(*keys, right), [*keys, right], "left_anti"))
+        before, rest = rest, written(rest.join(best.select(*keys, left), [*keys, left], "left_anti").join(best.select(*keys, right), [*keys, right], "left_anti"))
+        release(before)
     return taken if taken is not None else pairs.limit(0)
 
 
 def greedy_by_sheet(pairs: DataFrame, keys: list[str], left: str, right: str, order: list[str]) -> DataFrame:
-    """The same claims in one pass: one grouped call a sheet, whose pairs are few."""
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        used_l, used_r, kept = set(), set(), []
-        for i, a, b in zip(pdf.index, pdf[left], pdf[right], strict=True):
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                kept.append(i)
-        return pdf.loc[kept]
-
-    return pairs.groupBy(*keys).applyInPandas(claim, pairs.schema)
+    """The same claims in one pass over partitions sorted by sheet and ``order``; the state is one sheet's claimed sides."""
+    def claim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sheet, used_l, used_r = None, set(), set()
+        for pdf in batches:
+            kept = []
+            for at, a, b in zip(zip(*(pdf[k] for k in keys), strict=True), pdf[left], pdf[right], strict=True):
+                if at != sheet:
+                    sheet, used_l, used_r = at, set(), set()
+                free = a not in used_l and b not in used_r
+                if free:
+                    used_l.add(a)
+                    used_r.add(b)
+                kept.append(free)
+            yield pdf[kept]
+
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(claim, pairs.schema)
 
 
 def override_claims(links: DataFrame, forced: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
@@ -90,9 +112,10 @@ def suppress(boxes: DataFrame, keys: list[str], score: str, ordinal: str, thresh
     The measure is IoU, or with ``nested`` the shared part of the smaller box. The boxes of one page are few; the
     kept ones are compared at once.
     """
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, ordinal], ascending=[False, True], kind="stable")
-        b = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)
+    names = boxes.columns
+
+    def keep(g: dict[str, np.ndarray]) -> dict[str, list]:
+        b = np.stack([g[c].astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1)
         kept: list[int] = []
         for i in range(len(b)):
             if kept:
@@ -108,31 +131,56 @@ def suppress(boxes: DataFrame, keys: list[str], score: str, ordinal: str, thresh
                 if hit.any():
                     continue
             kept.append(i)
-        return pdf.iloc[kept]
-
-    return boxes.groupBy(*keys).applyInPandas(keep, boxes.schema)
-
-
-def match_detections(pred: DataFrame, truth: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """``pred`` (keys, ord, score, x0..y1) with ``hit``: by score, each takes the free truth of greatest IoU from ``threshold`` on."""
-    def match(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(p):
-            return pd.DataFrame(columns=names)
-        p = p.sort_values(["score", "ord"], ascending=[False, True], kind="stable")
-        t = t.sort_values("t_ord") if len(t) else pd.DataFrame(columns=["t_x0", "t_y0", "t_x1", "t_y1"])
-        gt, free = t[["t_x0", "t_y0", "t_x1", "t_y1"]].to_numpy(float), np.ones(len(t), bool)
-        hits = []
-        for box in p[["x0", "y0", "x1", "y1"]].to_numpy(float):
-            v = np.where(free, _ious(gt, box), -1.0) if len(gt) else np.array([-1.0])
-            best = int(v.argmax())
-            ok = bool(v[best] >= threshold)
-            if ok:
-                free[best] = False
-            hits.append(ok)
-        return p.assign(hit=hits)
-
-    # new names, as both sides may stem from one table
-    truth = truth.select(*[F.col(k).alias(f"t_{k}") for k in keys], *[F.col(c).alias(f"t_{c}") for c in ("ord", "x0", "y0", "x1", "y1")])
-    names = [*pred.columns, "hit"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pred.schema.fields) + ", hit boolean"
-    return pred.groupBy(*keys).cogroup(truth.groupBy(*[f"t_{k}" for k in keys])).applyInPandas(match, fields)
+        return {c: g[c][kept].tolist() for c in names}
+
+    return grouped(boxes, keys, [F.desc(score), ordinal], keep, fields(boxes))
+
+
+def match_detections(pred: DataFrame, truth: DataFrame, keys: list[str], thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """``pred`` (keys, ord, score, x0..y1) with ``hits``, a flag for each threshold: by score, each takes the free truth of greatest IoU.
+
+    Of equal overlaps the earlier truth is taken; a truth is matched once at each threshold. Both sides go to their page in one
+    union, which is sorted truths first.
+    """
+    schema = fields(pred, "hits array<boolean>")
+    cols, names = [*keys, "ord", "x0", "y0", "x1", "y1"], pred.columns
+    both = pred.select(*pred.columns, F.lit(1).alias("_p")).unionByName(truth.select(*cols, F.lit(0).alias("_p")), allowMissingColumns=True)
+
+    def match(g: dict[str, np.ndarray]) -> dict[str, list]:
+        b, n = np.stack([g[c].astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1), int((g["_p"] == 0).sum())
+        free, hits = np.ones((len(thresholds), n), dtype=bool), []
+        for box in b[n:]:
+            iou, own = _ious(b[:n], box), []
+            for k, least in enumerate(thresholds):
+                v = np.where(free[k], iou, -1.0)
+                best = int(v.argmax()) if n else -1
+                ok = n > 0 and bool(v[best] >= least) and bool(v[best] > 0)
+                if ok:
+                    free[k, best] = False
+                own.append(ok)
+            hits.append(own)
+        return {c: g[c][n:].tolist() for c in names} | {"hits": hits}
+
+    return grouped(both, keys, ["_p", F.desc("score"), "ord"], match, schema)
+
+
+def mutual_matches(a: DataFrame, b: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+    """(keys, n_a, n_b, matches, agreement) of two sets of boxes (keys, ord, x0..y1): greedy, best pair first; of equal pairs the later.
+
+    Agreement is the matched part of all boxes. Pages that only one side has count too; pages without boxes are in neither.
+    """
+    cols = [*keys, "ord", "x0", "y0", "x1", "y1"]
+    both = a.select(*cols, F.lit(0).alias("_s")).unionByName(b.select(*cols, F.lit(1).alias("_s")))
+
+    def match(g: dict[str, np.ndarray]) -> dict[str, list]:
+        box, n = np.stack([g[c].astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1), int((g["_s"] == 0).sum())
+        pairs = sorted(((v, i, j) for i in range(n) for j, v in enumerate(_ious(box[n:], box[i])) if v >= threshold), reverse=True)
+        used_a, used_b = set(), set()
+        for _, i, j in pairs:
+            if i not in used_a and j not in used_b:
+                used_a.add(i)
+                used_b.add(j)
+        return repeated(g, keys) | {"n_a": [n], "n_b": [len(box) - n], "matches": [len(used_a)], "agreement": [2.0 * len(used_a) / len(box)]}
+
+    kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
+    return grouped(both, keys, ["_s", "ord"], match, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n_a long", "n_b long", "matches long", "agreement double"]))

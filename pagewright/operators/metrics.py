@@ -6,31 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagewright.operators.prefix import running_sum
+
 
 def auc(rows: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """Mann-Whitney AUC with average ranks per ``keys``; null where a class is missing.
 
-    Scores are counted first, so the window runs over distinct scores.
+    Scores are counted first; the running count over distinct scores is range-partitioned, so one key may hold them all.
     """
     c = rows.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("p"))
-    below = F.sum("n").over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    ranked = c.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
-    s = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("rs"), F.sum("p").alias("np"), F.sum(F.col("n") - F.col("p")).alias("nn"))
-    return s.select(*keys, ((F.col("rs") - F.col("np") * (F.col("np") + 1) / 2) / F.nullif(F.col("np") * F.col("nn"), F.lit(0))).alias("auc"))
+    run = running_sum(c, [*keys, score], "n", "_upto")
+    s = run.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2)).alias("rs"), F.min(F.col("_upto") - F.col("n")).alias("_before"),
+                               F.sum("p").alias("np"), F.sum(F.col("n") - F.col("p")).alias("nn"))
+    return s.select(*keys, ((F.col("rs") - F.col("_before") * F.col("np") - F.col("np") * (F.col("np") + 1) / 2) / F.nullif(F.col("np") * F.col("nn"), F.lit(0))).alias("auc"))
 
 
 def average_precision(pred: DataFrame, truths: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
-    """Interpolated average precision of (keys, score, ord, hit) against (keys, truths); null where there is no truth."""
-    by_score = W.partitionBy(*keys).orderBy(F.desc("score"), "ord")
-    run = pred.withColumn("_tp", F.sum(F.col("hit").cast("long")).over(by_score.rowsBetween(W.unboundedPreceding, 0))).withColumn("_rank", F.row_number().over(by_score))
-    tail = W.partitionBy(*keys).orderBy("_rank").rowsBetween(0, W.unboundedFollowing)
-    env = run.withColumn("_env", F.max(F.col("_tp") / F.col("_rank")).over(tail)).join(truths.where("truths > 0"), keys)
-    # A row holds for every point up to its recall; the greatest envelope per last point is enough.
+    """Interpolated average precision of (keys, score, ord, hit) against (keys, truths); null where there is no truth.
+
+    Hits and ranks are running sums over one global range sort, so a class may hold all rows; what follows has at most
+    ``points`` rows a class.
+    """
+    rows = pred.withColumns({"_down": -F.col("score"), "_one": F.lit(1), "_hit": F.coalesce(F.col("hit"), F.lit(False)).cast("int")})
+    run = running_sum(rows, [*keys, "_down", "ord"], "_hit", "_tp", {"_one": "_rank"})
+    start = run.groupBy(*keys).agg(F.min(F.col("_tp") - F.col("_hit")).alias("_tp0"), F.min(F.col("_rank") - 1).alias("_rank0")).join(truths.where("truths > 0"), keys)
+    own = run.join(start, keys).withColumns({"_tp": F.col("_tp") - F.col("_tp0"), "_rank": F.col("_rank") - F.col("_rank0")})
+    # A row holds for every point up to its recall; the greatest precision per last point is enough, its suffix maximum is the envelope.
     last = F.floor(F.col("_tp") * (points - 1) / F.col("truths")).cast("int")
-    best = env.groupBy(*keys, last.alias("_last")).agg(F.max("_env").alias("_v"))
-    prior = F.max("_last").over(W.partitionBy(*keys).orderBy("_last").rowsBetween(W.unboundedPreceding, -1))
-    upper = F.max("_v").over(W.partitionBy(*keys).orderBy("_last").rowsBetween(0, W.unboundedFollowing))
-    spans = best.withColumn("_take", F.col("_last") - F.coalesce(prior, F.lit(-1))).withColumn("_v", upper)
+    best = own.groupBy(*keys, last.alias("_last")).agg(F.max(F.col("_tp") / F.col("_rank")).alias("_v"))
+    w = W.partitionBy(*keys).orderBy(F.desc("_last"))
+    upper = F.max("_v").over(w.rowsBetween(W.unboundedPreceding, 0))
+    spans = best.withColumns({"_take": F.col("_last") - F.coalesce(F.lead("_last").over(w), F.lit(-1)), "_v": upper})
     summed = spans.groupBy(*keys).agg((F.sum(F.col("_take") * F.col("_v")) / points).alias("_ap"))
     return truths.join(summed, keys, "left").select(*keys, F.when(F.col("truths") > 0, F.coalesce("_ap", F.lit(0.0))).alias("ap"))
 

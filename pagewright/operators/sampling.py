@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagewright.operators.prefix import numbered
+
 
 def every_third(rows: DataFrame, strata: list[str], order: str) -> DataFrame:
-    """``rows`` with ``held_out``: the second of each three of a stratum in ``order``."""
-    n = F.row_number().over(W.partitionBy(*strata).orderBy(order))
-    return rows.withColumn("held_out", (n - 1) % 3 == 1)
+    """``rows`` with ``held_out``: the second of each three of a stratum in ``order``; strata are few and may be hot, so rows are numbered over a range sort."""
+    n = numbered(rows, strata, [order], "_n")
+    return n.withColumn("held_out", (F.col("_n") - 1) % 3 == 1).drop("_n")
 
 
 def hash_order(*cols: str, seed: str = "1") -> Column:
@@ -21,20 +23,21 @@ def hash_order(*cols: str, seed: str = "1") -> Column:
 def quota_sample(rows: DataFrame, book: str, stratum: str, key: str, total: int, shares: dict[str, float], first: str, order: list[str]) -> DataFrame:
     """Per book ``total`` rows with ``shares`` of the strata (``first`` takes the remainder), topped up in ``order`` where a stratum is short.
 
-    Two windows: the first ranks within the stratum, the second ranks what the quotas left over.
+    Rows are numbered within the stratum over a range sort; a window then ranks what the quotas left over.
     """
     quota = {s: int(total * x) for s, x in shares.items()}
     quota[first] = total - sum(v for s, v in quota.items() if s != first)
-    h = hash_order(book, key)
-    ranked = rows.withColumn("_h", h).withColumn("_k", F.row_number().over(W.partitionBy(book, stratum).orderBy("_h", key)))
+    ranked = numbered(rows.withColumn("_h", hash_order(book, key)), [book, stratum], ["_h", key], "_k")
     limit, place = F.lit(0), F.lit(len(order))
     for s, v in quota.items():
         limit = F.when(F.col(stratum) == s, v).otherwise(limit)
     for i, s in enumerate(order):
         place = F.when(F.col(stratum) == s, i).otherwise(place)
     by_quota = F.col("_k") <= limit
+    # of a stratum no row beyond the total-th can be taken, so the second window sees at most strata x total rows a book
+    near = ranked.where(F.col("_k") <= total)
     then = W.partitionBy(book).orderBy(F.when(by_quota, 0).otherwise(1), place, "_h", key)
-    return ranked.withColumn("topped_up", ~by_quota).withColumn("_r", F.row_number().over(then)).where(F.col("_r") <= total).drop("_h", "_k", "_r")
+    return near.withColumn("topped_up", ~by_quota).withColumn("_r", F.row_number().over(then)).where(F.col("_r") <= total).drop("_h", "_k", "_r")
 
 
 def doubt(score: Column) -> Column:
@@ -44,8 +47,6 @@ def doubt(score: Column) -> Column:
 
 def systematic(rows: DataFrame, order: str, n: int) -> DataFrame:
     """Every k-th of the rows in ``order``, k = max(1, rows // n), at most n, by the global rank over a range sort."""
-    from pagewright.operators.prefix import running_sum
-
-    ranked = running_sum(rows.withColumn("_one", F.lit(1)), [order], "_one", "_rank").drop("_one")
+    ranked = numbered(rows, [], [order], "_rank")
     k = max(1, ranked.count() // n)
     return ranked.where(((F.col("_rank") - 1) % k == 0) & (F.col("_rank") <= F.lit(k) * n)).drop("_rank")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagewright.operators.grouped import fields, grouped, repeated
+
 
 def anchor_clusters(rows: DataFrame, keys: list[str], value: str, ordinal: str, tol: float) -> DataFrame:
     """``rows`` with ``cluster`` (from 1): values in order open a new one when over ``tol`` from the cluster's first value.
@@ -15,20 +19,20 @@ def anchor_clusters(rows: DataFrame, keys: list[str], value: str, ordinal: str,
     Not the same as gaps between neighbours, as a slow drift ends a cluster. The state is one number a group; a group is
     one sheet's or one book's. Null values come first and share cluster 0.
     """
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([value, ordinal], na_position="first")
+    names = rows.columns
+
+    def mark(g: dict[str, np.ndarray]) -> dict[str, list]:
         out, first, n = [], None, 0
-        for v in pdf[value].to_numpy(float):
-            if np.isnan(v):
+        for v in g[value].astype(float).tolist():
+            if v != v:
                 out.append(0)
                 continue
             if first is None or v - first > tol:
                 first, n = v, n + 1
             out.append(n)
-        return pdf.assign(cluster=out)
+        return {c: g[c].tolist() for c in names} | {"cluster": out}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", cluster int"
-    return rows.groupBy(*keys).applyInPandas(mark, fields)
+    return grouped(rows, keys, [F.asc_nulls_first(value), ordinal], mark, fields(rows, "cluster int"))
 
 
 def text_lines(spans: DataFrame) -> DataFrame:
@@ -57,10 +61,11 @@ def longest_run(rows: DataFrame, keys: list[str], order: str, value: str, gap: f
 
     Of equal scores the run that ends first wins. The programme is quadratic in a group, which is one column of a sheet.
     """
-    def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.dropna(subset=[value]).sort_values(order)[value].to_numpy(float)
+    def best(g: dict[str, np.ndarray]) -> dict[str, list]:
+        v = g[value].astype(float)
+        v = v[~np.isnan(v)]
         if not len(v):
-            return pd.DataFrame([(*key, 0, 0.0)], columns=[*keys, "n", "score"])
+            return repeated(g, keys) | {"n": [0], "score": [0.0]}
         score, size = np.ones(len(v)), np.ones(len(v), int)
         for i in range(1, len(v)):
             step = v[i] - v[:i]
@@ -69,10 +74,10 @@ def longest_run(rows: DataFrame, keys: list[str], order: str, value: str, gap: f
             if gain[j] > score[i]:
                 score[i], size[i] = gain[j], size[j] + 1
         k = int(score.argmax())
-        return pd.DataFrame([(*key, int(size[k]), float(score[k]))], columns=[*keys, "n", "score"])
+        return repeated(g, keys) | {"n": [int(size[k])], "score": [float(score[k])]}
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy(*keys).applyInPandas(best, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, score double")
+    return grouped(rows, keys, [order], best, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long", "score double"]))
 
 
 def longest_label_run(rows: DataFrame, keys: list[str], order: str, kind: str, value: str, gap: float = 0.01) -> DataFrame:
@@ -92,17 +97,17 @@ def longest_label_run(rows: DataFrame, keys: list[str], order: str, kind: str, v
         k = max(range(len(v)), key=score.__getitem__)
         return (0.0, 0) if score[k] < 2 and name == "letter" and v[k] != 1.0 else (score[k], size[k])
 
-    def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def best(g: dict[str, np.ndarray]) -> dict[str, list]:
         runs: dict[str, list[float]] = {}
-        for _, name, v in sorted(zip(pdf[order], pdf[kind], pdf[value], strict=True), key=lambda x: x[0]):
+        for name, v in zip(g[kind].tolist(), g[value].tolist(), strict=True):
             if name is not None:
                 runs.setdefault(name, []).append(v)
         found = [run(name, v) for name, v in sorted(runs.items())] or [(0.0, 0)]
         score, n = max(found, key=lambda x: x[0])
-        return pd.DataFrame([(*key, n, score, sum(x[1] for x in found))], columns=[*keys, "n", "score", "n_kept"])
+        return repeated(g, keys) | {"n": [n], "score": [score], "n_kept": [sum(x[1] for x in found)]}
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy(*keys).applyInPandas(best, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, score double, n_kept long")
+    return grouped(rows, keys, [order], best, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long", "score double", "n_kept long"]))
 
 
 def counts_from_one(values: Column) -> Column:
@@ -111,22 +116,40 @@ def counts_from_one(values: Column) -> Column:
     return (F.size(s) > 0) & (s == F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))).cast("array<bigint>"))
 
 
-def toc_parents(rows: DataFrame, book: str, order: str, level: str, top: int = 6) -> DataFrame:
-    """``rows`` with ``parent``: the latest row before of a smaller level, from one window a level; null at the top."""
-    before = W.partitionBy(book).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    last = F.lit(None).cast("bigint")
-    for k in range(1, top + 1):
-        seen = F.last(F.when(F.col(level) == k, F.col(order)), ignorenulls=True).over(before)
-        last = F.when((F.col(level) > k) & seen.isNotNull() & (last.isNull() | (seen > last)), seen).otherwise(last)
-    return rows.withColumn("parent", last)
+def toc_parents(rows: DataFrame, book: str, order: str, level: str) -> DataFrame:
+    """``rows`` with ``parent``: the latest row before of a smaller level, at any depth; null at the top. The state is the stack of open levels."""
+    names = rows.columns
+
+    def step(g: dict[str, np.ndarray]) -> dict[str, list]:
+        stack, out = [], []
+        for at, depth in zip(g[order].tolist(), g[level].tolist(), strict=True):
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            out.append(stack[-1][1] if stack else None)
+            stack.append((depth, at))
+        return {c: g[c].tolist() for c in names} | {"parent": out}
 
+    return grouped(rows, [book], [order], step, fields(rows, "parent long"))
 
-def skip_fold(items: Column, budget: int) -> Column:
-    """Sizes kept in order while they fit the budget: what does not fit is skipped, later smaller ones may still fit."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(acc, x):
-        fits = acc["used"] + x["size"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["size"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["kept"], x["id"])).otherwise(acc["kept"]).alias("kept"))
+def budget_skip(rows: DataFrame, keys: list[str], order: list, size: str, budget: int, count: int | None = None) -> DataFrame:
+    """Rows kept in ``order`` while they fit ``budget`` (and ``count``): what does not fit is skipped, later smaller ones may still fit.
+
+    One running sum a group is all that is held, so a group of any size passes in batches.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used, n = None, 0, 0
+        for pdf in batches:
+            kept = []
+            for at, x in zip(zip(*(pdf[k] for k in keys), strict=True), pdf[size], strict=True):
+                if at != group:
+                    group, used, n = at, 0, 0
+                fits = used + x <= budget and (count is None or n < count)
+                if fits:
+                    used, n = used + x, n + 1
+                kept.append(fits)
+            yield pdf[kept]
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, rows.schema)
+
 
-    return F.aggregate(items, zero, step)["kept"]

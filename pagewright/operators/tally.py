@@ -12,7 +12,7 @@ from pagewright.functions import geometry as geo
 BUCKETS = ("ok", "rule-violation", "page-blank", "anchor-excluded", "anchor-nogrow", "contested", "no-position", "confidence-gated",
            "label-mismatch", "drift", "wrong-side", "page-not-read", "unresolved-page")
 #: Weights of the loss.
-LOSS = {"cut": 100, "overlap": 200, "tall": 40, "sliver": 40, "miss": 100, "coverage": -1}
+LOSS = {"cut": 100, "overlap": 200, "tall": 40, "sliver": 40, "miss": 20, "coverage": -1}
 
 
 def rates(scores: DataFrame) -> DataFrame:
@@ -64,13 +64,18 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, points: dict[str,
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > r, F.col(value))).alias(name) for name, r in rank.items()])
 
 
-def folio(sheets: DataFrame) -> DataFrame:
-    """(book_id, page, book_offset, printed) by a vote on sheet minus printed page: most votes, smaller distance, first seen."""
-    votes = sheets.where("printed_page is not null").groupBy("book_id", (F.col("page") - F.col("printed_page")).alias("off")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("page").alias("first"))
+def folio(sheets: DataFrame, first: int | None = None) -> DataFrame:
+    """(book_id, page, book_offset, printed) by a vote on sheet minus printed page: most votes, smaller distance, first seen.
+
+    Only the ``first`` sheets vote and count as read where given. A book without votes has the offset 0; what comes out negative is null.
+    """
+    read = sheets.where("printed_page is not null") if first is None else sheets.where(F.col("printed_page").isNotNull() & (F.col("page") <= first))
+    votes = read.groupBy("book_id", (F.col("page") - F.col("printed_page")).alias("off")).agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("first"))
     best = votes.groupBy("book_id").agg(F.max(F.struct("n", -F.abs("off"), -F.col("first"), "off")).alias("v")).select("book_id", F.col("v.off").alias("book_offset"))
+    out = sheets.join(best, "book_id", "left").withColumn("book_offset", F.coalesce("book_offset", F.lit(0)))
     guess = F.col("page") - F.col("book_offset")
-    return sheets.join(best, "book_id", "left").select("book_id", "page", "book_offset", F.coalesce("printed_page", F.when(guess >= 0, guess)).alias("printed"))
+    seen = F.col("printed_page") if first is None else F.when(F.col("page") <= first, F.col("printed_page"))
+    return out.select("book_id", "page", "book_offset", F.coalesce(seen, F.when(guess >= 0, guess)).alias("printed"))
 
 
 def modal_size(spans: DataFrame, keys: list[str], ordinal: str, running: bool = False, fallback: float = 10.0) -> DataFrame:

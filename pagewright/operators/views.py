@@ -41,6 +41,11 @@ def interactive(c=F.col):
     return (c("ogeturu") == 1) & (F.length(c("data")) > 0) & c("sayfaustuoge") & (c("sayfano") != 0)
 
 
+def has_position(c=F.col):
+    """Whether an entry names a point of its sheet: 0, 0 is none; an unknown one passes."""
+    return ~F.coalesce((c("posx") == 0) & (c("posy") == 0), F.lit(False))
+
+
 #: The same views as SQL common table expressions.
 _G = "nullif(lower(regexp_replace({}, '^[\\s{{}}]+|[\\s{{}}]+$', '', 'g')), '')"
 SQL = f"""act AS (SELECT DISTINCT activity_key, book_id, page, id, label, col_no, rect, kind, headline FROM activity),

@@ -46,7 +46,7 @@ _BS = "s AS (SELECT DISTINCT * EXCLUDE (row_id) FROM book_score)"
 @query(f"""WITH {_BS} SELECT book_id, run_no, round((panels_cut + solutions_cut) / nullif(regions, 0), 6) AS cut_rate, round(matched / nullif(oges, 0), 6) AS match_rate,
   round(pages_with_regions / nullif(pages, 0), 6) AS coverage,
   round(100 * coalesce((panels_cut + solutions_cut) / nullif(regions, 0), 0) + 200 * coalesce("overlaps" / nullif(regions, 0), 0) + 40 * coalesce(tall / nullif(regions, 0), 0)
-    + 40 * coalesce(slivers / nullif(regions, 0), 0) + CASE WHEN oges > 0 THEN 100 * (1 - matched / oges) ELSE 0 END - coalesce(pages_with_regions / nullif(pages, 0), 0), 6) AS loss FROM s""")
+    + 40 * coalesce(slivers / nullif(regions, 0), 0) + CASE WHEN oges > 0 THEN 20 * (oges - matched) / oges ELSE 0 END - coalesce(pages_with_regions / nullif(pages, 0), 0), 6) AS loss FROM s""")
 def book_rates_loss(spark, d) -> DataFrame:
     """Rates of each run (null where nothing was counted) and its weighted loss (then 0); a book without entries pays no miss."""
     return tally.rates(_scores(spark, d)).select("book_id", "run_no", *[F.round(c, 6).alias(c) for c in ("cut_rate", "match_rate", "coverage", "loss")])
@@ -61,9 +61,7 @@ def engine_totals(spark, d) -> DataFrame:
         F.round(F.avg(F.coalesce(F.try_divide("pages_with_regions", "pages"), F.lit(0.0))), 6).alias("coverage"))
 
 
-@query(f"""WITH {views.SQL}, v AS (SELECT book_id, page - printed_page AS off, count(*) AS n, min(page) AS first FROM sh WHERE printed_page IS NOT NULL GROUP BY 1, 2),
-b AS (SELECT book_id, off FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, abs(off), first) AS k FROM v) WHERE k = 1)
-SELECT sh.book_id, sh.page, off AS book_offset, coalesce(printed_page, CASE WHEN sh.page - off >= 0 THEN sh.page - off END) AS printed FROM sh LEFT JOIN b USING (book_id)""")
+@query(f"WITH {joins._FOLIO} SELECT book_id, page, book_offset, printed FROM fs")
 def folio_modal_offset(spark, d) -> DataFrame:
     """Each sheet's printed page: as read, else by the book's modal offset, negative ones dropped."""
     return tally.folio(views.sheets(spark, d))
@@ -95,8 +93,8 @@ def marker_calibration(spark, d) -> DataFrame:
 
 
 def _faulty(spark, d) -> DataFrame:
-    """(region_ord, faulty) of regions that break a rule: taller than .7 of the sheet, under 6 points wide or high, or sharing over one square point with another."""
-    a = views.activities(spark, d).select("book_id", "page", F.col("activity_key").alias("region_ord"), "rect")
+    """(region_ord, faulty) of activity regions that break a rule: taller than .7 of the sheet, under 6 points wide or high, or sharing over one square point with another."""
+    a = views.activities(spark, d).where("kind = 'activity'").select("book_id", "page", F.col("activity_key").alias("region_ord"), "rect")
     r = F.col("rect")
     odd = a.join(views.sheets(spark, d), ["book_id", "page"]).where((geo.height(r) > 0.7 * F.col("height")) | (geo.width(r) < 6) | (geo.height(r) < 6)).select("region_ord")
     o = a.select("book_id", "page", F.col("region_ord").alias("other"), r.alias("q"))
@@ -104,34 +102,43 @@ def _faulty(spark, d) -> DataFrame:
     return odd.unionByName(shared).distinct().withColumn("faulty", F.lit(True))
 
 
-@query(f"""WITH {views.SQL}, pages AS (SELECT DISTINCT a.book_id, sh.printed_page FROM act a JOIN sh USING (book_id, page) WHERE a.kind = 'activity'),
-printed AS (SELECT DISTINCT book_id, printed_page FROM sh WHERE printed_page IS NOT NULL),
-b AS (SELECT en.id, CASE WHEN pr.book_id IS NULL THEN 'unresolved-page' WHEN p.book_id IS NULL THEN 'page-blank' WHEN x = 0 AND y = 0 THEN 'anchor-excluded' WHEN y IS NULL THEN 'no-position' ELSE 'contested' END AS bucket
-  FROM en LEFT JOIN printed pr ON pr.book_id = en.book_id AND pr.printed_page = en.sayfano LEFT JOIN pages p ON p.book_id = en.book_id AND p.printed_page = en.sayfano)
-SELECT n.bucket, count(b.id) AS n FROM (SELECT unnest(['ok', 'rule-violation', 'page-blank', 'anchor-excluded', 'anchor-nogrow', 'contested', 'no-position', 'confidence-gated', 'label-mismatch', 'drift', 'wrong-side', 'page-not-read', 'unresolved-page']) AS bucket) n
+_BAD = """bad AS (SELECT region_ord FROM rg WHERE rect.y1 - rect.y0 > 0.7 * height OR rect.x1 - rect.x0 < 6 OR rect.y1 - rect.y0 < 6
+  UNION SELECT a.region_ord FROM rg a JOIN rg b ON a.book_id = b.book_id AND a.page = b.page AND a.region_ord <> b.region_ord
+  WHERE greatest(least(a.rect.x1, b.rect.x1) - greatest(a.rect.x0, b.rect.x0), 0) * greatest(least(a.rect.y1, b.rect.y1) - greatest(a.rect.y0, b.rect.y0), 0) > 1)"""
+
+
+@query(f"""{joins._GREEDY}, {_BAD},
+ent AS (SELECT es.*, (SELECT min(page) FROM fs WHERE fs.book_id = es.book_id AND fs.printed = es.printed) AS page FROM es),
+gate AS (SELECT book_id, page, entry_ord, CASE WHEN count(*) FILTER (WHERE reason IS NULL) > 0 THEN 'contested'
+  ELSE arg_min(reason, CASE reason WHEN 'no-position' THEN 1 WHEN 'confidence-gated' THEN 2 WHEN 'label-mismatch' THEN 3 WHEN 'drift' THEN 4 ELSE 5 END) END AS gate FROM pr GROUP BY 1, 2, 3),
+b AS (SELECT ent.entry_ord, CASE WHEN ent.page IS NULL THEN 'unresolved-page' WHEN l.region_ord IS NOT NULL AND l.region_ord IN (FROM bad) THEN 'rule-violation' WHEN l.region_ord IS NOT NULL THEN 'ok'
+    WHEN NOT EXISTS (SELECT 1 FROM rg WHERE rg.book_id = ent.book_id AND rg.page = ent.page) THEN 'page-blank' WHEN posx = 0 AND posy = 0 THEN 'anchor-excluded' ELSE coalesce(gate, 'page-blank') END AS bucket
+  FROM ent LEFT JOIN links l ON l.book_id = ent.book_id AND l.page = ent.page AND l.entry_ord = ent.entry_ord LEFT JOIN gate g ON g.book_id = ent.book_id AND g.page = ent.page AND g.entry_ord = ent.entry_ord)
+SELECT n.bucket, count(b.entry_ord) AS n FROM (SELECT unnest(['ok', 'rule-violation', 'page-blank', 'anchor-excluded', 'anchor-nogrow', 'contested', 'no-position', 'confidence-gated', 'label-mismatch', 'drift', 'wrong-side', 'page-not-read', 'unresolved-page']) AS bucket) n
 LEFT JOIN b USING (bucket) GROUP BY 1""")
 def bucket_histogram(spark, d) -> DataFrame:
-    """Entries by the first cause that keeps them from being reached, all 13 causes with their zeros.
+    """Interactive entries by the cause they are filed under, all 13 causes with their zeros; they sum to the manifest.
 
-    Linked entries are ok, or rule-violation where their region breaks a rule; of the rest, one with a candidate region is contested,
-    one without has the first of the gates' reasons. Only interactive entries are linked. The tables hold no anchors, page slices or
-    book confidence, so anchor-nogrow, page-not-read and confidence-gated stay 0, and no panels, so a cut breaks no rule here.
+    An entry is filed once, on the first sheet of its printed page: linked ones are ok, or rule-violation where their region breaks
+    a rule; then page-blank, anchor-excluded (position 0, 0), contested with a candidate, else the first of the gates' reasons.
+    The tables hold no anchors, page slices or book confidence, so anchor-nogrow, page-not-read and confidence-gated stay 0.
     """
-    sheets = views.sheets(spark, d)
-    with_regions = views.activities(spark, d).where("kind = 'activity'").join(sheets, ["book_id", "page"]).select("book_id", F.col("printed_page").alias("sayfano")).distinct().withColumn("has", F.lit(True))
-    printed = sheets.where("printed_page is not null").select("book_id", F.col("printed_page").alias("sayfano")).distinct().withColumn("read", F.lit(True))
-    keys = ["book_id", "printed"]
-    pairs = reliable(matching.gated_pairs(*joins._placed(spark, d, every=True), keys).select(*keys, "entry_ord", "region_ord", "cost", "reason", "strict"))
-    links = matching.greedy_by_sheet(pairs.where("strict and reason is null").drop("reason", "strict"), keys, "entry_ord", "region_ord", ["cost", "entry_ord", "region_ord"])
-    linked = links.join(_faulty(spark, d), "region_ord", "left").select("book_id", F.col("printed").alias("sayfano"), F.col("entry_ord").alias("id"), F.when(F.col("faulty"), "rule-violation").otherwise("ok").alias("linked"))
-    gates = ("contested", *[b for b in tally.BUCKETS if b in ("no-position", "confidence-gated", "label-mismatch", "drift", "wrong-side")])
-    rank = F.array_position(F.lit(list(gates)), F.coalesce("reason", F.lit("contested")))
-    stopped = pairs.groupBy("book_id", F.col("printed").alias("sayfano"), F.col("entry_ord").alias("id")).agg(F.min_by(F.coalesce("reason", F.lit("contested")), rank).alias("gate"))
-    e = views.entries(spark, d).join(printed, ["book_id", "sayfano"], "left").join(with_regions, ["book_id", "sayfano"], "left")
-    e = e.join(linked, ["book_id", "sayfano", "id"], "left").join(stopped, ["book_id", "sayfano", "id"], "left")
-    bucket = (F.when(F.col("linked").isNotNull(), F.col("linked")).when(F.col("read").isNull(), "unresolved-page").when(F.col("has").isNull(), "page-blank")
-              .when((F.col("x") == 0) & (F.col("y") == 0), "anchor-excluded").otherwise(F.col("gate")))
-    return tally.zero_filled(e.select(bucket.alias("bucket")), "bucket", tally.BUCKETS)
+    return tally.zero_filled(_filed(spark, d), "bucket", tally.BUCKETS)
+
+
+def _filed(spark, d) -> DataFrame:
+    """(book_id, page, entry_ord, bucket) of every interactive entry; page is null where no sheet has its printed page."""
+    e, r = joins._placed(spark, d)
+    e, keys = reliable(e), ["book_id", "page", "entry_ord"]
+    pairs = reliable(matching.gated_pairs(e, r, ["book_id", "page"]).select(*keys, "region_ord", "cost", "reason"))
+    linked = joins._links(pairs).join(_faulty(spark, d), "region_ord", "left").select(*keys, F.when(F.col("faulty"), "rule-violation").otherwise("ok").alias("linked"))
+    gates = matching.explained(pairs, ["book_id", "page"]).select(*keys, "gate")
+    first = e.groupBy("book_id", "printed", "entry_ord").agg(F.min("page").alias("page"))
+    own = views.entries(spark, d).where(views.interactive()).select("book_id", F.col("sayfano").alias("printed"), F.col("id").alias("entry_ord"), "posx", "posy")
+    filed = own.join(first, ["book_id", "printed", "entry_ord"], "left").join(linked, keys, "left").join(gates, keys, "left")
+    bucket = (F.when(F.col("page").isNull(), "unresolved-page").when(F.col("linked").isNotNull(), F.col("linked")).when(F.col("gate").isNull(), "page-blank")
+              .when(~views.has_position(), "anchor-excluded").otherwise(F.col("gate")))
+    return filed.select(*keys, bucket.alias("bucket"))
 
 
 @query(f"""WITH {views.SQL}, h AS (SELECT kind, label IS NULL AS bare, list_sort(list(round(rect.y1 - rect.y0, 2))) AS xs FROM act GROUP BY 1, 2)

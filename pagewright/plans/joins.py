@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
-from pagewright.operators import graph, matching, views
+from pagewright.operators import detection, graph, matching, tally, views
+from pagewright.operators.prefix import numbered
 from pagewright.session import reliable, table
 
 QUERIES: dict = {}
@@ -24,22 +25,47 @@ def query(sql: str | None = None):
     return add
 
 
-def _placed(spark, d, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Entries (interactive ones, or with ``every`` all, flagged ``strict``) and regions of printed pages, in percent of the sheet."""
-    s = views.sheets(spark, d).where("printed_page is not null")
+def _placed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Interactive entries by each sheet of their printed page, and regions by sheet, in percent of the sheet."""
+    s = views.sheets(spark, d)
+    s = s.join(tally.folio(s), ["book_id", "page"]).where("printed is not null")
     a = views.activities(spark, d).where("kind = 'activity'").join(s, ["book_id", "page"])
     left, top, right, bottom = geo.percent_view(F.col("rect"), F.col("width"), F.col("height"))
-    regions = a.select("book_id", F.col("printed_page").alias("printed"), F.col("activity_key").alias("region_ord"), tx.tidy_label(F.col("label")).alias("r_label"), left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"), F.lit(False).alias("bound"))
-    entries = views.entries(spark, d).select(
-        "book_id", F.col("sayfano").alias("printed"), F.col("id").alias("entry_ord"), tx.entry_label(F.col("title"), F.col("sayfano")).alias("e_label"), "x", "y", F.coalesce(views.interactive(), F.lit(False)).alias("strict"))
-    return (entries if every else entries.where("strict").drop("strict")), regions
-
-
-_PLACED = f"""{views.SQL},
-rg AS (SELECT book_id, printed_page AS printed, activity_key AS region_ord, label AS r_label, 100 * rect.x0 / width AS l, 100 * (1 - rect.y1 / height) AS t, 100 * rect.x1 / width AS r, 100 * (1 - rect.y0 / height) AS b
-  FROM act JOIN sh USING (book_id, page) WHERE kind = 'activity' AND printed_page IS NOT NULL),
-et AS (SELECT book_id, sayfano AS printed, id AS entry_ord, regexp_extract(title, '^[0-9]+/([a-zç])', 1) AS e_label, x, y FROM en WHERE ogeturu = 1 AND length(data) > 0 AND sayfaustuoge AND sayfano <> 0),
-pr0 AS (SELECT et.*, region_ord, nullif(r_label, '') AS rl, nullif(e_label, '') AS el, l, t, r, b, abs(y - t) AS drift, greatest(l - x, x - r, 0) AS reach FROM et JOIN rg USING (book_id, printed)),
+    regions = a.select("book_id", "page", F.col("activity_key").alias("region_ord"), tx.tidy_label(F.col("label")).alias("r_label"), left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"), F.lit(False).alias("bound"))
+    own = views.entries(spark, d).where(views.interactive()).select(
+        "book_id", F.col("sayfano").alias("printed"), F.col("id").alias("entry_ord"), tx.entry_label(F.col("title"), F.col("sayfano")).alias("e_label"), "x", "y", "posx", "posy")
+    return own.join(s.select("book_id", "page", "printed"), ["book_id", "printed"]), regions
+
+
+_SHEET = ["book_id", "page"]
+_LOW = "lower(replace({}, 'İ', 'i̇'))"
+_STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _label_sql(title: str, page: str) -> str:
+    """The label of a title in SQL: the same steps as the reference rule of ``text.entry_label``."""
+    def paged(t: str, n: str, marks: str) -> str:
+        own = f"CASE WHEN {page} > 0 THEN '^0*' || ({n})::VARCHAR || '\\s*[{marks}]?\\s*' ELSE '^' END"
+        return _STRIPPED.format(f"regexp_replace({t}, {own}, '')")
+
+    t = paged(paged(_STRIPPED.format(_LOW.format(title)), page, "\\-/\\\\.:"), f"{page} - 1", "\\-/\\\\.:_")
+    t = _STRIPPED.format(f"regexp_replace({t}, '^\\d{{1,4}}\\s*[\\-/:]\\s*', '')")
+    t = f"regexp_replace({t}, '(^|[^\\pL\\pN_])ed\\s*\\d*(?:[\\s._\\-]*[\\s.\\-]ed\\s*\\d*)*[\\s._\\-]*$', '\\1')"
+    t = f"regexp_replace({t}, '[\\s._\\-]+$', '')"
+    t = f"regexp_replace({t}, '^(?:(\\d{{1,2}})\\s*\\.?\\s*soru(?:.|\\n)*|([a-zçğıöşü]|\\d{{1,2}})|\\d{{1,4}}\\s*[/\\-.:]?\\s*([a-zçğıöşü]))$', '\\1\\2\\3')"
+    return f"nullif(regexp_extract({t}, '^([a-zçğıöşü]|\\d{{1,2}})$', 1), '')"
+
+
+_FOLIO = f"""{views.SQL},
+fv AS (SELECT book_id, page - printed_page AS off, count(*) AS n, min(page) AS first FROM sh WHERE printed_page IS NOT NULL GROUP BY 1, 2),
+fb AS (SELECT book_id, off FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, abs(off), first) AS k FROM fv) WHERE k = 1),
+fs AS (SELECT book_id, page, width, height, coalesce(off, 0) AS book_offset, coalesce(printed_page, CASE WHEN page - coalesce(off, 0) >= 0 THEN page - coalesce(off, 0) END) AS printed FROM sh LEFT JOIN fb USING (book_id))"""
+_PLACED = f"""{_FOLIO},
+rg AS (SELECT book_id, page, activity_key AS region_ord, regexp_replace({_LOW.format('label')}, '^[\\s.:()]+|[\\s.:()]+$', '', 'g') AS r_label, rect, height,
+  100 * rect.x0 / width AS l, 100 * (1 - rect.y1 / height) AS t, 100 * rect.x1 / width AS r, 100 * (1 - rect.y0 / height) AS b FROM act JOIN fs USING (book_id, page) WHERE kind = 'activity' AND printed IS NOT NULL),
+es AS (SELECT id AS entry_ord, book_id, sayfano AS printed, {_label_sql('title', 'sayfano')} AS e_label, x, y, posx, posy FROM en WHERE ogeturu = 1 AND length(data) > 0 AND sayfaustuoge AND sayfano <> 0),
+et AS (SELECT es.*, fs.page FROM es JOIN fs ON fs.book_id = es.book_id AND fs.printed = es.printed),
+pr0 AS (SELECT et.*, region_ord, nullif(r_label, '') AS rl, nullif(e_label, '') AS el, l, t, r, b, abs(y - t) AS drift, greatest(l - x, x - r, 0) AS reach FROM et JOIN rg USING (book_id, page)),
 pr AS (SELECT *, drift + 0.5 * reach AS cost, CASE WHEN y IS NULL THEN 'no-position' WHEN el IS NOT NULL AND rl IS NOT NULL AND el <> rl THEN 'label-mismatch'
   WHEN reach > 20 AND NOT (el IS NOT NULL AND rl IS NOT NULL) THEN 'wrong-side'
   WHEN drift > CASE WHEN el IS NOT NULL AND rl IS NOT NULL THEN 10 ELSE 5 END AND NOT (reach = 0 AND y BETWEEN t AND b) THEN 'drift' END AS reason FROM pr0)"""
@@ -47,69 +73,80 @@ pr AS (SELECT *, drift + 0.5 * reach AS cost, CASE WHEN y IS NULL THEN 'no-posit
 
 @query(f"WITH {_PLACED} SELECT coalesce(reason, 'candidate') AS reason, count(*) AS n, round(avg(cost), 4) AS mean_cost FROM pr GROUP BY 1")
 def region_entry_pairs(spark, d) -> DataFrame:
-    """Pairs of entries and regions of a page by the gate that stops them."""
-    p = matching.gated_pairs(*_placed(spark, d), ["book_id", "printed"])
+    """Pairs of entries and regions of a sheet by the gate that stops them."""
+    p = matching.gated_pairs(*_placed(spark, d), _SHEET)
     return p.groupBy(F.coalesce("reason", F.lit("candidate")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cost"), 4).alias("mean_cost"))
 
 
-def _links(spark, d, native: bool) -> DataFrame:
-    p = matching.gated_pairs(*_placed(spark, d), ["book_id", "printed"]).where("reason is null").select("book_id", "printed", "entry_ord", "region_ord", "cost")
-    if native:
-        return matching.greedy_by_rounds(p, ["book_id", "printed"], "entry_ord", "region_ord", ["cost", "entry_ord", "region_ord"])
-    return matching.greedy_by_sheet(p, ["book_id", "printed"], "entry_ord", "region_ord", ["cost", "entry_ord", "region_ord"])
+@query(f"""WITH {_PLACED} SELECT book_id, page, entry_ord, candidates, CASE WHEN candidates > 0 THEN 'contested' ELSE gate END AS gate, n_reasons FROM (
+  SELECT book_id, page, entry_ord, count(*) FILTER (WHERE reason IS NULL) AS candidates, count(DISTINCT reason) AS n_reasons,
+    arg_min(reason, CASE reason WHEN 'no-position' THEN 1 WHEN 'confidence-gated' THEN 2 WHEN 'label-mismatch' THEN 3 WHEN 'drift' THEN 4 ELSE 5 END) FILTER (WHERE reason IS NOT NULL) AS gate FROM pr GROUP BY 1, 2, 3)""")
+def link_explain(spark, d) -> DataFrame:
+    """What each entry met on its sheet: candidates, the number of reasons, and the gate that counts."""
+    e = matching.explained(matching.gated_pairs(*_placed(spark, d), _SHEET), _SHEET)
+    return e.select("book_id", "page", "entry_ord", "candidates", "gate", F.size("reasons").cast("long").alias("n_reasons"))
+
+
+def _links(pairs: DataFrame, native: bool = False) -> DataFrame:
+    p = pairs.where("reason is null").select(*_SHEET, "entry_ord", "region_ord", "cost")
+    greedy = matching.greedy_by_rounds if native else matching.greedy_by_sheet
+    return greedy(p, _SHEET, "entry_ord", "region_ord", ["cost", "entry_ord", "region_ord"]).select(*_SHEET, "entry_ord", "region_ord")
 
 
 _GREEDY = f"""WITH RECURSIVE {_PLACED},
-cand AS (SELECT book_id, printed, entry_ord, region_ord, row_number() OVER (PARTITION BY book_id, printed ORDER BY cost, entry_ord, region_ord) AS k FROM pr WHERE reason IS NULL),
-step AS (SELECT book_id, printed, 0::BIGINT AS k, []::VARCHAR[] AS es, []::VARCHAR[] AS rs, false AS won, ''::VARCHAR AS e, ''::VARCHAR AS r FROM (SELECT DISTINCT book_id, printed FROM cand)
-  UNION ALL SELECT s.book_id, s.printed, c.k, CASE WHEN ok THEN list_append(s.es, c.entry_ord) ELSE s.es END, CASE WHEN ok THEN list_append(s.rs, c.region_ord) ELSE s.rs END, ok, c.entry_ord, c.region_ord
-  FROM step s JOIN cand c ON c.book_id = s.book_id AND c.printed = s.printed AND c.k = s.k + 1, LATERAL (SELECT NOT list_contains(s.es, c.entry_ord) AND NOT list_contains(s.rs, c.region_ord) AS ok)),
-links AS (SELECT book_id, printed, e AS entry_ord, r AS region_ord FROM step WHERE won)"""
+cand AS (SELECT book_id, page, entry_ord, region_ord, row_number() OVER (PARTITION BY book_id, page ORDER BY cost, entry_ord, region_ord) AS k FROM pr WHERE reason IS NULL),
+step AS (SELECT book_id, page, 0::BIGINT AS k, []::VARCHAR[] AS es, []::VARCHAR[] AS rs, false AS won, ''::VARCHAR AS e, ''::VARCHAR AS r FROM (SELECT DISTINCT book_id, page FROM cand)
+  UNION ALL SELECT s.book_id, s.page, c.k, CASE WHEN ok THEN list_append(s.es, c.entry_ord) ELSE s.es END, CASE WHEN ok THEN list_append(s.rs, c.region_ord) ELSE s.rs END, ok, c.entry_ord, c.region_ord
+  FROM step s JOIN cand c ON c.book_id = s.book_id AND c.page = s.page AND c.k = s.k + 1, LATERAL (SELECT NOT list_contains(s.es, c.entry_ord) AND NOT list_contains(s.rs, c.region_ord) AS ok)),
+links AS (SELECT book_id, page, e AS entry_ord, r AS region_ord FROM step WHERE won)"""
 
 
-@query(f"{_GREEDY} SELECT book_id, printed, entry_ord, region_ord FROM links")
+@query(f"{_GREEDY} SELECT book_id, page, entry_ord, region_ord FROM links")
 def region_entry_links(spark, d) -> DataFrame:
-    """Greedy one-to-one links of entries and regions, cheapest first, page by page."""
-    return _links(spark, d, native=False).select("book_id", "printed", "entry_ord", "region_ord")
+    """Greedy one-to-one links of entries and regions, cheapest first, sheet by sheet."""
+    return _links(matching.gated_pairs(*_placed(spark, d), _SHEET))
 
 
-@query(f"{_GREEDY} SELECT book_id, printed, entry_ord, region_ord FROM links")
+@query(f"{_GREEDY} SELECT book_id, page, entry_ord, region_ord FROM links")
 def region_entry_links_native(spark, d) -> DataFrame:
     """The same links by rounds of mutual first choices, without Python."""
-    return _links(spark, d, native=True).select("book_id", "printed", "entry_ord", "region_ord")
+    return _links(matching.gated_pairs(*_placed(spark, d), _SHEET), native=True)
 
 
-@query(f"""{_GREEDY}, forced AS (SELECT book_id, printed, entry_ord, max(region_ord) AS region_ord FROM pr GROUP BY 1, 2, 3 HAVING count(*) = 1),
-kept AS (SELECT * FROM links l WHERE NOT EXISTS (SELECT 1 FROM forced f WHERE f.book_id = l.book_id AND f.printed = l.printed AND (f.entry_ord = l.entry_ord OR f.region_ord = l.region_ord)))
+@query(f"""{_GREEDY}, forced AS (SELECT book_id, page, entry_ord, max(region_ord) AS region_ord FROM pr GROUP BY 1, 2, 3 HAVING count(*) = 1),
+kept AS (SELECT * FROM links l WHERE NOT EXISTS (SELECT 1 FROM forced f WHERE f.book_id = l.book_id AND f.page = l.page AND (f.entry_ord = l.entry_ord OR f.region_ord = l.region_ord)))
 SELECT * FROM kept UNION ALL SELECT * FROM forced""")
 def claimed_override(spark, d) -> DataFrame:
     """Links with every entry that has one region only forced onto it."""
-    keys = ["book_id", "printed"]
-    p = matching.gated_pairs(*_placed(spark, d), keys)
-    forced = p.groupBy(*keys, "entry_ord").agg(F.max("region_ord").alias("region_ord"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    return matching.override_claims(_links(spark, d, native=False), forced, keys, "entry_ord", "region_ord")
+    p = reliable(matching.gated_pairs(*_placed(spark, d), _SHEET).select(*_SHEET, "entry_ord", "region_ord", "cost", "reason"))
+    forced = p.groupBy(*_SHEET, "entry_ord").agg(F.max("region_ord").alias("region_ord"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    return matching.override_claims(_links(p), forced, _SHEET, "entry_ord", "region_ord")
 
 
-@query(f"{_GREEDY} SELECT et.book_id, count(*) AS n_unclaimed FROM et WHERE NOT EXISTS (SELECT 1 FROM links WHERE links.entry_ord = et.entry_ord) GROUP BY 1")
+@query(f"{_GREEDY} SELECT et.book_id, et.page, et.entry_ord, row_number() OVER (PARTITION BY et.book_id ORDER BY et.entry_ord, et.page) AS number FROM (SELECT DISTINCT book_id, page, entry_ord FROM et) et ANTI JOIN links USING (book_id, page, entry_ord)")
 def unclaimed_entries(spark, d) -> DataFrame:
-    e, _ = _placed(spark, d)
-    return e.join(_links(spark, d, native=False).select("entry_ord"), "entry_ord", "left_anti").groupBy("book_id").agg(F.count(F.lit(1)).alias("n_unclaimed"))
+    """Entries that no region of their sheet got, numbered through the book in manifest order (by id here)."""
+    e, r = _placed(spark, d)
+    left = e.select(*_SHEET, "entry_ord").distinct().join(_links(matching.gated_pairs(e, r, _SHEET)), [*_SHEET, "entry_ord"], "left_anti")
+    return numbered(left, ["book_id"], ["entry_ord", "page"]).select(*_SHEET, "entry_ord", "number")
 
 
-@query(f"{_GREEDY} SELECT et.book_id, count(*) AS n_claimed FROM et WHERE EXISTS (SELECT 1 FROM links WHERE links.entry_ord = et.entry_ord) GROUP BY 1")
+@query(f"{_GREEDY} SELECT et.book_id, count(*) AS n_claimed FROM (SELECT DISTINCT book_id, page, entry_ord FROM et) et SEMI JOIN links USING (book_id, page, entry_ord) GROUP BY 1")
 def claimed_entries(spark, d) -> DataFrame:
-    e, _ = _placed(spark, d)
-    return e.join(_links(spark, d, native=False).select("entry_ord"), "entry_ord", "left_semi").groupBy("book_id").agg(F.count(F.lit(1)).alias("n_claimed"))
+    """Entries that a region of their sheet got, per book."""
+    e, r = _placed(spark, d)
+    got = e.select(*_SHEET, "entry_ord").distinct().join(_links(matching.gated_pairs(e, r, _SHEET)), [*_SHEET, "entry_ord"], "left_semi")
+    return got.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_claimed"))
 
 
-@query(f"""{_GREEDY} SELECT rg.book_id, rg.region_ord, l.entry_ord, 'spot' AS kind FROM rg LEFT JOIN links l USING (book_id, printed, region_ord)
-UNION ALL SELECT et.book_id, NULL, et.entry_ord, 'pin' FROM et WHERE y IS NOT NULL AND NOT (x = 0 AND y = 0) AND NOT EXISTS (SELECT 1 FROM links WHERE links.entry_ord = et.entry_ord)""")
+@query(f"""{_GREEDY} SELECT rg.book_id, rg.region_ord, l.entry_ord, 'spot' AS kind FROM rg LEFT JOIN links l USING (book_id, page, region_ord)
+UNION ALL SELECT et.book_id, NULL, et.entry_ord, 'pin' FROM et ANTI JOIN links USING (book_id, page, entry_ord) WHERE y IS NOT NULL AND NOT (posx = 0 AND posy = 0)""")
 def overlay_full_outer(spark, d) -> DataFrame:
     """Every region with its entry, and a pin for every placed entry without a region."""
     e, r = _placed(spark, d)
-    links = reliable(_links(spark, d, native=False).select("book_id", "printed", "entry_ord", "region_ord"))
-    spots = r.join(links, ["book_id", "printed", "region_ord"], "left").select("book_id", "region_ord", "entry_ord", F.lit("spot").alias("kind"))
-    pins = e.where("y is not null and not (x = 0 and y = 0)").join(links.select("entry_ord"), "entry_ord", "left_anti").select("book_id", F.lit(None).cast("string").alias("region_ord"), "entry_ord", F.lit("pin").alias("kind"))
+    links = reliable(_links(matching.gated_pairs(e, r, _SHEET)))
+    spots = r.join(links, [*_SHEET, "region_ord"], "left").select("book_id", "region_ord", "entry_ord", F.lit("spot").alias("kind"))
+    pins = e.where(F.col("y").isNotNull() & views.has_position()).join(links, [*_SHEET, "entry_ord"], "left_anti").select("book_id", F.lit(None).cast("string").alias("region_ord"), "entry_ord", F.lit("pin").alias("kind"))
     return spots.unionByName(pins)
 
 
@@ -117,7 +154,7 @@ def overlay_full_outer(spark, d) -> DataFrame:
 def hit_test_smallest(spark, d) -> DataFrame:
     """The smallest region under each entry's point, the first of equals."""
     e, r = _placed(spark, d)
-    hit = e.join(r, ["book_id", "printed"]).where(F.col("x").between(F.col("left"), F.col("right")) & F.col("y").between(F.col("top"), F.col("bottom")))
+    hit = e.join(r, _SHEET).where(F.col("x").between(F.col("left"), F.col("right")) & F.col("y").between(F.col("top"), F.col("bottom")))
     size = F.round((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")), 6)
     return hit.groupBy("entry_ord").agg(F.min_by("region_ord", F.struct(size, F.col("region_ord"))).alias("region_ord"))
 
@@ -128,7 +165,7 @@ FROM (SELECT et.entry_ord, coalesce(k, 0) AS k, gap FROM et LEFT JOIN w USING (e
 def nearest_gap_where(spark, d) -> DataFrame:
     """Where each placed entry stands to the regions of its page."""
     e, r = _placed(spark, d)
-    p = e.where("y is not null").join(r, ["book_id", "printed"], "left")
+    p = e.where("y is not null").join(r, _SHEET, "left")
     none = F.col("region_ord").isNull()
     inside = (matching.reach(F.col("x"), F.col("left"), F.col("right")) == 0) & F.col("y").between(F.col("top"), F.col("bottom"))
     k = F.when(none, 0).when(inside, 3).when(F.col("y").between(F.col("top") - 5, F.col("bottom") + 5), 2).otherwise(1)
@@ -223,17 +260,61 @@ def nested_drop(spark, d) -> DataFrame:
     return matching.suppress(_boxes(spark, d), ["label", "page"], "score", "ord", 0.6, nested=True).select("label", "page", "ord")
 
 
-@query()
+# Odd boxes against even ones of two pages taken together; one recursion a page takes the predictions by score.
+_MATCH = """WITH RECURSIVE {box}, pd AS (SELECT label, page // 2 AS page, ord, score, x0, y0, row_number() OVER (PARTITION BY label, page // 2 ORDER BY score DESC, ord) AS k FROM bx WHERE ord % 2 = 1),
+tr AS (SELECT label, page // 2 AS page, ord, x0, y0 FROM bx WHERE ord % 2 = 0),
+iou AS (SELECT * FROM (SELECT a.label, a.page, a.k, b.ord AS t, {shared} / (3200 - {shared}) AS v FROM pd a JOIN tr b ON a.label = b.label AND a.page = b.page) WHERE v > 0),
+step AS (SELECT label, page, lim, 0::BIGINT AS k, []::BIGINT[] AS used, false AS hit FROM (SELECT DISTINCT label, page FROM pd), (SELECT unnest([{steps}]) AS lim)
+  UNION ALL SELECT s.label, s.page, s.lim, s.k + 1, CASE WHEN t IS NULL THEN s.used ELSE list_append(s.used, t) END, t IS NOT NULL FROM (SELECT s.*,
+      (SELECT arg_min(i.t, struct_pack(a := -i.v, b := i.t)) FROM iou i WHERE i.label = s.label AND i.page = s.page AND i.k = s.k + 1 AND i.v >= s.lim AND NOT list_contains(s.used, i.t)) AS t
+    FROM step s WHERE EXISTS (SELECT 1 FROM pd WHERE pd.label = s.label AND pd.page = s.page AND pd.k = s.k + 1)) s),
+hits AS (SELECT step.label, step.page, lim, pd.ord, pd.score, hit FROM step JOIN pd ON pd.label = step.label AND pd.page = step.page AND pd.k = step.k)"""
+
+
+def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
+    b = _boxes(spark, d).withColumn("page", F.floor(F.col("page") / 2)).select("label", "page", "ord", "score", "x0", "y0", "x1", "y1")
+    return b.where("ord % 2 = 1"), b.where("ord % 2 = 0").drop("score")
+
+
+@query(f"""{_MATCH.format(box=_BOX, shared=_SHARED, steps='0.3')}, h AS (SELECT label, count(*) FILTER (WHERE hit) AS hits, count(*) AS n_pred FROM hits GROUP BY 1), n AS (SELECT label, count(*) AS n_truth FROM tr GROUP BY 1)
+SELECT label, hits, n_pred, n_truth, round(hits / n_pred, 6) AS precision, round(hits / n_truth, 6) AS recall FROM h JOIN n USING (label)""")
 def iou_match_precision_recall(spark, d) -> DataFrame:
     """Greedy IoU matching of odd boxes against even ones, precision and recall per label."""
-    b = _boxes(spark, d)
-    pred, truth = b.where("ord % 2 = 1"), b.where("ord % 2 = 0")
-    pages = ["label", "page"]
-    pred = pred.withColumn("page", F.floor(F.col("page") / 2)).select(*pages, "ord", "score", "x0", "y0", "x1", "y1")
-    truth = truth.withColumn("page", F.floor(F.col("page") / 2)).select(*pages, "ord", "x0", "y0", "x1", "y1")
-    hits = matching.match_detections(pred, truth, pages, 0.3).groupBy("label").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("n_pred"))
+    pred, truth = _halves(spark, d)
+    hits = matching.match_detections(pred, truth, ["label", "page"], (0.3,)).groupBy("label").agg(F.count_if(F.col("hits")[0]).alias("hits"), F.count(F.lit(1)).alias("n_pred"))
     n = truth.groupBy("label").agg(F.count(F.lit(1)).alias("n_truth"))
-    return hits.join(n, "label").select("label", "hits", "n_pred", "n_truth", (F.col("hits") / F.col("n_pred")).alias("precision"), (F.col("hits") / F.col("n_truth")).alias("recall"))
+    return hits.join(n, "label").select("label", "hits", "n_pred", "n_truth", F.round(F.col("hits") / F.col("n_pred"), 6).alias("precision"), F.round(F.col("hits") / F.col("n_truth"), 6).alias("recall"))
+
+
+@query(f"""{_MATCH.format(box=_BOX, shared=_SHARED, steps=', '.join(f'{x:.2f}' for x in detection.STEPS))},
+pg AS (SELECT DISTINCT label, page // 2 AS page FROM bx), nt AS (SELECT label, page, count(*) AS n FROM tr GROUP BY 1, 2), np AS (SELECT label, page, count(*) AS n, count(*) FILTER (WHERE hit) AS h FROM hits WHERE lim = 0.5 AND score >= 0 GROUP BY 1, 2),
+pp AS (SELECT s.scope, pg.label, pg.page, coalesce(nt.n, 0) AS n, coalesce(np.n, 0) AS m, coalesce(np.h, 0) AS h FROM pg LEFT JOIN nt USING (label, page) LEFT JOIN np USING (label, page), LATERAL (SELECT unnest([pg.label::VARCHAR, 'total']) AS scope) s),
+c AS (SELECT scope, count(*) AS pages, sum(n)::BIGINT AS teacher_boxes, sum(m)::BIGINT AS predicted_boxes, sum(h) AS nh, count(*) FILTER (WHERE n = 0) AS empty_pages, count(*) FILTER (WHERE n = 0 AND m > 0) AS empty_pages_with_a_box FROM pp GROUP BY 1),
+r AS (SELECT s.scope, lim, hit, sum(hit::INT) OVER w AS tp, row_number() OVER w AS k FROM hits, LATERAL (SELECT unnest([hits.label::VARCHAR, 'total']) AS scope) s WINDOW w AS (PARTITION BY s.scope, lim ORDER BY score DESC, label, page, ord ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT r.scope, lim, (tp * 100 // teacher_boxes)::INT AS last, max(tp / k) AS v FROM r JOIN c USING (scope) WHERE teacher_boxes > 0 GROUP BY 1, 2, 3),
+ap AS (SELECT c.scope, a.lim, avg(coalesce((SELECT max(v) FROM e WHERE e.scope = c.scope AND e.lim = a.lim AND e.last >= t), 0)) AS ap FROM c, (SELECT DISTINCT lim FROM step) a, range(0, 101) g(t) WHERE teacher_boxes > 0 GROUP BY 1, 2)
+SELECT c.scope, pages, teacher_boxes, predicted_boxes, round(max(ap) FILTER (WHERE lim = 0.5), 4) AS map50, round(avg(ap), 4) AS map50_95, round(any_value(nh) / nullif(any_value(predicted_boxes), 0), 4) AS precision,
+  round(any_value(nh) / nullif(any_value(teacher_boxes), 0), 4) AS recall, empty_pages, empty_pages_with_a_box FROM c LEFT JOIN ap USING (scope) GROUP BY ALL""")
+def detection_summary(spark, d) -> DataFrame:
+    """Detection scores per label and in total; average precision of the total is taken anew over all pages."""
+    pred, truth = _halves(spark, d)
+    pages = _boxes(spark, d).select("label", F.floor(F.col("page") / 2).alias("page"))
+    return detection.scores(pages, pred, truth, conf=0.0, book="label", page="page")
+
+
+@query(f"""WITH {_BOX}, a AS (SELECT label, page // 2 AS page, ord, x0, y0 FROM bx WHERE ord % 2 = 1), b AS (SELECT label, page // 2 AS page, ord, x0, y0 FROM bx WHERE ord % 2 = 0)
+SELECT label, page, (SELECT count(*) FROM a WHERE a.label = p.label AND a.page = p.page) AS n_a, (SELECT count(*) FROM b WHERE b.label = p.label AND b.page = p.page) AS n_b FROM (SELECT label, page FROM a UNION SELECT label, page FROM b) p""")
+def agreement_boxes(spark, d) -> DataFrame:
+    """Boxes of two labellers per page."""
+    a, b = _halves(spark, d)
+    return matching.mutual_matches(a.drop("score"), b, ["label", "page"], 0.3).select("label", "page", "n_a", "n_b")
+
+
+@query()
+def agreement_mutual(spark, d) -> DataFrame:
+    """Symmetric matching of two labellers' boxes, best pair first."""
+    a, b = _halves(spark, d)
+    return matching.mutual_matches(a.drop("score"), b, ["label", "page"], 0.3)
 
 
 @query(f"WITH {_BOX}, p AS (SELECT a.label, a.page, a.ord, max({_SHARED} / (3200 - {_SHARED})) AS best FROM bx a JOIN bx b ON a.label = b.label AND a.page = b.page AND a.ord <> b.ord GROUP BY 1, 2, 3) SELECT label, page, ord, round(best, 5) AS best FROM p")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagewright.functions import files
 from pagewright.operators import sampling, state, views
 from pagewright.session import table
 
@@ -107,13 +108,17 @@ def undo_net_diff(spark, d) -> DataFrame:
     return e.groupBy("user_id", "stroke").agg(F.sum(sign).alias("net")).where("net <> 0")
 
 
-@query("""WITH k AS (SELECT id, md5(concat_ws('|', baslik, sayfasayisi::VARCHAR, coalesce(status::VARCHAR, '-'))) AS f, kayit_zamani FROM kitap), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kayit_zamani DESC) AS n FROM k)
+_PRINT = "octet_length(encode({c}))::VARCHAR || '-' || left(sha256({c} || {c} || {c}), 32)"
+
+
+@query(f"""WITH k AS (SELECT id, {_PRINT.format(c="(coalesce(baslik, '') || '|' || coalesce(sayfasayisi::VARCHAR, '') || '|' || coalesce(status::VARCHAR, ''))")} AS f, kayit_zamani FROM kitap),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kayit_zamani DESC, f) AS n FROM k)
 SELECT a.id, a.f AS fingerprint FROM r a WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.id = a.id AND b.n > 1 AND b.f = a.f)""")
 def fingerprint_changed(spark, d) -> DataFrame:
-    """Books whose latest delivery has a fingerprint that no earlier one had."""
-    f = F.md5(F.concat_ws("|", "baslik", F.col("sayfasayisi").cast("string"), F.coalesce(F.col("status").cast("string"), F.lit("-"))))
-    n = F.row_number().over(W.partitionBy("id").orderBy(F.desc("kayit_zamani")))
-    r = table(spark, d, "kitap").select("id", f.alias("fingerprint"), "kayit_zamani").withColumn("n", n)
+    """Books whose latest delivery has a fingerprint (size, hash of head, middle and tail) that no earlier one had."""
+    content = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("baslik", "sayfasayisi", "status")])
+    k = table(spark, d, "kitap").select("id", files.fingerprint(F.encode(content, "UTF-8")).alias("fingerprint"), "kayit_zamani")
+    r = k.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("kayit_zamani"), "fingerprint")))
     return r.where("n = 1").select("id", "fingerprint").join(r.where("n > 1").select("id", "fingerprint"), ["id", "fingerprint"], "left_anti")
 
 

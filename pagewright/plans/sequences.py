@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
-from pagewright.operators import sequence, views
+from pagewright.operators import layout, sequence, views
+from pagewright.operators.prefix import numbered
+from pagewright.plans import joins
 from pagewright.session import table
 
 QUERIES: dict = {}
@@ -67,14 +69,31 @@ def label_run_check(spark, d) -> DataFrame:
     return g.groupBy(sequence.counts_from_one(F.col("ns")).alias("from_one")).agg(F.count(F.lit(1)).alias("n_regions"), F.sum(F.size("ns")).alias("n_items"))
 
 
-@query(f"""WITH {views.SQL}, v AS (SELECT book_id, page, CASE WHEN regexp_matches(label, '^[0-9]+$') THEN TRY_CAST(label AS INTEGER) END AS v FROM act), r AS (SELECT book_id, page, v, lag(v) OVER (PARTITION BY book_id, page ORDER BY v) AS p FROM (SELECT DISTINCT book_id, page, v FROM v WHERE v IS NOT NULL))
-SELECT book_id, bool_or(coalesce(v - p BETWEEN 1 AND 1, false)) AS has_run, count(*) AS n_labels FROM r GROUP BY 1""")
+#: (kind, value) of a region's label in SQL: bare or with stops and brackets around it; Turkish letters stand half a step after their own.
+_LABELS = """lt AS (SELECT *, regexp_replace(lower(replace(replace(label, 'İ', 'i'), 'I', 'ı')), '^[\\s.:()]+|[\\s.:()]+$', '', 'g') AS bare, regexp_extract(lower(trim(label)), '^(\\d{1,2})\\. ?(?:adım|step)(?:[^a-zçğıöşü0-9_]|$)', 1) AS step FROM act),
+lv AS (SELECT *, CASE WHEN regexp_matches(bare, '^0*[1-9][0-9]{0,2}$') THEN 'digit' WHEN regexp_matches(bare, '^[a-zçğıöşü]$') THEN 'letter' WHEN step <> '' AND step::INT >= 1 THEN 'step' END AS kind,
+  CASE WHEN regexp_matches(bare, '^0*[1-9][0-9]{0,2}$') THEN bare::DOUBLE WHEN regexp_matches(bare, '^[a-z]$') THEN (ascii(bare) - 96)::DOUBLE
+    WHEN bare IN ('ç', 'ğ', 'ı', 'ö', 'ş', 'ü') THEN map {'ç': 3.5, 'ğ': 7.5, 'ı': 8.5, 'ö': 15.5, 'ş': 19.5, 'ü': 21.5}[bare]::DOUBLE WHEN step <> '' AND step::INT >= 1 THEN step::DOUBLE END AS value FROM lt)"""
+
+
+@query(f"""WITH {views.SQL}, {_LABELS}, r AS (SELECT book_id, kind, value - lag(value) OVER (PARTITION BY book_id, page, kind ORDER BY value) AS s, value FROM (SELECT DISTINCT book_id, page, kind, value FROM lv)),
+n AS (SELECT book_id, coalesce(bool_or(kind IS NOT NULL AND s > 0 AND s <= 1), false) AS has_run, count(value) AS n_labels FROM r GROUP BY 1)
+SELECT k.book_id, coalesce(has_run, false) AS has_run, coalesce(n_labels, 0) AS n_labels, CASE WHEN has_run THEN 'strong' WHEN n.book_id IS NOT NULL THEN 'weak' ELSE 'none' END AS confidence
+FROM (SELECT DISTINCT book_id FROM sh UNION SELECT book_id FROM n) k LEFT JOIN n USING (book_id)""")
 def confidence_runs(spark, d) -> DataFrame:
-    """Every book that has regions, with whether two labels of one kind follow each other on a sheet, by at most one step (c and ç are half a step)."""
-    v = views.activities(spark, d).select("book_id", "page", tx.label_value(F.col("label")).alias("l")).select("book_id", "page", "l.kind", "l.value").distinct()
+    """How far each book's labels can be argued with: strong where two of one kind follow each other on a sheet, weak with any region, else none.
+
+    A step is at most 1 (c and ç are half a step). Books are those of regions and of sheets.
+    """
+    a = views.activities(spark, d)
+    v = a.select("book_id", "page", tx.label_value(F.col("label")).alias("l")).select("book_id", "page", "l.kind", "l.value").distinct()
     step = F.col("value") - F.lag("value").over(W.partitionBy("book_id", "page", "kind").orderBy("value"))
-    follows = (F.col("s") > 0) & (F.col("s") <= 1)
-    return v.withColumn("s", step).groupBy("book_id").agg(F.bool_or(F.coalesce(follows, F.lit(False))).alias("has_run"), F.count("value").alias("n_labels"))
+    follows = F.col("kind").isNotNull() & (F.col("s") > 0) & (F.col("s") <= 1)
+    n = v.withColumn("s", step).groupBy("book_id").agg(F.bool_or(F.coalesce(follows, F.lit(False))).alias("has_run"), F.count("value").alias("n_labels"))
+    every = views.sheets(spark, d).select("book_id").union(n.select("book_id")).distinct()
+    return every.join(n.withColumn("_own", F.lit(True)), "book_id", "left").select(
+        "book_id", F.coalesce("has_run", F.lit(False)).alias("has_run"), F.coalesce("n_labels", F.lit(0)).alias("n_labels"),
+        F.when(F.col("has_run"), "strong").when(F.col("_own"), "weak").otherwise("none").alias("confidence"))
 
 
 @query()
@@ -94,8 +113,7 @@ def search_match_numbering(spark, d) -> DataFrame:
     """Lines that hold a folded needle, numbered through the book from the top of each page, with wrapping neighbours."""
     m = table(spark, d, "spans").where(F.contains(tx.fold(F.col("text")), F.lit("olcu"))).select("book_id", "page", "span_id", F.col("bbox.y1").alias("y"), F.col("bbox.x0").alias("x"))
     total = m.groupBy("book_id").agg(F.count(F.lit(1)).alias("total"))
-    number = (F.row_number().over(W.partitionBy("book_id").orderBy("page", F.desc("y"), "x", "span_id")) - 1).cast("long")
-    n = m.withColumn("number", number).join(total, "book_id")
+    n = numbered(m.withColumn("_down", -F.col("y")), ["book_id"], ["page", "_down", "x", "span_id"]).withColumn("number", F.col("number") - 1).join(total, "book_id")
     return n.select("book_id", "page", "span_id", "number", ((F.col("number") + 1) % F.col("total")).alias("next_number"), ((F.col("number") - 1 + F.col("total")) % F.col("total")).alias("prev_number"))
 
 
@@ -106,14 +124,17 @@ def search_fold(spark, d) -> DataFrame:
     return t.where(F.contains(f, F.lit("sozluk")) | F.contains(f, F.lit("gunluk"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {views.SQL}, k AS (SELECT round(rect.x0 / 3) AS a, round(rect.y1 / 3) AS b, page % 2 AS odd, book_id, count(DISTINCT page) AS pages FROM act GROUP BY 1, 2, 3, 4), t AS (SELECT book_id, count(DISTINCT page) AS n FROM act GROUP BY 1)
-SELECT k.book_id, a::BIGINT AS a, b::BIGINT AS b, odd::BIGINT AS odd, pages FROM k JOIN t USING (book_id) WHERE pages >= greatest(2, floor(0.03 * n))""")
+_FURNITURE = "book_id, page % 2 AS odd, round_even(rect.x0 / 3, 0) AS a, round_even(rect.y0 / 3, 0) AS b, round_even(rect.x1 / 3, 0) AS c, round_even(rect.y1 / 3, 0) AS e"
+
+
+@query(f"""WITH {views.SQL}, k AS (SELECT {_FURNITURE}, page, activity_key FROM act WHERE kind = 'content'),
+n AS (SELECT book_id, odd, a, b, c, e, count(DISTINCT page) AS pages FROM k GROUP BY ALL), t AS (SELECT book_id, max(page) AS last FROM sh GROUP BY 1)
+SELECT k.book_id, k.page, k.activity_key, n.pages FROM k JOIN n USING (book_id, odd, a, b, c, e) LEFT JOIN t USING (book_id) WHERE n.pages >= greatest(4, floor(0.03 * coalesce(last, 0)))""")
 def furniture_repeats(spark, d) -> DataFrame:
-    """Places where a book's regions stand on many sheets of one parity: distinct sheets per folded place."""
-    a = views.activities(spark, d)
-    k = a.groupBy("book_id", F.round(F.col("rect.x0") / 3).cast("long").alias("a"), F.round(F.col("rect.y1") / 3).cast("long").alias("b"), (F.col("page") % 2).cast("long").alias("odd")).agg(F.countDistinct("page").alias("pages"))
-    t = a.groupBy("book_id").agg(F.countDistinct("page").alias("n"))
-    return k.join(t, "book_id").where(F.col("pages") >= F.greatest(F.lit(2), F.floor(0.03 * F.col("n")))).select("book_id", "a", "b", "odd", "pages")
+    """A book's furniture: content regions whose box, folded to three points, stands on many sheets of one parity (four, or 3 % of the sheets)."""
+    pages = views.sheets(spark, d).groupBy("book_id").agg(F.max("page").alias("page_count"))
+    content = views.activities(spark, d).where("kind = 'content'").select("book_id", "page", "activity_key", "rect")
+    return layout.furniture(content, pages).select("book_id", "page", "activity_key", "pages")
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber AS k, max(1 + l_quantity::BIGINT % 4) AS level FROM lineitem GROUP BY 1, 2)
@@ -121,7 +142,7 @@ SELECT l_orderkey, k::BIGINT AS k, level, (SELECT max(p.k) FROM l p WHERE p.l_or
 def toc_parents(spark, d) -> DataFrame:
     """Parent of each entry of a contents list: the latest one before of a smaller level."""
     t = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("k")).agg(F.max(1 + F.col("l_quantity").cast("long") % 4).alias("level"))
-    return sequence.toc_parents(t, "l_orderkey", "k", "level", 4)
+    return sequence.toc_parents(t, "l_orderkey", "k", "level")
 
 
 @query("""WITH u AS (SELECT user_id, event_id, ts, 100 + CAST(json_extract(props, '$.k') AS BIGINT) * 10 AS size FROM events),
@@ -140,13 +161,10 @@ SELECT user_id, event_id FROM s WHERE won""")
 def budget_skip_fold(spark, d) -> DataFrame:
     """Newest first under a budget, skipping what does not fit."""
     u = table(spark, d, "events").select("user_id", "event_id", "ts", (100 + F.get_json_object("props", "$.k").cast("long") * 10).alias("size"))
-    # A kept set has at most budget / least size members; what comes after in time order is folded, not sorted in Python.
-    items = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "size")), asc=False), lambda x: F.struct(x["event_id"].alias("id"), x["size"].alias("size")))
-    return u.groupBy("user_id").agg(sequence.skip_fold(items, 5000).alias("kept")).select("user_id", F.explode("kept").alias("event_id"))
+    return sequence.budget_skip(u, ["user_id"], [F.desc("ts"), F.desc("event_id")], "size", 5000).select("user_id", "event_id")
 
 
-@query("""WITH t AS (SELECT id, regexp_extract(title, '^[0-9]+/([a-zç]|[0-9]{1,2})', 1) AS l FROM (SELECT DISTINCT id, title FROM publisher_oge WHERE regexp_matches(title, '^[0-9]+/([a-zç]|[0-9]{1,2})( ed|-ed2| .ed)?$')))
-SELECT l AS label, count(*) AS n FROM t GROUP BY 1""")
+@query(f"SELECT {joins._label_sql('title', 'sayfano')} AS label, count(*) AS n FROM (SELECT DISTINCT id, title, sayfano FROM publisher_oge) GROUP BY 1")
 def entry_labels(spark, d) -> DataFrame:
     """Labels parsed from all titles, by the entry's page; the null label counts the titles without one."""
     t = table(spark, d, "publisher_oge").select("id", "title", "sayfano").distinct()
@@ -156,7 +174,5 @@ def entry_labels(spark, d) -> DataFrame:
 @query()
 def xy_cut_leaves(spark, d) -> DataFrame:
     """Leaves of the recursive cut of each sheet's lines."""
-    from pagewright.operators.layout import xy_cut
-
     b = table(spark, d, "spans").where("bbox is not null").select("book_id", "page", F.col("span_id").alias("ord"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
-    return xy_cut(b, ["book_id", "page"]).groupBy("book_id", "page", "leaf").agg(F.count(F.lit(1)).alias("n_lines"), F.min("x0").alias("x0"), F.max("y1").alias("y1"))
+    return layout.xy_cut(b, ["book_id", "page"]).groupBy("book_id", "page", "leaf").agg(F.count(F.lit(1)).alias("n_lines"), F.min("x0").alias("x0"), F.max("y1").alias("y1"))

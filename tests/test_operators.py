@@ -19,8 +19,10 @@ def test_detection_matching_and_ap(spark):
     a, b = (0.0, 0.0, 100.0, 100.0), (200.0, 0.0, 300.0, 100.0)
     pred = spark.createDataFrame([(1, 0, 0.9, *a), (1, 1, 0.8, *a), (2, 0, 0.5, *b)], "page int, ord int, score double, x0 double, y0 double, x1 double, y1 double")
     truth = spark.createDataFrame([(1, 0, *a), (3, 0, *b)], "page int, ord int, x0 double, y0 double, x1 double, y1 double")
-    hits = {(r.page, r.ord): r.hit for r in matching.match_detections(pred, truth, ["page"]).collect()}
-    assert hits == {(1, 0): True, (1, 1): False, (2, 0): False}
+    hits = {(r.page, r.ord): r.hits for r in matching.match_detections(pred, truth, ["page"], (0.5, 0.99)).collect()}
+    assert hits == {(1, 0): [True, True], (1, 1): [False, False], (2, 0): [False, False]}
+    both = {r.page: (r.n_a, r.n_b, r.matches, r.agreement) for r in matching.mutual_matches(pred.drop("score"), truth, ["page"], 0.7).collect()}
+    assert both == {1: (2, 1, 1, pytest.approx(2 / 3)), 2: (1, 0, 0, 0.0), 3: (0, 1, 0, 0.0)}
     p = spark.createDataFrame([("b", 0.9, 0, True), ("b", 0.5, 1, True)], "k string, score double, ord int, hit boolean")
     t = spark.createDataFrame([("b", 2), ("none", 0)], "k string, truths int")
     assert {r.k: r.ap for r in metrics.average_precision(p, t, ["k"]).collect()} == {"b": pytest.approx(1.0), "none": None}
