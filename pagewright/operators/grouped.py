@@ -28,12 +28,13 @@ def grouped(rows: DataFrame, keys: list[str], order: list, step: Callable[[dict[
     names = [part.split()[0].strip("`") for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        def done(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
             cols, out = {c: pdf[c].to_numpy() for c in pdf.columns}, {c: [] for c in names}
             for a, b in zip(starts, np.r_[starts[1:], len(pdf)], strict=True):
                 for c, values in step({k: v[a:b] for k, v in cols.items()}).items():
                     out[c].extend(values)
-            return pd.DataFrame(out)
+            if out[names[0]]:  # an empty frame has no types
+                yield pd.DataFrame(out)
 
         held: list[pd.DataFrame] = []
         for pdf in batches:
@@ -46,9 +47,9 @@ def grouped(rows: DataFrame, keys: list[str], order: list, step: Callable[[dict[
             starts = _starts(whole, keys)
             held = [whole.iloc[starts[-1]:]]
             if starts[-1]:
-                yield done(whole.iloc[:starts[-1]], starts[:-1])
+                yield from done(whole.iloc[:starts[-1]], starts[:-1])
         if held:
-            yield done(pd.concat(held, ignore_index=True), np.array([0]))
+            yield from done(pd.concat(held, ignore_index=True), np.array([0]))
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
