@@ -81,7 +81,7 @@ def weighted_modal_size(spark, d) -> DataFrame:
     return tally.modal_size(table(spark, d, "spans"), ["book_id"], "span_id", running=True)
 
 
-@query("""WITH m AS (SELECT book_id, font, round(size, 1) AS size, span_id FROM spans WHERE regexp_matches(trim(text), '^[(]?([0-9]{1,3}|[a-zçğıöşü])[.)]$') AND size IS NOT NULL),
+@query("""WITH m AS (SELECT book_id, font, round(size, 1) AS size, span_id FROM spans WHERE regexp_matches(trim(text, ' '), '^[(]?([0-9]{1,3}|[a-zçğıöşü])[.)]$') AND size IS NOT NULL),
 s AS (SELECT book_id, size FROM (SELECT book_id, size, row_number() OVER (PARTITION BY book_id ORDER BY count(*) DESC, size) AS k FROM m GROUP BY 1, 2) WHERE k = 1)
 SELECT s.book_id, s.size AS marker_size, (SELECT list_sort(list(DISTINCT font)) FROM m WHERE m.book_id = s.book_id AND font IS NOT NULL) AS fonts FROM s""")
 def marker_calibration(spark, d) -> DataFrame:

@@ -38,20 +38,6 @@ def anchor_lines(spark, d) -> DataFrame:
     return lines.select("book_id", "page", "line", "n_spans", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
 
 
-@query("""WITH o AS (SELECT *, lag(ts) OVER w AS pt, lag(event_type) OVER w AS pe FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-b AS (SELECT *, sum(CASE WHEN pt IS NULL OR epoch(ts) - epoch(pt) > 3600 OR (event_type = 'signup' AND pe <> 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS p FROM o)
-SELECT user_id, p::BIGINT AS paragraph, count(*) AS n, min(event_id) AS first FROM b GROUP BY 1, 2""")
-def paragraph_sessionise(spark, d) -> DataFrame:
-    """Paragraphs by lag rules: a wide gap or a change of kind opens one."""
-    e = table(spark, d, "events")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    opens = F.lag("ts").over(w).isNull() | (secs - F.lag(secs).over(w) > 3600) | ((F.col("event_type") == "signup") & (F.lag("event_type").over(w) != "signup"))
-    marked = e.withColumn("_opens", F.coalesce(opens, F.lit(True)))
-    s = sequence.sessions(marked, ["user_id"], ["ts", "event_id"], F.col("_opens"), "paragraph")
-    return s.groupBy("user_id", F.col("paragraph").cast("long").alias("paragraph")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
-
-
 @query(f"""WITH {views.SQL}, r AS (SELECT book_id, page, rect.y0 AS lo, rect.y1 AS hi, max(rect.y1) OVER (PARTITION BY book_id, page ORDER BY rect.y0, rect.y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM act)
 SELECT book_id, page, round(reach, 4) AS gap_from, round(lo, 4) AS gap_to FROM r WHERE lo > reach""")
 def interval_valleys(spark, d) -> DataFrame:
