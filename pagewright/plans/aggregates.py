@@ -201,12 +201,20 @@ def top1_single_positive(spark, d) -> DataFrame:
     return metrics.top1(g, "user_id").select("n_groups", "n_right", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("""WITH t AS (SELECT source, count(*) AS n_docs, count(text) AS n_texts, count(*) FILTER (WHERE regexp_matches(trim(text), '\\?["”’)]*$')) AS n_asks FROM documents GROUP BY 1)
-SELECT * FROM t""")
+_BLANK = "[\\s\\p{Z}]"
+_SUFFIX = "[\\pL\\pN_]+[a-rt-zçğöşüâîû0-9_](?:iniz|unuz|ünüz)"
+_ASKS = f"""length(t) >= {tx.LEAST} AND regexp_matches(t, '^[(\\["''«‘“]?{_BLANK}*[0-9A-Za-zÇĞİÖŞÜÂÎÛçğıöşüâîû]') AND NOT (regexp_matches(t, '^[a-zçğıöşü]') AND NOT regexp_matches(t, '{{inline}}')) AND NOT regexp_matches(f, '^\\s*\\d+\\s*[-–—]\\s*\\d+\\.\\s*sorular')
+  AND (t LIKE '%?' OR (contains(t, '?') AND length(t) <= {tx.MOST}) OR regexp_matches(f, '{_SUFFIX}{_BLANK}*(?:[.!?:;]|$)') OR regexp_matches(f, '[\\pL\\pN_]{{{{3,}}}}(?:alim|elim){_BLANK}*(?:[.!?:]|$)')
+    OR regexp_matches(f, '[\\pL\\pN_]{{{{2,}}}}(?:ayin|eyin|yin|yun|yün){_BLANK}*[.!?]') OR regexp_matches(f, '^{_BLANK}*(?:now{_BLANK}+)?(?:{'|'.join(tx.ENGLISH_VERBS)})(?:[^\\pL\\pN_]|$)'))"""
+_INLINE = f"^\\(?{_BLANK}*([a-zçğıöşü]|\\p{{Nd}}{{1,2}}){_BLANK}*[.)\\]]{_BLANK}+[^\\s\\p{{Z}}]"
+
+
+@query(f"""WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10))), ' ') AS t FROM documents), x AS (SELECT source, t, replace(lower(replace(t, 'İ', 'i')), 'ı', 'i') AS f FROM l WHERE t <> '')
+SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE {_ASKS.replace('{inline}', _INLINE).replace('{{', '{').replace('}}', '}')}) AS n_asks, count(*) FILTER (WHERE regexp_matches(t, '{_INLINE}')) AS n_labelled FROM x GROUP BY 1""")
 def question_counts(spark, d) -> DataFrame:
-    """Documents that close with a question, per source."""
-    t = table(spark, d, "documents")
-    return t.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count("text").alias("n_texts"), F.count_if(F.trim("text").rlike("\\?[\"”’)]*$")).alias("n_asks"))
+    """Lines of documents that ask for something or open on a label, per source."""
+    t = table(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("t")).select("source", F.trim("t").alias("t")).where("t <> ''")
+    return t.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(tx.reads_as_question(F.col("t"))).alias("n_asks"), F.count_if(tx.inline_label(F.col("t")).isNotNull()).alias("n_labelled"))
 
 
 @query("""WITH r AS (SELECT user_id, event_type AS rule, count(*) AS n FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2)
