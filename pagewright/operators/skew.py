@@ -26,16 +26,17 @@ def hot_keys(df: DataFrame, keys: list[str], hot_share: float = HOT_SHARE, hot_r
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", condition=None,
-                spread: list[str] | None = None, rows: int | None = None, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
+                spread: list[str] | None = None, rows: int | None = None, keys_from: DataFrame | None = None, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join on ``keys`` (and ``condition(left, right)``), with hot left keys spread over several tasks.
 
     ``right``'s rows of a hot key are repeated once a salt; all others are shuffled once, so the plan
     is the ordinary shuffled join while no key is hot. ``how`` is any of inner, left, left_semi and
     left_anti. Rows with a null key match nothing. ``right`` must not have columns of ``left``
     other than ``keys``. The left side keeps its columns, the keys come once. A caller that knows the number of
-    left rows passes it as ``rows``: too few rows for a hot key need no counting.
+    left rows passes it as ``rows``: too few rows for a hot key need no counting. Keys are counted on ``keys_from`` where given: a frame
+    with at least the left side's rows of each key that is cheaper to read than ``left`` with all its steps.
     """
-    hot = [] if rows is not None and rows <= hot_rows else hot_keys(left.where(" and ".join(f"`{k}` is not null" for k in keys)), keys, hot_share, hot_rows)
+    hot = [] if rows is not None and rows <= hot_rows else hot_keys((left if keys_from is None else keys_from).where(" and ".join(f"`{k}` is not null" for k in keys)), keys, hot_share, hot_rows)
     on = list(keys)
     if hot:
         fields = [left.schema[k] for k in keys]

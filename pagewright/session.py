@@ -33,7 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder; partitions and their order stay as they are."""
+    """Cut lineage by a checkpoint in the shared folder; partitions and their order stay as they are.
+
+    The stage after the last shuffle is computed twice, so a frame with much work there is better ``written``.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -41,7 +44,7 @@ def reliable(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder.
 
-    For loops: a checkpointed frame keeps the constraints the optimizer inferred, which grow from round to round; a
+    Computed once. For loops too: a checkpointed frame keeps the constraints the optimizer inferred, which grow from round to round; a
     table that is read again has none.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
