@@ -38,7 +38,7 @@ def sections(books: DataFrame) -> DataFrame:
     order = F.array_position(F.lit(list(GRADES)), F.coalesce("grade", F.lit(0)))
     here = F.coalesce("installed", F.lit(False))
     place = F.when(here, 0).when(order > 0, order).otherwise(len(GRADES)).cast("int")
-    s = books.select(F.when(here, "installed").otherwise(F.when(order > 0, F.col("grade").cast("string")).otherwise("0")).alias("section"), place.alias("place"), tx.fold(F.col("title")).alias("_t"), "id")
+    s = books.select(F.when(here, "installed").otherwise(F.when(order > 0, F.coalesce("grade", F.lit(0)).cast("string")).otherwise("0")).alias("section"), place.alias("place"), tx.fold(F.col("title")).alias("_t"), "id")
     return numbered(s, ["section", "place"], ["_t", "id"]).drop("_t")
 
 

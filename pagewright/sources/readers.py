@@ -73,3 +73,144 @@ def best_epoch(spark: SparkSession, path: str) -> DataFrame:
     ema = F.nullif("ema_map", F.lit("")) if "ema_map" in t.columns else F.lit(None).cast("string")
     t = t.select(F.col("epoch").cast("int").alias("epoch"), F.coalesce(ema, F.nullif("map", F.lit(""))).cast("double").alias("score")).where("score is not null")
     return t.orderBy(F.desc("score"), "epoch").limit(1)
+
+
+def catalogue_index(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title, grade_text, subject, page_count) of an index document whose ``books`` maps ids to records; an unreadable or absent one is an empty table."""
+    schema = "books map<string,struct<title:string,grade:string,subject:string,pageCount:int>>"
+    fields = "id string, title string, grade_text string, subject string, page_count int"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], fields)
+    b = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return b.select(F.explode("books").alias("id", "r")).select(F.lower("id").alias("id"), "r.title", F.col("r.grade").alias("grade_text"), "r.subject", F.col("r.pageCount").alias("page_count"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
+def catalogue_books(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """Catalogue lines (of ``catalogue``) with what the index knows: its title and grade go before the line's own; a grade is the first number of its text."""
+    i = index.select("id", F.col("title").alias("_t"), F.nullif(F.regexp_extract("grade_text", r"(\d+)", 1), F.lit("")).cast("int").alias("_g"), "subject", "page_count")
+    return lines.join(i, "id", "left").withColumns({"title": F.coalesce("_t", "title"), "grade": F.coalesce("_g", "grade")}).drop("_t", "_g")
+
+
+def library_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, id, title, grade, grade_label, subject, page_count, interactive_count, url) of a packaged library's array of books, defaults put in; records without an id go."""
+    record = "struct<id:string,title:string,grade:int,gradeLabel:string,subject:string,pageCount:int,interactiveCount:int,url:string>"
+    b = spark.read.schema(f"books array<{record}>").option("multiLine", True).json(path).select(F.posexplode("books").alias("ord", "r")).where("r.id is not null")
+    text = {c: F.coalesce(F.col(f"r.{c}"), F.lit("")) for c in ("title", "gradeLabel", "subject", "url")}
+    return b.select("ord", "r.id", text["title"].alias("title"), F.coalesce("r.grade", F.lit(0)).alias("grade"), text["gradeLabel"].alias("grade_label"), text["subject"].alias("subject"),
+                    F.coalesce("r.pageCount", F.lit(0)).alias("page_count"), F.coalesce("r.interactiveCount", F.lit(0)).alias("interactive_count"), text["url"].alias("url"))
+
+
+def region_items(regions: DataFrame) -> DataFrame:
+    """One row an item of ``regions``: its region's place, its own fields and box; a part index that is absent is 0."""
+    i = regions.select("book_id", "page", "ord", F.posexplode("items").alias("item_ord", "i"))
+    r = F.col("i.rect")
+    return i.select("book_id", "page", "ord", "item_ord", "i.id", "i.label", "i.number", F.coalesce("i.partIndex", F.lit(0)).alias("part_index"),
+                    F.struct(r[0].alias("x0"), r[1].alias("y0"), r[2].alias("x1"), r[3].alias("y1")).alias("rect"), "i.text")
+
+
+DIAGNOSTICS = ("version int, bookId string, fingerprint string, pages map<string,struct<pageWidth:double,pageHeight:double,contentTop:double,contentBottom:double,"
+               "panels:array<array<double>>,solutions:array<array<double>>,markers:array<array<double>>>>")
+
+
+def diagnostics(spark: SparkSession, path: str) -> DataFrame:
+    """(book_id, fingerprint, page, kind, ord, rect) of plain or gzip diagnostics documents: panels, solutions and markers of each sheet."""
+    d = spark.read.schema(DIAGNOSTICS).option("multiLine", True).json(path)
+    p = d.select(F.col("bookId").alias("book_id"), "fingerprint", F.explode("pages").alias("page", "p"))
+    def of(kind: str):
+        return F.transform(F.coalesce(F.col(f"p.{kind}s"), F.array().cast("array<array<double>>")), lambda r, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), r.alias("r")))
+
+    kinds = F.flatten(F.array(of("panel"), of("solution"), of("marker")))
+    b = p.select("book_id", "fingerprint", F.col("page").cast("int").alias("page"), F.explode(kinds).alias("b"))
+    r = F.col("b.r")
+    return b.select("book_id", "fingerprint", "page", "b.kind", F.format_string("%s%d", F.col("b.kind"), F.col("b.ord")).alias("ord"), F.struct(r[0].alias("x0"), r[1].alias("y0"), r[2].alias("x1"), r[3].alias("y1")).alias("rect"))
+
+
+def traces(spark: SparkSession, path: str) -> DataFrame:
+    """(book_id, stage, rule, n) of trace documents' histograms."""
+    t = spark.read.schema("book_id string, histogram array<struct<stage:string,rule:string,n:long>>").json(path)
+    return t.select("book_id", F.explode("histogram").alias("h")).select("book_id", "h.*")
+
+
+def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, path, size): one row a book found below ``folder``: the GUID in a file's name, else the name; the first path of an id counts. No content is read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder).select("path", F.col("length").alias("size"))
+    name = F.regexp_extract("path", r"([^/]+)\.pdf$", 1)
+    own = F.regexp_extract(name, r"(?i)([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", 1)
+    return f.select(F.when(own != "", F.lower(own)).otherwise(name).alias("id"), "path", "size").groupBy("id").agg(F.min("path").alias("path"), F.min_by("size", "path").alias("size"))
+
+
+def request_log(spark: SparkSession, path: str) -> DataFrame:
+    """(at, route, key, status) of an append-only log of JSON lines; broken lines are dropped."""
+    return spark.read.schema("at string, route string, key string, status int").option("mode", "DROPMALFORMED").json(path)
+
+
+def requests_by_key(log: DataFrame, day: str, route: str = "api") -> DataFrame:
+    """Requests of one day (the timestamp's first characters) and route per key."""
+    return log.where(F.startswith("at", F.lit(day)) & (F.col("route") == route)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_index(spark: SparkSession, path: str) -> DataFrame:
+    """(book, page, width_pt, height_pt, width_px, height_px) of the index lines of rendered pages; a page rendered again keeps its last line's sizes."""
+    i = spark.read.schema("book string, page int, width_pt double, height_pt double, width_px int, height_px int").json(path)
+    return i.groupBy("book", "page").agg(*[F.max(c).alias(c) for c in ("width_pt", "height_pt", "width_px", "height_px")])
+
+
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(book, page, ord, px, score) of a detector's documents: pages map numbers to lists of boxes."""
+    d = spark.read.schema("book string, pages map<string,array<struct<px:array<double>,score:double>>>").option("multiLine", True).json(path)
+    p = d.select("book", F.explode("pages").alias("page", "boxes"))
+    return p.select("book", F.col("page").cast("int").alias("page"), F.posexplode("boxes").alias("ord", "b")).select("book", "page", "ord", "b.px", "b.score")
+
+
+def label_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(labels, failed) of a folder of one folder a book: files with numbers for names, and the marks that stand for a failed request.
+
+    Labels have (book, page, boxes, path); other files and the batches' folder are passed over. A mark holds the failure's text; empty files are not seen.
+    """
+    path = F.col("_metadata.file_path")
+
+    def at(kind: str):
+        return F.regexp_extract("path", rf"/([^/]+)/(\d+)\.{kind}$", 1), F.regexp_extract("path", rf"/([^/]+)/(\d+)\.{kind}$", 2)
+
+    raw = spark.read.schema("boxes array<struct<px:array<double>,label:string>>, hint string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9]*.json").json(folder)
+    book, page = at("json")
+    labels = raw.select("boxes", "hint", path.alias("path")).select(book.alias("book"), page.cast("int").alias("page"), "boxes", "hint", "path").where("page is not null and book <> 'batches'")
+    book, page = at("failed")
+    failed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9]*.failed").load(folder).select("path").select(book.alias("book"), page.cast("int").alias("page")).where("page is not null")
+    return labels, failed
+
+
+STROKE = "struct<id:string,page:int,kind:string,color:array<double>,width:double,points:array<double>,created_ms:bigint>"
+
+
+def strokes(spark: SparkSession, path: str) -> DataFrame:
+    """One row a valid stroke of ink documents (book, strokes); a bad record goes alone, a bad document gives none."""
+    from pagewright.operators.ink import valid
+
+    d = spark.read.schema(f"book string, strokes array<{STROKE}>").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return valid(d.select("book", F.explode("strokes").alias("s")).select("book", "s.*"))
+
+
+#: Reader settings with their defaults.
+SETTINGS = {"theme": "system", "zoom": 1.0, "spread": False, "volume": 1.0}
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """The reader's state, absent or wrongly typed values by their defaults; an absent document is all defaults."""
+    kinds = {str: "string", float: "double", bool: "boolean"}
+    fields = ", ".join(f"{k} {kinds[type(v)]}" for k, v in SETTINGS.items())
+    own = spark.read.schema(fields).option("multiLine", True).json(path) if _exists(spark, path) else spark.createDataFrame([], fields)
+    one = spark.range(1).select(F.lit(1).alias("_one"))
+    return one.join(own.withColumn("_one", F.lit(1)), "_one", "left").select(*[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in SETTINGS.items()])
+
+
+def contents_tree(rows: DataFrame) -> DataFrame:
+    """(book_id, ord, level, title, page, parent) of contents lists, to which a document's pages are matched by order."""
+    from pagewright.operators.sequence import toc_parents
+
+    return toc_parents(rows.select("book_id", "ord", "level", "title", "page"), "book_id", "ord", "level")
