@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.keys import guid
 from pagewright.llm.confusables import consistent_text
 from pagewright.operators.skew import salted_join
-from pagewright.session import release, reliable, table, written
+from pagewright.session import release, table, written
 
 #: What two records can show, per attribute, and its log-likelihood ratio (see the README for estimated ones, which find fewer).
 WEIGHTS = {
@@ -77,9 +77,9 @@ def entries(spark, sf_dir: str) -> DataFrame:
     """
     raw = table(spark, sf_dir, "publisher_oge").where("id is not null and kitapid is not null").select(
         guid("id").alias("_i"), F.col("id").alias("oge_id"), guid("kitapid").alias("kid"), "sayfano", "title", "posx", "posy")
-    once = raw.groupBy("_i").agg(F.max(F.struct("kid", "sayfano", "title", "posx", "posy", "oge_id")).alias("r")).select("r.*")
+    once = raw.groupBy(F.xxhash64("_i"), "_i").agg(F.max(F.struct("kid", "sayfano", "title", "posx", "posy", "oge_id")).alias("r")).select("r.*")
     books = table(spark, sf_dir, "kitap").select(guid("id").alias("kid"), guid("klasoradi").alias("book")).where("kid is not null and book is not null").distinct()
-    own = consistent_text(salted_join(once, books, ["kid"]), "title", "title")
+    own = consistent_text(salted_join(once, books, ["kid"], keys_from=raw.select("kid")), "title", "title")
     px, py = F.nanvl("posx", F.lit(None).cast("double")), F.nanvl("posy", F.lit(None).cast("double"))
     part = (px < 1) & (py < 1)
     known = px.isNotNull() & py.isNotNull() & ~((px == 0) & (py == 0))
@@ -96,12 +96,12 @@ def regions(spark, sf_dir: str) -> DataFrame:
     """
     raw = table(spark, sf_dir, "activity").where("kind = 'activity' and activity_key is not null").select(
         F.col("activity_key").alias("r"), guid("book_id").alias("book"), F.col("page").alias("sheet"), "label", "headline", "rect")
-    once = raw.groupBy("r").agg(F.max(F.struct("book", "sheet", "label", "headline", "rect")).alias("v")).select("r", "v.*")
+    once = raw.groupBy(F.xxhash64("r"), "r").agg(F.max(F.struct("book", "sheet", "label", "headline", "rect")).alias("v")).select("r", "v.*")
     sheets = table(spark, sf_dir, "sheets").groupBy(guid("book_id").alias("book"), F.col("page").alias("sheet")).agg(
         F.min("printed_page").alias("printed"), F.max("width").alias("width"), F.max("height").alias("height"))
     votes = sheets.where("printed is not null").groupBy("book", (F.col("sheet") - F.col("printed")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
     offsets = votes.groupBy("book").agg(F.max(F.struct("n", -F.abs("offset"), "offset")).alias("v")).select("book", "v.offset")
-    placed = salted_join(once.where("book is not null").join(sheets, ["book", "sheet"], "left"), offsets, ["book"], "left")
+    placed = salted_join(once.where("book is not null").join(sheets, ["book", "sheet"], "left"), offsets, ["book"], "left", keys_from=raw.select("book"))
     placed = consistent_text(consistent_text(placed, "label", "label"), "headline", "headline")
     return placed.select(
         "r", "book", F.coalesce("printed", F.col("sheet") - F.col("offset")).alias("page"), label_key(fold("label")).alias("label"), name_key(fold("headline")).alias("head"),
@@ -119,7 +119,8 @@ def classes(rows: DataFrame, key: str) -> DataFrame:
     copies have a half of one match each at most, so a pair over a half always is one of single records.
     """
     said = [c for c in rows.columns if c != key]
-    return rows.groupBy(*said).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n"))
+    # strings are aggregated by sorting, which is quick on a number
+    return rows.groupBy(F.xxhash64(*said).alias("_h"), *said).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n")).drop("_h")
 
 
 def _shared(rows: DataFrame, name: str, as_name: str, flag: str) -> DataFrame:
@@ -218,8 +219,9 @@ def one_to_one(rows: DataFrame, least: float = 0.5) -> DataFrame:
 
 def p1_matches(spark, sf_dir: str) -> DataFrame:
     """(oge_id, activity_key, confidence): one row a matched pair."""
-    e, r = reliable(classes(entries(spark, sf_dir), "e")), reliable(classes(regions(spark, sf_dir), "r"))
+    e, r = written(classes(entries(spark, sf_dir), "e")), written(classes(regions(spark, sf_dir), "r"))
     found = one_to_one(marginals(weighed(candidates(e, r))))
+    release(e, r)
     return found.select(F.col("e").alias("oge_id"), F.col("r").alias("activity_key"), "confidence")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.tokenizer import encoded
-from pagewright.session import reliable, table
+from pagewright.session import reliable, table, written
 
 #: Documents in a block, and the smallest of them that the flight leaves for the last block.
 BLOCK, KEPT = 2000, 4
@@ -161,7 +161,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
 
 
 def _sized(spark, sf_dir: str) -> DataFrame:
-    return reliable(encoded(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), out="n_tokens", counts_only=True))
+    return written(encoded(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), out="n_tokens", counts_only=True))
 
 
 def p7_mix(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.operators.skew import salted_join
-from pagewright.session import reliable, spread, table
+from pagewright.session import reliable, spread, table, written
 
 #: Longest context in characters.
 DEPTH = 28
@@ -339,7 +339,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
     Equal texts get equal verdicts; a language or source may be null. An empty table gives no row.
     """
-    rows = reliable(scored(docs))
+    rows = written(scored(docs))
     common, own = thresholds(rows)
     limit = F.coalesce("own", F.lit(common))
     return salted_join(rows, own, ["lang"], "left").withColumn("truncated", F.coalesce(F.col("log_odds") < limit, F.lit(False))).drop("own")
