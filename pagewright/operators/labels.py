@@ -135,7 +135,7 @@ def clamped(box: Column, width: Column, height: Column) -> Column:
     def span(a: Column, b: Column, top: Column) -> tuple[Column, Column]:
         return F.greatest(F.lit(0.0), F.least(a, b)), F.least(top, F.greatest(a, b))
 
-    (x0, x1), (y0, y1) = span(box[0], box[2], width), span(box[1], box[3], height)
+    (x0, x1), (y0, y1) = span(F.get(box, F.lit(0)), F.get(box, F.lit(2)), width), span(F.get(box, F.lit(1)), F.get(box, F.lit(3)), height)
     return F.array(*[F.bround(v, 1) for v in (x0, y0, x1 - x0, y1 - y0)])
 
 

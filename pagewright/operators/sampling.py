@@ -50,3 +50,49 @@ def systematic(rows: DataFrame, order: str, n: int) -> DataFrame:
     ranked = numbered(rows, [], [order], "_rank")
     k = max(1, ranked.count() // n)
     return ranked.where(((F.col("_rank") - 1) % k == 0) & (F.col("_rank") <= F.lit(k) * n)).drop("_rank")
+
+
+def page_doubt(scores: Column) -> Column:
+    """The greatest doubt of a page's boxes, 0 without any."""
+    return F.coalesce(F.array_max(F.transform(scores, doubt)), F.lit(0.0))
+
+
+def sure_boxes(boxes: Column, conf: float) -> Column:
+    """A page's kept boxes (structs with a score) if all are at least ``conf`` sure, else null; a page without boxes is sure."""
+    return F.when(F.forall(boxes, lambda b: b["score"] >= conf), boxes)
+
+
+def self_labels(pages: DataFrame, book: str, page: str, empty: str, cap: int, empty_share: float, seed: str = "1") -> DataFrame:
+    """At most ``cap`` pages a book in hash order, of which at most ``empty_share`` without boxes (column ``empty``)."""
+    few = int(cap * empty_share)
+    ranked = numbered(pages.withColumn("_h", hash_order(book, page, seed=seed)), [book, empty], ["_h", page], "_k").where((~F.col(empty) & (F.col("_k") <= cap)) | (F.col("_k") <= few))
+    w = W.partitionBy(book).orderBy(F.desc(empty), "_h", page)  # at most two caps of rows a book
+    return ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_h", "_k", "_r")
+
+
+def fraction(rows: DataFrame, keys: list[str], key: str, share: float, seed: str = "1") -> DataFrame:
+    """``share`` of each group's rows in hash order, rounded half to even, one at least."""
+    n = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * share)).alias("_n"))
+    return numbered(rows.withColumn("_h", hash_order(*keys, key, seed=seed)), keys, ["_h", key], "_k").join(n, keys).where(F.col("_k") <= F.col("_n")).drop("_h", "_k", "_n")
+
+
+def asked_next(pages: DataFrame, asked: DataFrame, held_out: DataFrame, book: str, page: str, most: int = 38) -> DataFrame:
+    """The next pages to ask of each book: not asked yet, not of held-out books, those with missing icons first, then by doubt, ``most`` of them, in page order with ``place``."""
+    free = pages.join(asked.select(book, page), [book, page], "left_anti").join(held_out.select(book), book, "left_anti")
+    w = W.partitionBy(book).orderBy(F.desc(F.least("missing", F.lit(1))), F.desc("doubt"), page)
+    best = free.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+    return best.withColumn("place", F.row_number().over(W.partitionBy(book).orderBy(page)))
+
+
+def chunks(books: DataFrame, size: int = 80) -> DataFrame:
+    """(book_id, first, last, place) of slices of at most ``size`` pages, the largest first, then by book and page."""
+    starts = F.explode(F.sequence(F.lit(1), F.col("pages"), F.lit(size))).alias("first")
+    c = books.where("pages > 0").select("book_id", "pages", starts).withColumn("last", F.least(F.col("first") + size - 1, F.col("pages"))).drop("pages")
+    return numbered(c.withColumn("_less", -(F.col("last") - F.col("first"))), [], ["_less", "book_id", "first"], "place").drop("_less")
+
+
+def interleaved(books: DataFrame) -> DataFrame:
+    """``books`` (book_id, pages) with ``place``: the largest, the smallest, the second largest, ... so that large ones do not run together."""
+    n = books.count()
+    r = numbered(books.withColumn("_less", -F.col("pages")), [], ["_less", "book_id"], "_r")
+    return r.withColumn("place", F.when(F.col("_r") * 2 <= n + 1, F.col("_r") * 2 - 1).otherwise((F.lit(n) - F.col("_r") + 1) * 2)).drop("_less", "_r")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
-from pagewright.operators import pages, views
+from pagewright.operators import book, content, pages, tally, views
 from pagewright.session import table
 
 QUERIES: dict = {}
@@ -76,3 +76,30 @@ st AS (SELECT book_id, page, k, mid AS first, 1 AS row FROM s WHERE k = 1
 g AS (SELECT s.*, st.row, x0 - max(x1) OVER (PARTITION BY s.book_id, s.page, row ORDER BY x0, s.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 10 AS brk FROM s JOIN st USING (book_id, page, k)),
 p AS (SELECT *, sum(coalesce(brk, false)::INT) OVER (PARTITION BY book_id, page, row ORDER BY x0, k) AS piece FROM g)
 SELECT book_id, page, row_number() OVER (PARTITION BY book_id, page ORDER BY row, piece) AS line, count(*) AS n_spans, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM p GROUP BY book_id, page, row, piece"""
+
+
+@query()
+def content_regions(spark, d) -> DataFrame:
+    """Regions of what the detected activities leave of every sheet."""
+    spans, sheets = _read(spark, d)
+    acts = views.activities(spark, d).where("kind = 'activity'").select("book_id", "page", "rect")
+    return content.page_content(spans, sheets, acts, alone=True)
+
+
+@query()
+def sheet_kinds(spark, d) -> DataFrame:
+    """What each book's sheets are, counted; the tables hold no pictures, so content regions stand for them."""
+    spans, sheets = _read(spark, d)
+    grounds = views.activities(spark, d).where("kind = 'content'").select("book_id", "page", "rect")
+    kinds = book.page_kinds(sheets.select("book_id", "page", "width", "height"), book.page_rows(spans), grounds, pages.page_layout(spans, sheets))
+    return kinds.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_sheets"), F.count("contents").alias("n_contents"), F.count_if("opener").alias("n_openers"), F.count("form").alias("n_forms"), F.count_if("bibliography").alias("n_bibliography"), F.count_if("plate").alias("n_plates"))
+
+
+@query()
+def book_matter(spark, d) -> DataFrame:
+    """Where each book's front matter ends and its back matter begins."""
+    spans, sheets = _read(spark, d)
+    grounds = views.activities(spark, d).where("kind = 'content'").select("book_id", "page", "rect")
+    kinds = book.page_kinds(sheets.select("book_id", "page", "width", "height"), book.page_rows(spans), grounds, pages.page_layout(spans, sheets))
+    acts = views.activities(spark, d).where("kind = 'activity'").select("book_id", "page")
+    return book.matter(kinds, tally.folio(sheets), acts).drop("contents")

@@ -46,7 +46,7 @@ def regions(spark: SparkSession, path: str) -> DataFrame:
     p = b.select("bookId", F.explode("pages").alias("page", "p")).select("bookId", F.col("page").cast("int").alias("page"), "p.pageWidth", "p.pageHeight", F.posexplode("p.activities").alias("ord", "a"))
 
     def rect(c):
-        return F.struct(c[0].alias("x0"), c[1].alias("y0"), c[2].alias("x1"), c[3].alias("y1"))
+        return F.struct(*[F.get(c, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
     return p.select(F.col("bookId").alias("book_id"), "page", "ord", "a.id", "a.label", F.coalesce(F.col("a.column"), F.lit(0)).alias("column"), rect(F.col("a.rect")).alias("rect"),
                     F.transform("a.parts", rect).alias("parts"), F.coalesce("a.kind", F.lit("activity")).alias("kind"), "a.headline", F.coalesce("a.anchored", F.lit(False)).alias("anchored"), F.col("a.ogeId").alias("oge_id"), "a.items",
@@ -110,7 +110,7 @@ def region_items(regions: DataFrame) -> DataFrame:
     i = regions.select("book_id", "page", "ord", F.posexplode("items").alias("item_ord", "i"))
     r = F.col("i.rect")
     return i.select("book_id", "page", "ord", "item_ord", "i.id", "i.label", "i.number", F.coalesce("i.partIndex", F.lit(0)).alias("part_index"),
-                    F.struct(r[0].alias("x0"), r[1].alias("y0"), r[2].alias("x1"), r[3].alias("y1")).alias("rect"), "i.text")
+                    F.struct(*[F.get(r, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]).alias("rect"), "i.text")
 
 
 DIAGNOSTICS = ("version int, bookId string, fingerprint string, pages map<string,struct<pageWidth:double,pageHeight:double,contentTop:double,contentBottom:double,"
@@ -127,7 +127,7 @@ def diagnostics(spark: SparkSession, path: str) -> DataFrame:
     kinds = F.flatten(F.array(of("panel"), of("solution"), of("marker")))
     b = p.select("book_id", "fingerprint", F.col("page").cast("int").alias("page"), F.explode(kinds).alias("b"))
     r = F.col("b.r")
-    return b.select("book_id", "fingerprint", "page", "b.kind", F.format_string("%s%d", F.col("b.kind"), F.col("b.ord")).alias("ord"), F.struct(r[0].alias("x0"), r[1].alias("y0"), r[2].alias("x1"), r[3].alias("y1")).alias("rect"))
+    return b.select("book_id", "fingerprint", "page", "b.kind", F.format_string("%s%d", F.col("b.kind"), F.col("b.ord")).alias("ord"), F.struct(*[F.get(r, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]).alias("rect"))
 
 
 def traces(spark: SparkSession, path: str) -> DataFrame:
