@@ -48,6 +48,16 @@ def top1(rows: DataFrame, group: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n_groups"), F.sum(right).alias("n_right"), F.avg(right).alias("accuracy"))
 
 
+def contested(rows: DataFrame, group: str, rival) -> DataFrame:
+    """Rows of the groups in which more than one row is a ``rival``."""
+    return rows.join(rows.groupBy(group).agg(F.count_if(rival).alias("_n")).where("_n > 1").select(group), group, "left_semi")
+
+
+def shares(rows: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
+    """(n, name...): the share of rows with at least each point's value, three decimals; null values count as less, no rows give nulls."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.coalesce((F.col(value) >= x), F.lit(False)).cast("int")), 3).alias(name) for name, x in points.items()])
+
+
 def jaccard(a, b):
     """Shared part of two sets; two empty ones are equal."""
     whole = F.size(F.array_union(a, b))

@@ -67,10 +67,11 @@ def folio_modal_offset(spark, d) -> DataFrame:
     return tally.folio(views.sheets(spark, d))
 
 
-@query(f"""WITH {views.SQL} SELECT book_id, printed_page, count(*) AS n_sheets, min(page) AS first_sheet FROM sh WHERE printed_page IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""")
+@query(f"""WITH {joins._FOLIO} SELECT book_id, printed AS printed_page, count(*) AS n_sheets, min(page) AS first_sheet FROM fs WHERE printed IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""")
 def folio_collisions(spark, d) -> DataFrame:
-    return views.sheets(spark, d).where("printed_page is not null").groupBy("book_id", "printed_page").agg(
-        F.count(F.lit(1)).alias("n_sheets"), F.min("page").alias("first_sheet")).where("n_sheets > 1")
+    """Printed pages, read or computed, that more than one sheet has."""
+    f = tally.folio(views.sheets(spark, d)).where("printed is not null")
+    return f.groupBy("book_id", F.col("printed").alias("printed_page")).agg(F.count(F.lit(1)).alias("n_sheets"), F.min("page").alias("first_sheet")).where("n_sheets > 1")
 
 
 @query("""WITH w AS (SELECT book_id, round(size, 1) AS size, sum(length(text)) AS n, min(span_id) AS first FROM spans WHERE size IS NOT NULL AND text IS NOT NULL AND bbox.x1 - bbox.x0 >= 60 AND length(text) >= 20 GROUP BY 1, 2),

@@ -150,13 +150,15 @@ def overlay_full_outer(spark, d) -> DataFrame:
     return spots.unionByName(pins)
 
 
-@query(f"""WITH {_PLACED}, h AS (SELECT entry_ord, arg_min(region_ord, struct_pack(a := round((r - l) * (b - t), 6), o := region_ord)) AS region_ord FROM pr0 WHERE x BETWEEN l AND r AND y BETWEEN t AND b GROUP BY 1) SELECT * FROM h""")
+@query(f"""WITH {views.SQL}, p AS (SELECT span_id, book_id, page, (bbox.x0 + bbox.x1) / 2 AS x, (bbox.y0 + bbox.y1) / 2 AS y FROM spans WHERE bbox IS NOT NULL)
+SELECT span_id, arg_min(activity_key, struct_pack(a := round((rect.x1 - rect.x0) * (rect.y1 - rect.y0), 6), o := activity_key)) AS region FROM p JOIN act ON act.book_id = p.book_id AND act.page = p.page WHERE x BETWEEN rect.x0 AND rect.x1 AND y BETWEEN rect.y0 AND rect.y1 GROUP BY 1""")
 def hit_test_smallest(spark, d) -> DataFrame:
-    """The smallest region under each entry's point, the first of equals."""
-    e, r = _placed(spark, d)
-    hit = e.join(r, _SHEET).where(F.col("x").between(F.col("left"), F.col("right")) & F.col("y").between(F.col("top"), F.col("bottom")))
-    size = F.round((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")), 6)
-    return hit.groupBy("entry_ord").agg(F.min_by("region_ord", F.struct(size, F.col("region_ord"))).alias("region_ord"))
+    """The smallest region under the middle of each line, the first of equals."""
+    b, r = F.col("bbox"), F.col("rect")
+    p = table(spark, d, "spans").where("bbox is not null").select("span_id", "book_id", "page", ((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y"))
+    hit = p.join(views.activities(spark, d).select("book_id", "page", "activity_key", "rect"), ["book_id", "page"]).where(geo.contains_point(r, F.col("x"), F.col("y")))
+    size = F.round((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), 6)
+    return hit.groupBy("span_id").agg(F.min_by("activity_key", F.struct(size, F.col("activity_key"))).alias("region"))
 
 
 @query(f"""WITH {_PLACED}, w AS (SELECT entry_ord, max(CASE WHEN reach = 0 AND y BETWEEN t AND b THEN 3 WHEN y BETWEEN t - 5 AND b + 5 THEN 2 ELSE 1 END) AS k, min(abs(y - t)) AS gap FROM pr0 WHERE y IS NOT NULL GROUP BY 1)
@@ -174,16 +176,18 @@ def nearest_gap_where(spark, d) -> DataFrame:
     return w.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("gap"), 4).alias("least_gap"))
 
 
-@query(f"""WITH {views.SQL} SELECT a.activity_key AS a, b.activity_key AS b, round((least(a.rect.x1, b.rect.x1) - greatest(a.rect.x0, b.rect.x0)) * (least(a.rect.y1, b.rect.y1) - greatest(a.rect.y0, b.rect.y0)), 4) AS shared
-FROM act a JOIN act b ON a.book_id = b.book_id AND a.page = b.page AND a.activity_key < b.activity_key
-WHERE (least(a.rect.x1, b.rect.x1) - greatest(a.rect.x0, b.rect.x0)) > 0 AND (least(a.rect.y1, b.rect.y1) - greatest(a.rect.y0, b.rect.y0)) > 0
-  AND (least(a.rect.x1, b.rect.x1) - greatest(a.rect.x0, b.rect.x0)) * (least(a.rect.y1, b.rect.y1) - greatest(a.rect.y0, b.rect.y0)) > 1""")
+_GROWN = "SELECT DISTINCT activity_key, item_key AS o, rect.x0 - 8 AS x0, rect.y0 - 8 AS y0, rect.x1 + 8 AS x1, rect.y1 + 8 AS y1 FROM item WHERE rect IS NOT NULL"
+_BOTH = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+
+
+@query(f"""WITH p AS ({_GROWN}) SELECT a.o AS a, b.o AS b, round({_BOTH}, 4) AS shared FROM p a JOIN p b ON a.activity_key = b.activity_key AND a.o < b.o WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) AND {_BOTH} > 1""")
 def overlap_self_join(spark, d) -> DataFrame:
-    """Pairs of regions of a sheet that share more than one square point."""
-    a = views.activities(spark, d).select("book_id", "page", F.col("activity_key").alias("a"), F.col("rect").alias("ra"))
-    b = a.select("book_id", "page", F.col("a").alias("b"), F.col("ra").alias("rb"))
+    """Pairs of a region's items, padded by eight points, that share more than one square point."""
+    r = F.col("rect")
+    a = table(spark, d, "item").where("rect is not null").select("activity_key", F.col("item_key").alias("a"), geo.rect(r["x0"] - 8, r["y0"] - 8, r["x1"] + 8, r["y1"] + 8).alias("ra")).distinct()
+    b = a.select("activity_key", F.col("a").alias("b"), F.col("ra").alias("rb"))
     shared = geo.overlap(F.col("ra"), F.col("rb"))
-    return a.join(b, ["book_id", "page"]).where((F.col("a") < F.col("b")) & (shared > 1)).select("a", "b", F.round(shared, 4).alias("shared"))
+    return a.join(b, "activity_key").where((F.col("a") < F.col("b")) & geo.intersects(F.col("ra"), F.col("rb")) & (shared > 1)).select("a", "b", F.round(shared, 4).alias("shared"))
 
 
 @query(f"""WITH {views.SQL}, blk AS (SELECT book_id, page, span_id, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1, (bbox.x1 - bbox.x0) * (bbox.y1 - bbox.y0) AS area FROM spans WHERE bbox IS NOT NULL),
@@ -209,13 +213,18 @@ def line_coverage(spark, d) -> DataFrame:
     return s.join(held, "span_id", "left").groupBy("book_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count("by_activity").alias("n_held"), F.count_if("by_activity").alias("n_by_activity"))
 
 
-@query(f"""WITH {views.SQL}, c AS (SELECT i.item_key, min(CASE WHEN i.rect.x0 >= a.rect.x0 - 8 AND i.rect.x1 <= a.rect.x1 + 8 AND i.rect.y0 >= a.rect.y0 - 8 AND i.rect.y1 <= a.rect.y1 + 8 THEN 1 ELSE 0 END) AS inside
-  FROM (SELECT DISTINCT item_key, activity_key, rect FROM item) i JOIN act a USING (activity_key) GROUP BY 1) SELECT inside::BIGINT AS inside, count(*) AS n FROM c GROUP BY 1""")
+@query(f"""WITH {views.SQL}, i AS (SELECT DISTINCT item_key, activity_key, rect FROM item WHERE rect IS NOT NULL), own AS (SELECT i.item_key, i.rect, a.book_id, a.page, min(a.rect.x0 <= i.rect.x0 + 8 AND a.rect.y0 <= i.rect.y0 + 8 AND a.rect.x1 >= i.rect.x1 - 8 AND a.rect.y1 >= i.rect.y1 - 8) AS inside FROM i JOIN act a USING (activity_key) GROUP BY ALL),
+hit AS (SELECT own.item_key, own.rect, inside, arg_min(a.activity_key, struct_pack(s := round((a.rect.x1 - a.rect.x0) * (a.rect.y1 - a.rect.y0), 6), k := a.activity_key)) FILTER (WHERE (own.rect.x0 + own.rect.x1) / 2 BETWEEN a.rect.x0 AND a.rect.x1 AND (own.rect.y0 + own.rect.y1) / 2 BETWEEN a.rect.y0 AND a.rect.y1) AS parent
+  FROM own JOIN act a USING (book_id, page) GROUP BY ALL) SELECT item_key, inside, parent FROM hit""")
 def items_in_parent(spark, d) -> DataFrame:
-    """Sub-items that lie within their region, eight points allowed."""
-    i = table(spark, d, "item").select("item_key", "activity_key", F.col("rect").alias("ri")).distinct()
-    j = i.join(views.activities(spark, d).select("activity_key", "rect"), "activity_key")
-    return j.groupBy("item_key").agg(F.min(geo.encloses(F.col("rect"), F.col("ri"), 8.0).cast("long")).alias("inside")).groupBy("inside").agg(F.count(F.lit(1)).alias("n"))
+    """Sub-items with whether they lie in their own region (eight points allowed), and the smallest region of the sheet that holds their middle."""
+    act = views.activities(spark, d)
+    i = table(spark, d, "item").where("rect is not null").select("item_key", "activity_key", F.col("rect").alias("ri")).distinct()
+    own = i.join(act.select("activity_key", "book_id", "page", "rect"), "activity_key").groupBy("item_key", "ri", "book_id", "page").agg(F.bool_and(geo.encloses(F.col("rect"), F.col("ri"), 8.0)).alias("inside"))
+    r, m = F.col("rect"), F.col("ri")
+    held = geo.contains_point(r, (m["x0"] + m["x1"]) / 2, (m["y0"] + m["y1"]) / 2)
+    order = F.when(held, F.struct(F.round((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), 6), F.col("activity_key")))
+    return own.join(act.select("book_id", "page", "activity_key", "rect"), ["book_id", "page"]).groupBy("item_key", "ri", "inside").agg(F.min_by("activity_key", order).alias("parent")).select("item_key", "inside", "parent")
 
 
 @query(f"""WITH {views.SQL}, p AS (SELECT DISTINCT book_id, page FROM act WHERE kind = 'activity'), m AS (SELECT DISTINCT sh.book_id, sh.page FROM sh JOIN en ON en.book_id = sh.book_id AND en.sayfano = sh.printed_page)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagewright.plans import aggregates, joins, layouts, quality, selections, sequences
+from pagewright.plans import aggregates, catalogue, joins, layouts, quality, selections, sequences
 
-MODULES = (aggregates, joins, sequences, selections, layouts, quality)
+MODULES = (aggregates, joins, sequences, selections, layouts, quality, catalogue)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
