@@ -95,3 +95,22 @@ def straddles(r: Column, block: Column) -> Column:
     side = (block["x0"] < r["x0"]) | (block["x1"] > r["x1"])
     end = (block["y0"] < r["y0"]) | (block["y1"] > r["y1"])
     return F.when(side & end, "corner").when(side, "side").when(end, "end").otherwise("inside")
+
+
+def to_screen(x: Column, y: Column, w: Column, h: Column, rotation: Column, scale: Column) -> tuple[Column, Column]:
+    """A point of a sheet (y upwards) on the turned and scaled picture of it (y downwards)."""
+    sx, sy = rotate(x, h - y, w, h, rotation)
+    return sx * scale, sy * scale
+
+
+def from_screen(sx: Column, sy: Column, w: Column, h: Column, rotation: Column, scale: Column) -> tuple[Column, Column]:
+    """The inverse of ``to_screen``: ``w`` and ``h`` are the unturned sheet's."""
+    t = F.pmod(rotation, F.lit(360))
+    quarter = t.isin(90, 270)
+    x, y = rotate(sx / scale, sy / scale, F.when(quarter, h).otherwise(w), F.when(quarter, w).otherwise(h), 360 - t)
+    return x, h - y
+
+
+def fit_scale(w: Column, h: Column, view_w: Column, view_h: Column, low: float = 0.1, high: float = 8.0) -> Column:
+    """The scale at which a sheet just fits a view, within bounds."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), view_w / w, view_h / h))

@@ -133,7 +133,7 @@ def reads_as_title(c: Column, size: Column, body: Column) -> Column:
 
 
 def is_bold(flags: Column, font: Column) -> Column:
-    return F.coalesce((flags.bitwiseAND(16) != 0), F.lit(False)) | F.coalesce(font.rlike(r"(?i)bold|black|heavy"), F.lit(False))
+    return F.coalesce((flags.bitwiseAND(16) != 0), F.lit(False)) | F.coalesce(font.rlike(r"(?i)bold|black|heavy|demi"), F.lit(False))
 
 
 def is_prose(text: Column) -> Column:
