@@ -16,4 +16,4 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLES)))
 def test_query_runs(spark, name):
-    assert len(q.QUERIES[name](spark, DATA).columns) > 0
+    assert q.QUERIES[name](spark, DATA).count() > 0
