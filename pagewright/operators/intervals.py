@@ -64,9 +64,10 @@ def islands(df: DataFrame, entity: list[str], start: str, end: str, join: int =
 
     Intervals [start, end] are whole numbers, both ends included; two belong to one island when the
     later starts at most ``join`` after the greatest end so far. Rows with a null bound or an end before the
-    start are dropped; a null in ``entity`` is an entity of its own. An empty table gives no row. The range sort has as
-    many partitions as the data fill.
+    start are dropped; a null in ``entity`` is an entity of its own; repeated rows count as one interval each. An empty table gives no
+    row. Columns of ``df`` that are named like those added are replaced. The range sort has as many partitions as the data fill.
     """
+    df = df.drop("_entity", "_s", "_e", "_own", "prev_end", "prev_owned", "island_start")
     own = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(entity)]))
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
     rows = rows.withColumns({"_entity": own, "_s": F.col(start).cast("long"), "_e": F.col(end).cast("long"), "_own": F.col(owner).isNotNull() if owner else F.lit(True)})

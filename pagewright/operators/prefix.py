@@ -17,9 +17,10 @@ def running_sum(df: DataFrame, order: list[str], weight: str, name: str = "runni
     """``df`` with ``name``: the sum of ``weight`` (null as 0) over all rows up to and with this one in ``order``; ``more`` names further pairs.
 
     The rows are range-partitioned (small data in few partitions) and sorted; only one row of sums a partition goes to the driver.
-    ``order`` must be unique for a defined result. An empty table stays empty.
+    ``order`` must be unique for a defined result. An empty table stays empty; columns of ``df`` named like those added are replaced.
     """
     sums = {weight: name} | (more or {})
+    df = df.drop(*[n for n in sums.values() if n not in order and n not in sums])
     rows = reliable(df.withColumns({f"_w_{n}": F.coalesce(F.col(w).cast("double"), F.lit(0.0)) for w, n in sums.items()}).repartitionByRange(*order).sortWithinPartitions(*order))
     found = rows.groupBy(F.spark_partition_id().alias("pid")).agg(*[F.sum(f"_w_{n}").alias(n) for n in sums.values()]).orderBy("pid").collect()
     before, at = {}, dict.fromkeys(sums.values(), 0.0)
@@ -41,6 +42,7 @@ def running_sum(df: DataFrame, order: list[str], weight: str, name: str = "runni
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "number") -> DataFrame:
     """``df`` with ``name``: the row's number from 1 within ``keys`` by ``order``, where one key may hold any part of the rows."""
+    df = df.drop("_upto", "_start", *[c for c in [name] if c not in keys and c not in order])
     run = running_sum(df.withColumn("_one", F.lit(1)), [*keys, *order], "_one", "_upto").drop("_one")
     if not keys:
         return run.withColumn(name, F.col("_upto").cast("long")).drop("_upto")

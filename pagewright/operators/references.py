@@ -30,7 +30,8 @@ def orphans(refs: DataFrame, there: DataFrame, keys: list[str], at: str) -> Data
 
 
 def orphan_rows(refs: DataFrame, there: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The rows of ``refs`` with a column ``orphan``: the anti-join's keys joined back; null references are dropped."""
+    """The rows of ``refs`` with a column ``orphan`` (one of that name is replaced): the anti-join's keys joined back; null references are dropped."""
+    refs = refs.drop("orphan")
     lost = orphans(refs, there, keys, at).withColumn("orphan", F.lit(True))
     kept = refs.where(" and ".join(f"`{k}` is not null" for k in [*keys, at]))
     return kept.join(lost, [*keys, at], "left").withColumn("orphan", F.coalesce("orphan", F.lit(False)))

@@ -38,6 +38,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """
     hot = [] if rows is not None and rows <= hot_rows else hot_keys((left if keys_from is None else keys_from).where(" and ".join(f"`{k}` is not null" for k in keys)), keys, hot_share, hot_rows)
     on = list(keys)
+    left, right = (df.drop("_salt", "_salts", *[f"_h{i}" for i in range(len(keys))]) for df in (left, right))
     if hot:
         fields = [left.schema[k] for k in keys]
         schema = T.StructType([T.StructField(f"_h{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField("_salts", T.LongType())])
