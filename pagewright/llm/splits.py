@@ -98,7 +98,7 @@ def assign_splits(weights: DataFrame, targets: list[tuple[str, float]]) -> DataF
     if not whole:
         return weights.withColumn("split", F.lit(None).cast("string"))
     size = F.when(F.col("weight") >= 1, F.floor(F.log2("weight"))).otherwise(-1)
-    laid = running_sum(weights.withColumns({"_size": size.cast("int"), "_h": F.xxhash64("group")}), ["_size", "_h", "group"], "weight")
+    laid = running_sum(weights.select("group", "weight").withColumns({"_size": size.cast("int"), "_h": F.xxhash64("group")}), ["_size", "_h", "group"], "weight")
     laid = reliable(laid.withColumn("_middle", F.col("running") - F.col("weight") / 2))
     classes = {r["_size"]: (float(r.w), float(r.upto)) for r in laid.groupBy("_size").agg(F.sum("weight").alias("w"), F.max("running").alias("upto")).collect()}
     total = sum(w for w, _ in classes.values())
