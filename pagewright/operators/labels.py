@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as geo
 from pagewright.operators.prefix import numbered
-from pagewright.operators.sampling import hash_order
+from pagewright.operators.sampling import hash_order, systematic
 
 #: Thinnest box, tallest share of a sheet, and the thinnest shared part that is more than a touch (points).
 THIN, TALL, TOUCH = 6.0, 0.7, 6.0
@@ -209,3 +209,27 @@ def band_owner(icons: DataFrame, bands: DataFrame, above: float = 24.0, below: f
     size = F.greatest(F.lit(1.0), (F.col("top") - F.col("bottom")) * (F.col("x1") - F.col("x0")))
     return near.groupBy(*KEYS, "id").agg(F.min_by("owner", F.struct(size, F.col("ord"))).alias("owner"))
 
+
+
+def subset(images: DataFrame, annotations: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Every k-th image by id, at most ``n`` of one split, and their annotations."""
+    few = systematic(images, "id", n)
+    return few, annotations.join(few.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+
+
+def split_faults(splits: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, fault) of a stored split (book_id, split, template) against the catalogue (book_id, template): unknown or missing books, several splits, another template."""
+    s, b = splits.groupBy("book_id").agg(F.countDistinct("split").alias("_n"), F.max("template").alias("_was")), books.select("book_id", F.col("template").alias("_now"), F.lit(True).alias("_b")).distinct()
+    j = s.join(b, "book_id", "full")
+    faults = F.array_compact(F.array(F.when(F.col("_b").isNull(), "unknown book"), F.when(F.col("_n").isNull(), "without split"), F.when(F.col("_n") > 1, "in several splits"), F.when(F.col("_was") != F.col("_now"), "template changed")))
+    return j.select("book_id", F.explode(faults).alias("fault"))
+
+
+def visible(stroke: Column, fill: Column) -> Column:
+    """Whether a drawing can be seen: it is stroked, or filled with anything but white; colours are arrays of 0..1, null where there is none."""
+    return stroke.isNotNull() | F.coalesce((F.size(fill) > 0) & ~F.forall(fill, lambda v: v >= 0.999), F.lit(False))
+
+
+def is_aside(rotated: Column, size: Column, body: Column) -> Column:
+    """Whether a line stands beside the text: turned, or in print under nine tenths of the body."""
+    return F.coalesce(rotated, F.lit(False)) | F.coalesce(size < 0.9 * body, F.lit(False))

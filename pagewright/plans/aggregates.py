@@ -84,13 +84,15 @@ def weighted_modal_size(spark, d) -> DataFrame:
 
 @query("""WITH m AS (SELECT book_id, font, round(size, 1) AS size, span_id FROM spans WHERE regexp_matches(trim(text, ' '), '^[(]?([0-9]{1,3}|[a-zçğıöşü])[.)]$') AND size IS NOT NULL),
 s AS (SELECT book_id, size FROM (SELECT book_id, size, row_number() OVER (PARTITION BY book_id ORDER BY count(*) DESC, size) AS k FROM m GROUP BY 1, 2) WHERE k = 1)
-SELECT s.book_id, s.size AS marker_size, (SELECT list_sort(list(DISTINCT font)) FROM m WHERE m.book_id = s.book_id AND font IS NOT NULL) AS fonts FROM s""")
+SELECT s.book_id, s.size AS marker_size, (SELECT list_sort(list(DISTINCT font)) FROM m WHERE m.book_id = s.book_id AND font IS NOT NULL) AS fonts,
+  (SELECT list_sort(list(DISTINCT coalesce(font, '') || '|' || size)) FROM m WHERE m.book_id = s.book_id) AS styles FROM s""")
 def marker_calibration(spark, d) -> DataFrame:
-    """Modal marker size of a book (smaller on a tie) and the fonts of its markers, sorted."""
+    """Modal marker size of a book (smaller on a tie), the fonts of its markers and their styles (font and size), sorted."""
     m = table(spark, d, "spans").where(F.trim("text").rlike("^[(]?([0-9]{1,3}|[a-zçğıöşü])[.)]$") & F.col("size").isNotNull()).select("book_id", "font", F.round("size", 1).alias("size"))
     sizes = m.groupBy("book_id", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("book_id").agg(F.max(F.struct("n", -F.col("size"), "size")).alias("v"))
-    fonts = m.groupBy("book_id").agg(F.sort_array(F.collect_set("font")).alias("fonts"))  # a book has few fonts
-    return sizes.join(fonts, "book_id").select("book_id", F.col("v.size").alias("marker_size"), "fonts")
+    style = F.concat(F.coalesce("font", F.lit("")), F.lit("|"), F.col("size").cast("string"))
+    fonts = m.groupBy("book_id").agg(F.sort_array(F.collect_set("font")).alias("fonts"), F.sort_array(F.collect_set(style)).alias("styles"))  # a book has few fonts
+    return sizes.join(fonts, "book_id").select("book_id", F.col("v.size").alias("marker_size"), "fonts", "styles")
 
 
 def _faulty(spark, d) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions import text as tx
+from pagewright.functions import geometry as geo
 from pagewright.operators import labels, scoring, tally, views
 from pagewright.plans import aggregates, joins
 from pagewright.session import reliable, table
@@ -253,3 +253,28 @@ def baseline_comparison(spark, d) -> DataFrame:
     first = j.where("run_no = a").groupBy("book_id").agg(F.max("regions").alias("regions"))
     last = j.where("run_no = b and b > a").groupBy("book_id").agg(F.max("regions").alias("regions"))
     return scoring.compared(last, first, ["book_id"], ["regions"])
+
+
+@query(f"""{ORACLES['judge_pages'].replace(f'SELECT {_ALL}, (sliver = 0 AND overlap_major = 0 AND miss = 0) AS passes FROM j', '')}, v AS (SELECT *, (sliver = 0 AND overlap_major = 0 AND miss = 0) AS passes FROM j)
+SELECT book_id, count(*) AS pages, count(*) FILTER (WHERE passes) AS trusted, count(*) FILTER (WHERE NOT passes) AS re_ask, count(*) FILTER (WHERE passes AND boxes = 0) AS empty, count(*) FILTER (WHERE icons > 0) AS manifest_pages,
+  count(*) FILTER (WHERE icons > 0 AND passes) AS manifest_trusted, sum(boxes)::BIGINT AS boxes, sum(miss)::BIGINT AS miss FROM v GROUP BY ROLLUP (book_id)""")
+def qa_summary(spark, d) -> DataFrame:
+    """Judged sheets per book and in total."""
+    v = _judged(spark, d).withColumn("verdict", F.when(F.col("passes"), "trusted").otherwise("re-ask"))
+    return labels.summary(v).select("book_id", "pages", "trusted", "re_ask", "empty", "manifest_pages", "manifest_trusted", "boxes", "miss")
+
+
+@query(f"""WITH {views.SQL}, i AS (SELECT DISTINCT i.item_key, i.rect AS ri, a.activity_key, a.rect AS ra, a.book_id, a.page FROM item i JOIN act a USING (activity_key) WHERE i.rect IS NOT NULL), s AS (SELECT span_id, book_id, page, bbox FROM spans WHERE bbox IS NOT NULL),
+h AS (SELECT item_key, activity_key, span_id, coalesce({_IN.format(a='ri', b='bbox')} >= 0.5 * nullif({_AREA.format(b='bbox')}, 0), false) AS by_item, coalesce({_IN.format(a='ra', b='bbox')} >= 0.5 * nullif({_AREA.format(b='bbox')}, 0), false) AS by_region FROM i JOIN s USING (book_id, page))
+SELECT item_key, activity_key, round(CASE WHEN count(*) FILTER (WHERE by_item OR by_region) = 0 THEN 1 ELSE count(*) FILTER (WHERE by_item AND by_region) / count(*) FILTER (WHERE by_item OR by_region) END, 6) AS jaccard FROM h GROUP BY 1, 2""")
+def held_lines_jaccard(spark, d) -> DataFrame:
+    """How much of the lines that an item's or its region's box holds (half of a line or more) both hold; 1 where neither holds any."""
+    act = views.activities(spark, d).select("activity_key", "book_id", "page", F.col("rect").alias("ra"))
+    i = table(spark, d, "item").where("rect is not null").select("item_key", "activity_key", F.col("rect").alias("ri")).distinct().join(act, "activity_key")
+    b = F.col("bbox")
+    s = table(spark, d, "spans").where("bbox is not null").select("span_id", "book_id", "page", "bbox")
+    half = 0.5 * F.nullif((b["x1"] - b["x0"]) * (b["y1"] - b["y0"]), F.lit(0.0))
+    own, whole = (F.coalesce(geo.overlap(F.col(c), b) >= half, F.lit(False)) for c in ("ri", "ra"))
+    n = i.join(s, ["book_id", "page"]).groupBy("item_key", "activity_key", "ri", "ra").agg(F.count_if(own & whole).alias("both"), F.count_if(own | whole).alias("any"))
+    n = n.groupBy("item_key", "activity_key").agg(F.sum("both").alias("both"), F.sum("any").alias("any"))
+    return n.select("item_key", "activity_key", F.round(F.when(F.col("any") == 0, F.lit(1.0)).otherwise(F.col("both") / F.col("any")), 6).alias("jaccard"))

@@ -73,17 +73,24 @@ def recents_top8(spark, d) -> DataFrame:
 a AS (SELECT 'book in several splits' AS rule, count(*) AS n FROM (SELECT book_id FROM s GROUP BY 1 HAVING count(*) > 1)),
 b AS (SELECT 'item without region' AS rule, count(*) AS n FROM item WHERE activity_key IS NOT NULL AND activity_key NOT IN (SELECT activity_key FROM activity WHERE activity_key IS NOT NULL)),
 c AS (SELECT 'inverted rectangle' AS rule, count(*) AS n FROM activity WHERE rect.x1 <= rect.x0 OR rect.y1 <= rect.y0), e AS (SELECT 'repeated key' AS rule, count(*) AS n FROM (SELECT activity_key FROM activity GROUP BY 1 HAVING count(*) > 1))
-SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM e""")
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM e
+UNION ALL SELECT 'region of no sheet', count(*) FROM activity a WHERE NOT EXISTS (SELECT 1 FROM sheets s WHERE s.book_id = a.book_id AND s.page = a.page)
+UNION ALL SELECT 'region outside its sheet', count(*) FROM activity a WHERE EXISTS (SELECT 1 FROM sheets s WHERE s.book_id = a.book_id AND s.page = a.page AND (a.rect.x0 < -2 OR a.rect.y0 < -2 OR a.rect.x1 > s.width + 2 OR a.rect.y1 > s.height + 2))
+UNION ALL SELECT 'region under two points', count(*) FROM activity WHERE rect.x1 - rect.x0 <= 2 OR rect.y1 - rect.y0 <= 2""")
 def dataset_constraints(spark, d) -> DataFrame:
     """How often each constraint of the labelled data is broken."""
     def counted(rule: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
 
-    act, items = table(spark, d, "activity"), table(spark, d, "item")
+    act, items, sheets = table(spark, d, "activity"), table(spark, d, "item"), table(spark, d, "sheets").select("book_id", "page", "width", "height").distinct()
+    out = act.join(sheets, ["book_id", "page"]).where("rect.x0 < -2 or rect.y0 < -2 or rect.x1 > width + 2 or rect.y1 > height + 2").select("book_id", "page", "activity_key")
     splits = table(spark, d, "book_score").where("split is not null").select("book_id", F.lower(F.trim("split")).alias("split")).distinct()
     return (counted("book in several splits", splits.groupBy("book_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
             .unionByName(counted("item without region", items.where("activity_key is not null").join(act.select("activity_key"), "activity_key", "left_anti")))
             .unionByName(counted("inverted rectangle", act.where("rect.x1 <= rect.x0 or rect.y1 <= rect.y0")))
+            .unionByName(counted("region of no sheet", act.join(sheets, ["book_id", "page"], "left_anti")))
+            .unionByName(counted("region outside its sheet", act.join(out, ["book_id", "page", "activity_key"], "left_semi")))
+            .unionByName(counted("region under two points", act.where("rect.x1 - rect.x0 <= 2 or rect.y1 - rect.y0 <= 2")))
             .unionByName(counted("repeated key", act.groupBy("activity_key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))))
 
 

@@ -114,3 +114,16 @@ def test_first_claim_rows_marks_and_guards(spark):
     good, bad = scoring.baked_scores(docs, spark.createDataFrame([("a", "1"), ("b", "2")], "book_id string, fingerprint string"))
     assert [r.book_id for r in good.collect()] == ["a"] and {r.book_id: r.why for r in bad.collect()} == {"b": "diagnostics are stale", "c": "no diagnostics"}
     assert scoring.evaluation(spark.createDataFrame([], "book_id string, pages int, regions int, oges int, matched int, panels_cut int, solutions_cut int, overlaps int, tall int, slivers int, pages_with_regions int, loss double")).first().loss == float("inf")
+
+
+def test_subsets_splits_and_small_predicates(spark):
+    im = spark.createDataFrame([(i,) for i in range(20)], "id long")
+    few, notes = labels.subset(im, spark.createDataFrame([(i, i % 20) for i in range(60)], "id long, image_id long"), 4)
+    assert sorted(r.id for r in few.collect()) == [0, 5, 10, 15] and {r.image_id for r in notes.collect()} == {0, 5, 10, 15} and notes.count() == 12
+    s = spark.createDataFrame([("a", "train", "t"), ("a", "test", "t"), ("x", "train", "t"), ("b", "train", "u")], "book_id string, split string, template string")
+    f = labels.split_faults(s, spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "t")], "book_id string, template string"))
+    assert {(r.book_id, r.fault) for r in f.collect()} == {("a", "in several splits"), ("x", "unknown book"), ("b", "template changed"), ("c", "without split")}
+    v = spark.createDataFrame([([0.0], None), (None, [1.0, 1.0, 1.0]), (None, [1.0, 0.5, 1.0]), (None, None)], "s array<double>, f array<double>").select(labels.visible(F.col("s"), F.col("f")).alias("v"))
+    assert [r.v for r in v.collect()] == [True, False, True, False]
+    a = spark.createDataFrame([(True, 10.0), (False, 8.0), (False, 9.5), (None, None)], "r boolean, s double").select(labels.is_aside(F.col("r"), F.col("s"), F.lit(10.0)).alias("a"))
+    assert [r.a for r in a.collect()] == [True, True, False, False]
