@@ -110,13 +110,16 @@ _BAD = """bad AS (SELECT region_ord FROM rg WHERE rect.y1 - rect.y0 > 0.7 * heig
   WHERE greatest(least(a.rect.x1, b.rect.x1) - greatest(a.rect.x0, b.rect.x0), 0) * greatest(least(a.rect.y1, b.rect.y1) - greatest(a.rect.y0, b.rect.y0), 0) > 1)"""
 
 
-@query(f"""{joins._GREEDY}, {_BAD},
+_FILED = f"""{joins._GREEDY}, {_BAD},
 ent AS (SELECT es.*, (SELECT min(page) FROM fs WHERE fs.book_id = es.book_id AND fs.printed = es.printed) AS page FROM es),
 gate AS (SELECT book_id, page, entry_ord, CASE WHEN count(*) FILTER (WHERE reason IS NULL) > 0 THEN 'contested'
   ELSE arg_min(reason, CASE reason WHEN 'no-position' THEN 1 WHEN 'confidence-gated' THEN 2 WHEN 'label-mismatch' THEN 3 WHEN 'drift' THEN 4 ELSE 5 END) END AS gate FROM pr GROUP BY 1, 2, 3),
-b AS (SELECT ent.entry_ord, CASE WHEN ent.page IS NULL THEN 'unresolved-page' WHEN l.region_ord IS NOT NULL AND l.region_ord IN (FROM bad) THEN 'rule-violation' WHEN l.region_ord IS NOT NULL THEN 'ok'
+b AS (SELECT ent.book_id, ent.entry_ord, CASE WHEN ent.page IS NULL THEN 'unresolved-page' WHEN l.region_ord IS NOT NULL AND l.region_ord IN (FROM bad) THEN 'rule-violation' WHEN l.region_ord IS NOT NULL THEN 'ok'
     WHEN NOT EXISTS (SELECT 1 FROM rg WHERE rg.book_id = ent.book_id AND rg.page = ent.page) THEN 'page-blank' WHEN posx = 0 AND posy = 0 THEN 'anchor-excluded' ELSE coalesce(gate, 'page-blank') END AS bucket
-  FROM ent LEFT JOIN links l ON l.book_id = ent.book_id AND l.page = ent.page AND l.entry_ord = ent.entry_ord LEFT JOIN gate g ON g.book_id = ent.book_id AND g.page = ent.page AND g.entry_ord = ent.entry_ord)
+  FROM ent LEFT JOIN links l ON l.book_id = ent.book_id AND l.page = ent.page AND l.entry_ord = ent.entry_ord LEFT JOIN gate g ON g.book_id = ent.book_id AND g.page = ent.page AND g.entry_ord = ent.entry_ord)"""
+
+
+@query(f"""{_FILED}
 SELECT n.bucket, count(b.entry_ord) AS n FROM (SELECT unnest(['ok', 'rule-violation', 'page-blank', 'anchor-excluded', 'anchor-nogrow', 'contested', 'no-position', 'confidence-gated', 'label-mismatch', 'drift', 'wrong-side', 'page-not-read', 'unresolved-page']) AS bucket) n
 LEFT JOIN b USING (bucket) GROUP BY 1""")
 def bucket_histogram(spark, d) -> DataFrame:

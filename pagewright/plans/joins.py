@@ -319,7 +319,13 @@ def agreement_boxes(spark, d) -> DataFrame:
     return matching.mutual_matches(a.drop("score"), b, ["label", "page"], 0.3).select("label", "page", "n_a", "n_b")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BOX}, a AS (SELECT label, page // 2 AS page, ord, x0, y0, row_number() OVER (PARTITION BY label, page // 2 ORDER BY ord) AS i FROM bx WHERE ord % 2 = 1), b AS (SELECT label, page // 2 AS page, ord, x0, y0, row_number() OVER (PARTITION BY label, page // 2 ORDER BY ord) AS j FROM bx WHERE ord % 2 = 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY label, page ORDER BY v DESC, i DESC, j DESC) AS k FROM (SELECT a.label, a.page, i, j, {_SHARED} / (3200 - {_SHARED}) AS v FROM a JOIN b ON a.label = b.label AND a.page = b.page) WHERE v >= 0.3),
+pg AS (SELECT label, page FROM a UNION SELECT label, page FROM b),
+step AS (SELECT label, page, 0::BIGINT AS k, []::BIGINT[] AS l, []::BIGINT[] AS r FROM pg UNION ALL SELECT s.label, s.page, c.k, CASE WHEN ok THEN list_append(l, i) ELSE l END, CASE WHEN ok THEN list_append(r, j) ELSE r END
+  FROM step s JOIN c ON c.label = s.label AND c.page = s.page AND c.k = s.k + 1, LATERAL (SELECT NOT list_contains(s.l, c.i) AND NOT list_contains(s.r, c.j) AS ok)),
+m AS (SELECT label, page, max(len(l)) AS matches FROM step GROUP BY 1, 2), n AS (SELECT pg.label, pg.page, (SELECT count(*) FROM a WHERE a.label = pg.label AND a.page = pg.page) AS n_a, (SELECT count(*) FROM b WHERE b.label = pg.label AND b.page = pg.page) AS n_b FROM pg)
+SELECT label, page, n_a, n_b, matches, 2 * matches / (n_a + n_b) AS agreement FROM n JOIN m USING (label, page)""")
 def agreement_mutual(spark, d) -> DataFrame:
     """Symmetric matching of two labellers' boxes, best pair first."""
     a, b = _halves(spark, d)

@@ -85,7 +85,9 @@ def _tallies(spark, d) -> DataFrame:
     return scoring.page_tallies(views.sheets(spark, d), regions, boxes.withColumn("anchored", F.lit(False)), _blocks(spark, d), entries)
 
 
-@query()
+@query(f"""WITH t AS ({ORACLES['tally_counters']}), f AS ({aggregates._FILED} SELECT book_id, count(*) AS oges, count(*) FILTER (WHERE bucket = 'ok') AS matched FROM b GROUP BY 1)
+SELECT t.book_id, pages, regions, coalesce(oges, 0) AS oges, coalesce(matched, 0) AS matched, round(matched / nullif(oges, 0), 3) AS match_rate, coalesce(round(1 - pages_with_regions / nullif(pages, 0), 3), 0) AS blank_page_share,
+  coalesce(round(empty_regions / nullif(regions, 0), 3), 0) AS empty_region_share, markers - markers_in_region AS markers_outside, round(solutions_covered / nullif(solutions_total, 0), 3) AS solution_coverage FROM t LEFT JOIN f USING (book_id)""")
 def score_rows(spark, d) -> DataFrame:
     """The row of each book: shares of its counters and its entries by bucket."""
     filed = aggregates._filed(spark, d).select("book_id", "entry_ord", "bucket")

@@ -56,7 +56,7 @@ def label_run_check(spark, d) -> DataFrame:
 
 
 #: (kind, value) of a region's label in SQL: bare or with stops and brackets around it; Turkish letters stand half a step after their own.
-_LABELS = """lt AS (SELECT *, regexp_replace(lower(replace(replace(label, 'İ', 'i'), 'I', 'ı')), '^[\\s.:()]+|[\\s.:()]+$', '', 'g') AS bare, regexp_extract(lower(trim(label)), '^(\\d{1,2})\\. ?(?:adım|step)(?:[^a-zçğıöşü0-9_]|$)', 1) AS step FROM act),
+_LABELS = """lt AS (SELECT * EXCLUDE (kind), regexp_replace(lower(replace(replace(label, 'İ', 'i'), 'I', 'ı')), '^[\\s.:()]+|[\\s.:()]+$', '', 'g') AS bare, regexp_extract(lower(trim(label)), '^(\\d{1,2})\\. ?(?:adım|step)(?:[^a-zçğıöşü0-9_]|$)', 1) AS step FROM act),
 lv AS (SELECT *, CASE WHEN regexp_matches(bare, '^0*[1-9][0-9]{0,2}$') THEN 'digit' WHEN regexp_matches(bare, '^[a-zçğıöşü]$') THEN 'letter' WHEN step <> '' AND step::INT >= 1 THEN 'step' END AS kind,
   CASE WHEN regexp_matches(bare, '^0*[1-9][0-9]{0,2}$') THEN bare::DOUBLE WHEN regexp_matches(bare, '^[a-z]$') THEN (ascii(bare) - 96)::DOUBLE
     WHEN bare IN ('ç', 'ğ', 'ı', 'ö', 'ş', 'ü') THEN map {'ç': 3.5, 'ğ': 7.5, 'ı': 8.5, 'ö': 15.5, 'ş': 19.5, 'ü': 21.5}[bare]::DOUBLE WHEN step <> '' AND step::INT >= 1 THEN step::DOUBLE END AS value FROM lt)"""
@@ -82,7 +82,16 @@ def confidence_runs(spark, d) -> DataFrame:
         F.when(F.col("has_run"), "strong").when(F.col("_own"), "weak").otherwise("none").alias("confidence"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {views.SQL}, {_LABELS}, k AS (SELECT *, row_number() OVER (PARTITION BY book_id, page, col_no, kind ORDER BY -rect.y1, rect.x0, activity_key) AS k FROM lv WHERE label IS NOT NULL),
+st AS (SELECT book_id, page, col_no, kind, 0::BIGINT AS k, []::STRUCT(v DOUBLE, s DOUBLE, z BIGINT)[] AS run FROM (SELECT DISTINCT book_id, page, col_no, kind FROM k WHERE kind IS NOT NULL)
+  UNION ALL SELECT st.book_id, st.page, st.col_no, st.kind, k.k, list_append(run, (SELECT struct_pack(v := k.value, s := CASE WHEN coalesce(list_max(c), 0) > 1 THEN list_max(c) ELSE 1.0 END, z := CASE WHEN coalesce(list_max(c), 0) > 1 THEN run[list_position(c, list_max(c))].z + 1 ELSE 1 END)
+      FROM (SELECT list_transform(run, lambda r: CASE WHEN r.v < k.value THEN r.s + 1 - 0.01 * greatest(k.value - r.v - 1, 0) WHEN k.value = 1 THEN r.s + 1 ELSE -1000 END) AS c)))
+  FROM st JOIN k ON k.book_id = st.book_id AND k.page = st.page AND k.col_no IS NOT DISTINCT FROM st.col_no AND k.kind = st.kind AND k.k = st.k + 1),
+fin AS (SELECT book_id, page, col_no, kind, arg_max(run, k) AS run FROM st GROUP BY ALL), top AS (SELECT *, list_max(list_transform(run, lambda r: r.s)) AS s FROM fin), at AS (SELECT *, run[list_position(list_transform(run, lambda r: r.s), s)] AS r FROM top),
+b AS (SELECT book_id, page, col_no, kind, CASE WHEN s < 2 AND kind = 'letter' AND r.v <> 1 THEN 0 ELSE s END AS score, CASE WHEN s < 2 AND kind = 'letter' AND r.v <> 1 THEN 0 ELSE r.z END AS n FROM at),
+g AS (SELECT DISTINCT book_id, page, col_no FROM k)
+SELECT g.book_id, g.page, g.col_no, coalesce(arg_max(n, struct_pack(a := score, b := -CASE kind WHEN 'digit' THEN 1 WHEN 'letter' THEN 2 ELSE 3 END)), 0) AS n, coalesce(max(score), 0) AS score, coalesce(sum(n), 0)::BIGINT AS n_kept
+FROM g LEFT JOIN b ON b.book_id = g.book_id AND b.page = g.page AND b.col_no IS NOT DISTINCT FROM g.col_no GROUP BY ALL""".replace(" at AS (SELECT", " en_ AS (SELECT").replace("FROM at),", "FROM en_),"))
 def dp_longest_run(spark, d) -> DataFrame:
     """Best run of labels per column of a sheet, by the dynamic programme in each kind; ``n_kept`` counts the runs of all kinds."""
     a = views.activities(spark, d).where("label is not null").select(
