@@ -108,10 +108,6 @@ def regions(spark, sf_dir: str) -> DataFrame:
         (100 * F.col("rect.x0") / F.col("width")).alias("left"), (100 * (1 - F.col("rect.y1") / F.col("height"))).alias("top"))
 
 
-def _blocks(kind: str, *parts: Column) -> Column:
-    return F.concat_ws("\x01", F.lit(kind), *[p.cast("string") for p in parts])
-
-
 def classes(rows: DataFrame, key: str) -> DataFrame:
     """Rows that only their ``key`` tells apart as one row: ``key`` is their least, n their number.
 
@@ -129,48 +125,53 @@ def _shared(rows: DataFrame, name: str, as_name: str, flag: str) -> DataFrame:
     return uses.select(F.col(name).alias(as_name), F.lit(True).alias(flag))
 
 
+#: Kinds of blocks: what the two records agree on, the first that holds.
+LABEL, NAME, PLACE, REST = range(4)
+
+
 def candidates(e: DataFrame, r: DataFrame) -> DataFrame:
     """(e, r, n_e, n_r, pattern...) of pairs of classes that agree on a page and on label, name or place, or that nothing else tells apart.
 
-    Blocks are equi-joined on (book, page, attribute), hot ones salted. Labels that differ exclude a pair. The pattern is what
-    the two records show per attribute (the values of ``WEIGHTS``), from the page that speaks most for the pair.
+    Blocks are equi-joined on 128 bits of (book, page, attribute), hot ones salted. A pair comes from the first block that both sides are in, so it
+    comes once. Labels that differ exclude a pair. The pattern is what the two records show per attribute (the values of ``WEIGHTS``).
     """
     names, heads = _shared(e, "name", "head", "is_name"), _shared(r, "head", "name", "is_head")
     e = salted_join(e, heads, ["name"], "left", rows=e.count())
     r = salted_join(r.where("page is not null"), names, ["head"], "left", rows=r.count())
-    at = F.explode(F.array_distinct(F.filter(F.array(
-        F.struct(F.col("page").alias("at"), F.lit(0).alias("near")), F.struct(F.col("title_page").alias("at"), F.lit(0).alias("near")),
-        F.when(F.col("title_page").isNull(), F.struct((F.col("page") - 1).alias("at"), F.lit(1).alias("near"))),
-        F.when(F.col("title_page").isNull(), F.struct((F.col("page") + 1).alias("at"), F.lit(1).alias("near")))),
-        lambda s: s["at"].isNotNull())))
-    own = e.withColumn("p", at).select("*", "p.at", "p.near").drop("p")
+    none, told = F.lit(None).cast("struct<at:int,shows:string>"), F.col("title_page").isNotNull()
+
+    def at(page, shows) -> Column:
+        return F.when(page.isNotNull(), F.struct(page.cast("int").alias("at"), (F.lit(shows) if isinstance(shows, str) else shows).alias("shows"))).otherwise(none)
+
+    page, title = F.col("page"), F.col("title_page")
+    ways = F.array(at(page, F.when(~told | (title == page), "same").otherwise("number_only")), F.when(~title.eqNullSafe(page), at(title, "title_only")),
+                   F.when(~told, at(page - 1, "next")), F.when(~told, at(page + 1, "next")))
+    own = e.withColumn("p", F.explode(F.array_compact(ways))).select("*", "p.at", F.col("p.shows").alias("page_shows"), (F.col("p.shows") != "next").alias("near"))
+
+    def key(kind: int, value: Column) -> Column:
+        parts = [F.col("book"), F.col("at"), F.lit(kind), value]
+        return F.struct(F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2"), F.lit(kind).alias("kind"))
+
     ybin, tbin = F.floor(F.col("y") / BIN), F.floor(F.col("top") / BIN)
-    keys_r = F.array(
-        F.when(F.col("label").isNotNull(), _blocks("label", F.col("label"))), F.when(F.col("head").isNotNull(), _blocks("name", F.col("head"))),
-        F.when(F.col("top").isNotNull(), _blocks("place", tbin)), _blocks("rest"))
-    narrow = F.col("near") == 0
     keys_e = F.array(
-        F.when(narrow & F.col("label").isNotNull(), _blocks("label", F.col("label"))), F.when(F.col("name").isNotNull(), _blocks("name", F.col("name"))),
-        *[F.when(narrow & F.col("y").isNotNull(), _blocks("place", ybin + k)) for k in (-1, 0, 1)],
-        F.when(narrow & F.col("y").isNull(), _blocks("rest")))
-    ek = own.withColumn("block", F.explode(F.array_compact(keys_e)))
-    side = r.select("book", F.col("page").alias("at"), F.explode(F.array_compact(keys_r)).alias("block"), "r", F.col("n").alias("n_r"), F.col("label").alias("r_label"), "head", "is_name", "left", "top")
-    pairs = salted_join(written(ek), side, ["book", "at", "block"])
-    pairs = pairs.where(F.col("label").isNull() | F.col("r_label").isNull() | (F.col("label") == F.col("r_label")))
+        F.when(F.col("near") & F.col("label").isNotNull(), key(LABEL, F.col("label"))), F.when(F.col("name").isNotNull(), key(NAME, F.col("name"))),
+        *[F.when(F.col("near") & F.col("y").isNotNull(), key(PLACE, ybin + k)) for k in (-1, 0, 1)], F.when(F.col("near") & F.col("y").isNull(), key(REST, F.lit(0))))
+    says = F.when(F.col("label").isNull() & F.col("is_head").isNull(), "nothing").otherwise("something")
+    ek = own.select("e", F.col("n").alias("n_e"), F.explode(F.array_compact(keys_e)).alias("k"), F.col("page_shows").alias("page"), says.alias("says"), "near", "label", "name", "x", "y").select("*", "k.*").drop("k")
+    keys_r = F.array(F.when(F.col("label").isNotNull(), key(LABEL, F.col("label"))), F.when(F.col("head").isNotNull(), key(NAME, F.col("head"))), F.when(F.col("top").isNotNull(), key(PLACE, tbin)), key(REST, F.lit(0)))
+    side = r.withColumnRenamed("page", "at").select("r", F.col("n").alias("n_r"), F.explode(F.array_compact(keys_r)).alias("k"), F.col("label").alias("r_label"), "head", "is_name", "left", "top").select("*", "k.k1", "k.k2").drop("k")
+    pairs = salted_join(written(ek), side, ["k1", "k2"])
+    same_label, same_name = F.coalesce(F.col("label") == F.col("r_label"), F.lit(False)), F.coalesce(F.col("name") == F.col("head"), F.lit(False))
+    by_label = same_label & F.col("near")
+    first = F.when(by_label, LABEL).when(same_name, NAME).otherwise(F.col("kind"))
+    pairs = pairs.where((F.col("kind") == first) & (F.col("label").isNull() | F.col("r_label").isNull() | same_label))
     dx, dy = F.col("left") - F.col("x"), F.col("y") - F.col("top")
-    told = F.col("title_page").isNotNull()
-    page = (F.when(F.col("near") == 1, "next").when(~told | (F.col("title_page") == F.col("page")), "same")
-            .when(F.col("at") == F.col("title_page"), "title_only").otherwise("number_only"))
-    order = F.array_position(F.lit(["same", "title_only", "number_only", "next"]), page)
     shown = {
-        "label": F.when(F.col("label") == F.col("r_label"), "same").otherwise("unknown"),
-        "name": F.when(F.col("name") == F.col("head"), "same").when(F.col("name").isNotNull() & F.col("is_name"), "other").otherwise("unknown"),
-        "says": F.when(F.col("label").isNull() & F.col("is_head").isNull(), "nothing").otherwise("something"),
+        "label": F.when(same_label, "same").otherwise("unknown"),
+        "name": F.when(same_name, "same").when(F.col("name").isNotNull() & F.col("is_name"), "other").otherwise("unknown"),
         "place": F.when(F.col("x").isNull() | F.col("left").isNull() | F.col("top").isNull(), "unknown").when(dx.between(*LEFT) & dy.between(*DOWN), "close").otherwise("far"),
     }
-    seen = pairs.select("e", "r", F.col("n").alias("n_e"), "n_r", order.alias("order"), page.alias("page"), *[c.alias(k) for k, c in shown.items()])
-    best = seen.groupBy("e", "r").agg(F.min_by(F.struct("page", *shown), "order").alias("p"), F.max("n_e").alias("n_e"), F.max("n_r").alias("n_r"))
-    return best.select("e", "r", "n_e", "n_r", "p.*")
+    return pairs.select("e", "r", "n_e", "n_r", "page", "says", *[c.alias(k) for k, c in shown.items()])
 
 
 def weighed(pairs: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS) -> DataFrame:
@@ -219,10 +220,15 @@ def one_to_one(rows: DataFrame, least: float = 0.5) -> DataFrame:
 
 def p1_matches(spark, sf_dir: str) -> DataFrame:
     """(oge_id, activity_key, confidence): one row a matched pair."""
-    e, r = written(classes(entries(spark, sf_dir), "e")), written(classes(regions(spark, sf_dir), "r"))
-    found = one_to_one(marginals(weighed(candidates(e, r))))
-    release(e, r)
-    return found.select(F.col("e").alias("oge_id"), F.col("r").alias("activity_key"), "confidence")
+    e, r = written(_numbered(classes(entries(spark, sf_dir), "e"), "e")), written(_numbered(classes(regions(spark, sf_dir), "r"), "r"))
+    found = written(one_to_one(marginals(weighed(candidates(e.drop("e").withColumnRenamed("e_no", "e"), r.drop("r").withColumnRenamed("r_no", "r"))))))
+    found = found.select(F.col("e").alias("e_no"), F.col("r").alias("r_no"), "confidence").join(e.select("e_no", F.col("e").alias("oge_id")), "e_no")
+    return found.join(r.select("r_no", F.col("r").alias("activity_key")), "r_no").select("oge_id", "activity_key", "confidence")
+
+
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with a number for their key, which the messages carry in its place; the table that is written keeps it."""
+    return rows.withColumn(f"{key}_no", F.monotonically_increasing_id())
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
