@@ -30,15 +30,18 @@ def orphans(refs: DataFrame, there: DataFrame, keys: list[str], at: str) -> Data
 
 
 def orphan_rows(refs: DataFrame, there: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The rows of ``refs`` with a column ``orphan`` (one of that name is replaced): the anti-join's keys joined back; null references are dropped."""
+    """The rows of ``refs`` with a column ``orphan`` (one of that name is replaced): the anti-join's keys joined back; null references are dropped.
+
+    A reference without a time cannot be judged: it stays, as none.
+    """
     refs = refs.drop("orphan")
     lost = orphans(refs, there, keys, at).withColumn("orphan", F.lit(True))
-    kept = refs.where(" and ".join(f"`{k}` is not null" for k in [*keys, at]))
+    kept = refs.where(" and ".join(f"`{k}` is not null" for k in keys))
     return kept.join(lost, [*keys, at], "left").withColumn("orphan", F.coalesce("orphan", F.lit(False)))
 
 
 def counts_by_period(rows: DataFrame, at: str) -> DataFrame:
-    """References and orphans per referring table, field and month of the referring row."""
+    """References and orphans per referring table, field and month of the referring row; those without a time have a null month."""
     return rows.groupBy("ref_table", "ref_field", month(at).alias("period")).agg(
         F.count(F.lit(1)).alias("n_refs"), F.count_if("orphan").alias("n_orphans"))
 

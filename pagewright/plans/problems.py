@@ -19,10 +19,10 @@ raw AS (
 refs AS (SELECT v.ref_table, v.ref_id, v.kid, v.sayfano, f.t FROM
   (SELECT ref_table, i, kid, sayfano, min(ref_id) AS ref_id FROM raw GROUP BY ref_table, i, kid, sayfano) v
   JOIN (SELECT ref_table, i, min(t) AS t FROM raw GROUP BY ref_table, i) f USING (ref_table, i)),
-bk AS (SELECT *, NOT EXISTS (SELECT 1 FROM kb WHERE kb.kid = refs.kid AND kb.came <= refs.t AND kb.gone > refs.t) AS orphan FROM refs WHERE kid IS NOT NULL),
+bk AS (SELECT *, t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kb WHERE kb.kid = refs.kid AND kb.came <= refs.t AND kb.gone > refs.t) AS orphan FROM refs WHERE kid IS NOT NULL),
 tg AS (SELECT DISTINCT kb.kid, s.printed_page, s.loaded_at AS came, coalesce(s.deleted_at, TIMESTAMP '9999-12-31') AS gone
   FROM sheets s JOIN (SELECT DISTINCT kid, folder FROM kb) kb ON kb.folder = {g('s.book_id')} WHERE s.printed_page IS NOT NULL),
-pg AS (SELECT *, NOT EXISTS (SELECT 1 FROM tg WHERE tg.kid = bk.kid AND tg.printed_page = bk.sayfano AND tg.came <= bk.t AND tg.gone > bk.t) AS lost
+pg AS (SELECT *, t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tg WHERE tg.kid = bk.kid AND tg.printed_page = bk.sayfano AND tg.came <= bk.t AND tg.gone > bk.t) AS lost
   FROM bk WHERE NOT orphan AND sayfano <> 0),
 judged AS (SELECT DISTINCT ref_table, ref_id, 'kitapid' AS ref_field, t, orphan FROM bk
   UNION ALL SELECT ref_table, ref_id, 'sayfano', t, bool_or(lost) FROM pg GROUP BY ref_table, ref_id, t)

@@ -50,5 +50,7 @@ def test_operators_take_frames_with_unlucky_columns(spark):
     refs = spark.createDataFrame([("k", 1), ("z", 1), (None, 1)], "key string, at int").withColumns({c: F.lit("x") for c in ("orphan", "_came", "_gone")})
     there = spark.createDataFrame([("k", 0, 9)], "key string, _came int, _gone int")
     assert {(r.key, r.orphan) for r in references.orphan_rows(refs, there, ["key"], "at").collect()} == {("k", False), ("z", True)}
+    untimed = spark.createDataFrame([("z", None)], "key string, at int")
+    assert [(r.key, r.orphan) for r in references.orphan_rows(untimed, there, ["key"], "at").collect()] == [("z", False)]
     left = spark.createDataFrame([("k", i) for i in range(50)] + [(None, 1)], "k string, v int").withColumns({c: F.lit("x") for c in ("_h0", "_n")})
     assert salted_join(left, spark.createDataFrame([("k", 1)], "k string, w int"), ["k"], hot_share=0.1, hot_rows=10).count() == 50
