@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.keys import guid
 from pagewright.llm.confusables import consistent_text
-from pagewright.operators.skew import salted_join
+from pagewright.operators.skew import HOT_ROWS, salted_join
 from pagewright.session import release, table, written
 
 #: What two records can show, per attribute, and its log-likelihood ratio (see the README for estimated ones, which find fewer).
@@ -160,7 +160,9 @@ def candidates(e: DataFrame, r: DataFrame) -> DataFrame:
     ek = own.select("e", F.col("n").alias("n_e"), F.explode(F.array_compact(keys_e)).alias("k"), F.col("page_shows").alias("page"), says.alias("says"), "near", "label", "name", "x", "y").select("*", "k.*").drop("k")
     keys_r = F.array(F.when(F.col("label").isNotNull(), key(LABEL, F.col("label"))), F.when(F.col("head").isNotNull(), key(NAME, F.col("head"))), F.when(F.col("top").isNotNull(), key(PLACE, tbin)), key(REST, F.lit(0)))
     side = r.withColumnRenamed("page", "at").select("r", F.col("n").alias("n_r"), F.explode(F.array_compact(keys_r)).alias("k"), F.col("label").alias("r_label"), "head", "is_name", "left", "top").select("*", "k.k1", "k.k2").drop("k")
-    pairs = salted_join(written(ek), side, ["k1", "k2"])
+    # a block holds at most the rows of its page, so without a crowded page no block is hot
+    crowded = not own.groupBy("book", "at").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS).isEmpty()
+    pairs = salted_join(written(ek), side, ["k1", "k2"]) if crowded else ek.join(side, ["k1", "k2"])
     same_label, same_name = F.coalesce(F.col("label") == F.col("r_label"), F.lit(False)), F.coalesce(F.col("name") == F.col("head"), F.lit(False))
     by_label = same_label & F.col("near")
     first = F.when(by_label, LABEL).when(same_name, NAME).otherwise(F.col("kind"))

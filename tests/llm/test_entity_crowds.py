@@ -12,7 +12,8 @@ def pairs(spark, own, regions):
 
 
 @pytest.mark.parametrize("n", [60, 70, 700])
-def test_an_entry_without_place_keeps_all_candidates_of_a_crowd(spark, n):
+def test_an_entry_without_place_keeps_all_candidates_of_a_crowd(spark, monkeypatch, n):
+    monkeypatch.setattr(en, "HOT_ROWS", 2 if n == 700 else 200_000)
     own = [("label", "b", 1, 1, "a", None, None, None), ("name", "b", 1, 1, None, "x", None, None), ("far", "b", 1, 1, "a", None, 90.0, 90.0)]
     regions = [(f"r{i}", "b", 1, "a", "x", 5.0, i / 10) for i in range(n)]
     got = pairs(spark, own, regions).groupBy("e").agg(F.sum("n_r").alias("n")).collect()
